@@ -1,10 +1,16 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .fingerprints import op6_fingerprints
+from .license_scan import op4_license_scan
 from .mixing import op1_mixing
+from .packing import op3_packing
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_packing": op3_packing,
+    "op4_license_scan": op4_license_scan,
+    "op6_fingerprints": op6_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
 }
 SQL = {"op9_exact_dedup": OP9_SQL}
