@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import cut, ship, stored, table
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
@@ -143,6 +143,7 @@ def pack(
     Every document gives at least one piece (its end id), so null and empty texts are packed as well; repeated rows and
     null ids are told apart by ``row``. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     cut_pieces = stored(pieces(docs, text_col, path, capacity), "pieces")
     open_items = cut_pieces.where(F.col("length") < capacity).select("row", "piece", "length")
     left, placed = open_items, None

@@ -4,10 +4,12 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .fingerprints import op6_fingerprints
 from .license_scan import op4_license_scan
 from .mixing import op1_mixing
+from .ngram_join import op2_ngram_join
 from .packing import op3_packing
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op4_license_scan": op4_license_scan,
     "op6_fingerprints": op6_fingerprints,
