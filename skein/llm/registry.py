@@ -1,7 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .chat import OP8_SQL, op8_chat_formatting
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .fingerprints import op6_fingerprints
+from .language_id import op5_language_id
 from .license_scan import op4_license_scan
 from .mixing import op1_mixing
 from .ngram_join import op2_ngram_join
@@ -12,7 +14,9 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op4_license_scan": op4_license_scan,
+    "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_dedup": op9_exact_dedup,
 }
-SQL = {"op9_exact_dedup": OP9_SQL}
+SQL = {"op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
