@@ -8,6 +8,8 @@ from .license_scan import op4_license_scan
 from .mixing import op1_mixing
 from .ngram_join import op2_ngram_join
 from .packing import op3_packing
+from .surrogates import op10_pii_surrogates
+from .warc_zip import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -16,7 +18,9 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
+    "op7_warc": op7_warc,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
-SQL = {"op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op7_warc": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
