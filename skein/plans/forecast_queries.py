@@ -109,8 +109,8 @@ def fit_sql(name: str, key: str) -> str:
 {name}_d AS (SELECT h.*, flights / seas AS des, row_number() OVER (PARTITION BY h.operator, h.key ORDER BY mon DESC) AS k FROM {name}_h h JOIN {name}_seas s ON s.operator = h.operator AND s.key = h.key AND s.cal = month(mon)),
 {name}_w AS (SELECT *, list_sort(list(des) OVER (PARTITION BY operator, key)) AS l FROM {name}_d WHERE k <= 15),
 {name}_g AS (SELECT *, len(l) >= 3 AND des >= 0.85 * l[least(len(l) - 1, CAST(floor(len(l) * 0.75) AS INT)) + 1] AS good FROM {name}_w),
-{name}_s AS (SELECT *, bool_or(good) OVER (PARTITION BY operator, key) AS some FROM {name}_g),
-{name}_level AS (SELECT operator, key, median(des) AS level, CASE WHEN median(tails) = 0 THEN 1.0 ELSE median(tails) END AS base_fleet FROM {name}_s WHERE good OR (NOT some AND k <= 3) GROUP BY ALL)"""
+{name}_s AS (SELECT *, bool_or(good) OVER (PARTITION BY operator, key) AS any_good FROM {name}_g),
+{name}_level AS (SELECT operator, key, median(des) AS level, CASE WHEN median(tails) = 0 THEN 1.0 ELSE median(tails) END AS base_fleet FROM {name}_s WHERE good OR (NOT any_good AND k <= 3) GROUP BY ALL)"""
 
 
 FRONTIER_SQL = (
