@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 LATE = "2 days"
 STATE = "lat double, lon double, total double, ts double"
