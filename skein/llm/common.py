@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship  # noqa: F401
+
 #: White space of the word contracts: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,15 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-shared-"))
-    return context.getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: what is read again was computed once and survives lost executors."""
     shared_dir(df.sparkSession)
@@ -64,19 +54,3 @@ def index_range(n: Column) -> Column:
 def with_columns_like(kept: DataFrame, like: DataFrame) -> DataFrame:
     return kept.select(*[kept[f"`{c}`"] for c in like.columns])
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the workers this package, once an application, wherever the driver found it."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)

@@ -156,12 +156,13 @@ def slot_plan(sizes: DataFrame, slot_keys: int) -> dict[int, int]:
 
 SIGNED = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.bool_()), ("segments", pa.int64()), ("need", pa.int64()), ("digest", pa.binary()), ("keys", pa.binary())])
 SIGNED_DDL = "slot long, doc_id long, n long, own boolean, segments long, need long, digest binary, keys binary"
-UNLUCKY = -1
+UNLUCKY_SLOTS = 1024  # slots below 0
+CENTRES = 4
 SLOTS_PER_BAND = 1 << 40
 
 
 def signed(docs: DataFrame, slots: dict[int, int]) -> DataFrame:
-    """Per document and slot the low 32 bits of its signatures there; slot UNLUCKY: too few segments."""
+    """Per document and slot the low 32 bits of its signatures there; slots below 0: it has too few segments."""
 
     def each(doc: int, tokens: np.ndarray, out: list) -> None:
         if not len(tokens):
@@ -172,7 +173,7 @@ def signed(docs: DataFrame, slots: dict[int, int]) -> DataFrame:
             keys = signatures(tokens, band)
             have = 2 if layout(band)[2] else len(keys)
             if have < need:
-                out.append((UNLUCKY, doc, n, band == own, have, need, digest, b""))
+                out.append((-1 - doc % UNLUCKY_SLOTS, doc, n, band == own, have, need, digest, b""))
             count = slots.get(band, 1)
             place = (keys >> np.uint64(32)) % np.uint64(count)
             order = np.argsort(place, kind="stable")
@@ -186,13 +187,16 @@ def signed(docs: DataFrame, slots: dict[int, int]) -> DataFrame:
 
 FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("run", pa.int64()), ("votes", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("segments", pa.int64()), ("need", pa.int64()), ("own", pa.bool_())])
 FOUND_DDL = "kind int, a long, b long, band long, run long, votes long, na long, nb long, segments long, need long, own boolean"
-PAIR, STAR, HOT = 0, 1, 2
+PAIR, STAR, HOT, UNLUCKY = 0, 1, 2, 3
 
 
 def _matches(rows: pa.Table, long_run_of: int) -> pa.Table:
-    """What one slot shows: pairs with their votes from short runs of equal signatures; from long runs a link of each
-    member to one of them, and the memberships. Documents with one set are one member, the smallest id."""
+    """What one slot shows: pairs with their votes from short runs of equal signatures; from long runs links of each
+    member to a few of them, and the memberships. Documents with one set are one member, the smallest id."""
     ids, n, own = (rows.column(c).to_numpy() for c in ("doc_id", "n", "own"))
+    if rows.column("slot")[0].as_py() < 0:
+        zero = np.zeros(len(ids))
+        return _table([[np.full(len(ids), UNLUCKY), ids, zero, zero, zero, zero, n, zero, zero, zero, own]])
     digests = rows.column("digest").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (digests[i], ids[i]))
     order = [i for k, i in enumerate(order) if not k or digests[i] != digests[order[k - 1]]]
@@ -231,20 +235,31 @@ def _matches(rows: pa.Table, long_run_of: int) -> pa.Table:
     if long_run.any():
         hot = np.flatnonzero(long_run)
         which = np.repeat(np.arange(len(first)), length)[hot]
-        # Of each run the first of its own band (members are in the order of their digests).
+        # Of each run a few of its own band, the first ones in some orders of the members.
         mine = hot[own[member[hot]]]
-        lead = np.full(len(first), -1)
         run_of = np.repeat(np.arange(len(first)), length)
-        lead[run_of[mine][::-1]] = member[mine][::-1]
-        centre = lead[which]
-        some = centre >= 0
-        star = np.unique(member[hot][some] * (1 << 32) + centre[some])
+        begin = np.flatnonzero(np.append(True, run_of[mine][1:] != run_of[mine][:-1])) if len(mine) else np.empty(0, np.int64)
+        stars = []
+        for turn in range(CENTRES if len(mine) else 0):
+            ranked = np.argsort(_mixed(np.arange(len(ids), dtype=np.uint64) + np.uint64(turn << 32)))
+            rank = np.empty(len(ids), np.int64)
+            rank[ranked] = np.arange(len(ids))
+            lead = np.full(len(first), -1)
+            lead[run_of[mine[begin]]] = ranked[np.minimum.reduceat(rank[member[mine]], begin)]
+            centre = lead[which]
+            some = centre >= 0
+            stars.append(member[hot][some] * (1 << 32) + centre[some])
+        star = np.unique(np.concatenate([np.empty(0, np.int64), *stars]))
         pairs(star >> 32, star & 0xFFFFFFFF, STAR, np.zeros(len(star), np.int64))
         k, who = len(hot), member[hot]
         run = _mixed((key[hot].astype(np.uint64) << np.uint64(32)) ^ _mixed(np.array([slot], np.uint64))).view(np.int64)
         out.append([np.full(k, HOT), ids[who], np.zeros(k), np.full(k, band), run, length[which], n[who], np.zeros(k), have[who], need[who], own[who]])
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[] for _ in FOUND]
-    return pa.Table.from_arrays([pa.array(np.asarray(c).astype(f.type.to_pandas_dtype()) if len(c) else [], f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+    return _table(out)
+
+
+def _table(parts: list[list[np.ndarray]]) -> pa.Table:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0)] * len(FOUND)
+    return pa.Table.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
 
 def _with_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -283,19 +298,18 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, slot_keys: int = SLOT_KEYS,
     if not slots:
         return sizes.sparkSession.createDataFrame([], "a long, b long")
     rows = signed(docs, slots)
-    found = stored(rows.where(F.col("slot") != UNLUCKY).groupBy("slot").applyInArrow(lambda rows: _matches(rows, long_run), FOUND_DDL), "found")
+    found = stored(rows.groupBy("slot").applyInArrow(lambda rows: _matches(rows, long_run), FOUND_DDL), "found")
     hot = found.where(F.col("kind") == HOT)
     # How many of a document's segments in a band are frequent ones; without them, has it enough?
     burden = hot.groupBy("a", "band").agg(F.count("*").alias("frequent"), F.first("segments").alias("segments"), F.first("need").alias("need"))
     burden = cut(burden.withColumn("missing", F.col("need") - (F.col("segments") - F.col("frequent"))))
-    pairs = found.where(F.col("kind") != HOT).groupBy("a", "b", "band").agg(F.sum("votes").alias("votes"), F.max("kind").alias("star"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("segments").alias("segments"))
+    pairs = found.where(F.col("kind").isin(PAIR, STAR)).groupBy("a", "b", "band").agg(F.sum("votes").alias("votes"), F.max("kind").alias("star"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("segments").alias("segments"))
     pairs = pairs.join(burden.select("a", "band", "frequent", "missing"), ["a", "band"], "left")
     tiny = F.col("band").isin([b for b in range(12) if layout(b)[2]])
     enough = F.col("votes") + F.coalesce("frequent", F.lit(0)) >= F.col("segments") - F.floor((F.col("na") + F.col("nb")) / 7)
     pairs = cut(pairs.where(tiny | (F.col("votes") > 0) & enough | (F.col("star") == STAR) & (F.col("missing") > 0)).select("a", "b").distinct())
     links = cut(verified(docs, pairs))
-    lacking = rows.where(F.col("slot") == UNLUCKY).select("doc_id", "n")
-    lacking = cut(lacking.distinct())
+    lacking = cut(found.where(F.col("kind") == UNLUCKY).select(F.col("a").alias("doc_id"), F.col("na").alias("n")).distinct())
     if not lacking.isEmpty():
         other = sizes.where("n > 0").select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
         near = lacking.select(F.col("doc_id").alias("a"), "n").join(other, (F.col("nb") <= F.col("n")) & (4 * F.col("nb") >= 3 * F.col("n")) & (F.col("a") != F.col("b")))
@@ -312,17 +326,24 @@ def _frequent_pairs(hot: DataFrame, burden: DataFrame, links: DataFrame) -> Data
     needy = burden.where("missing > 0").select("a", "band", "missing")
     if needy.isEmpty():
         return None
-    rows = hot.select("a", "band", "run", F.col("votes").alias("length"), "na", "own")
+    # Two documents that share no other segment differ in each of their other segments, of which a document has
+    # ``rare``; the same segment counts for both only if one of them holds several shingles there (``excess``).
+    rare = burden.select("a", "band", (F.col("segments") - F.col("frequent")).alias("rare"))
+    rows = hot.select("a", "band", "run", F.col("votes").alias("length"), "na", "own", (F.col("na") - F.col("segments")).alias("excess")).join(rare, ["a", "band"])
+    # In its band, or looking into it, a document can have a partner only if its own rare segments allow that.
+    rows = rows.where(F.col("rare") <= F.floor(F.col("na") * (1 + 4 / 3) / 7))
     cheap = Window.partitionBy("a", "band").orderBy("length", "run")
-    asked = rows.join(needy, ["a", "band"]).withColumn("k", F.row_number().over(cheap)).where("k <= missing").select("a", "run", "na")
+    asked = rows.join(needy, ["a", "band"]).withColumn("k", F.row_number().over(cheap)).where("k <= missing").select("a", "run", "na", "rare", "excess")
     roots = components(links)
     asked = asked.join(roots.select(F.col("id").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     there = rows.where("own").join(roots.select(F.col("id").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     # A run whose members are all in one component has nothing to add.
     split = there.unionByName(asked, allowMissingColumns=True).groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
     asked = asked.join(split, "run", "left_semi")
-    there = there.join(split, "run", "left_semi").select(F.col("a").alias("b"), "run", F.col("na").alias("nb"), F.col("root").alias("other"))
+    there = there.join(split, "run", "left_semi").select(F.col("a").alias("b"), "run", F.col("na").alias("nb"), F.col("root").alias("other"), F.col("rare").alias("rare_b"), F.col("excess").alias("excess_b"))
     pairs = asked.join(there, "run").where((F.col("root") != F.col("other")) & (F.col("nb") <= F.col("na")) & (4 * F.col("nb") >= 3 * F.col("na")) & (F.col("a") != F.col("b")))
+    least = F.greatest("rare", "rare_b", F.col("rare") + F.col("rare_b") - F.col("excess") - F.col("excess_b"))
+    pairs = pairs.where(least <= F.floor((F.col("na") + F.col("nb")) / 7))
     pairs = cut(pairs.select("a", "b").distinct())
     return None if pairs.isEmpty() else pairs
 
