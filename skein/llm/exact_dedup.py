@@ -80,7 +80,8 @@ def name_texts(docs: DataFrame, text_col: str = "text", block_chars: int = BLOCK
 
 def _told_apart(source: DataFrame, level: DataFrame, shared: DataFrame, size: int, block_hash) -> DataFrame:
     """Names for the blocks whose hash stands for several texts: those texts alone are read again and joined."""
-    rows = source.select(F.monotonically_increasing_id().alias("row"), F.posexplode(blocks(normalised(F.col("_text")), size)).alias("pos", "block"))
+    numbered = source.select(F.monotonically_increasing_id().alias("row"), blocks(normalised(F.col("_text")), size).alias("_blocks"))  # before rows multiply
+    rows = numbered.select("row", F.posexplode("_blocks").alias("pos", "block"))
     rows = rows.withColumn("h", block_hash(F.col("block"))).join(shared, "h", "left_semi")
     own = cut(_named(rows.select("block").distinct(), ["block"]))
     fixed = rows.join(own, "block").select("row", "pos", (-2 - F.col("name")).alias("name"))

@@ -23,7 +23,8 @@ from .common import cut, ship, stored, table
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
-ROUNDS = 3
+ROUNDS = 6
+LAST_GROUPS = 4  # a pool of at most so many groups is packed as one
 END_ID = 0
 
 
@@ -151,7 +152,8 @@ def pack(
         n = left.count()
         if not n:
             break
-        groups = max(1, math.ceil(n / group_pieces))
+        groups = math.ceil(n / group_pieces)
+        groups = 1 if groups <= LAST_GROUPS else groups
         last = k == rounds - 1 or groups == 1
         dealt = left.withColumn("dealt", F.pmod(F.xxhash64("row", "piece", F.lit(k)), F.lit(groups)).cast("int"))
         done = cut(_pack_groups(dealt, capacity, last, k))
