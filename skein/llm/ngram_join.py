@@ -8,7 +8,7 @@ larger document has shingles one is the same in both. Each document puts a signa
 
 Cost-based allocation: signatures that many documents share cost most. As m is chosen larger than H + 1, a document can do
 without its most frequent segments as long as H + 1 others remain; only documents without that many look into frequent
-ones, the cheapest first, and there only for partners that are not in their component yet. Bands of tiny sets, where no
+ones, the cheapest first, block against block, so that no row stands for a pair. Bands of tiny sets, where no
 split of the universe leaves H + 1 segments for sure, use one segment and its one-deletion neighbourhood instead: two
 sets that differ in one shingle share the set or a set without one element. A document for which hashing leaves too few
 segments (it has to be very unlucky) is compared with all of its bands in blocks of an ordinary join.
@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, ship, stored, table
@@ -157,7 +157,7 @@ def slot_plan(sizes: DataFrame, slot_keys: int) -> dict[int, int]:
 SIGNED = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.bool_()), ("segments", pa.int64()), ("need", pa.int64()), ("digest", pa.binary()), ("keys", pa.binary())])
 SIGNED_DDL = "slot long, doc_id long, n long, own boolean, segments long, need long, digest binary, keys binary"
 UNLUCKY_SLOTS = 1024  # slots below 0
-CENTRES = 4
+BLOCK = 1536  # documents
 SLOTS_PER_BAND = 1 << 40
 
 
@@ -187,12 +187,11 @@ def signed(docs: DataFrame, slots: dict[int, int]) -> DataFrame:
 
 FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("run", pa.int64()), ("votes", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("segments", pa.int64()), ("need", pa.int64()), ("own", pa.bool_())])
 FOUND_DDL = "kind int, a long, b long, band long, run long, votes long, na long, nb long, segments long, need long, own boolean"
-PAIR, STAR, HOT, UNLUCKY = 0, 1, 2, 3
+PAIR, HOT, UNLUCKY = 0, 1, 2
 
 
 def _matches(rows: pa.Table, long_run_of: int) -> pa.Table:
-    """What one slot shows: pairs with their votes from short runs of equal signatures; from long runs links of each
-    member to a few of them, and the memberships. Documents with one set are one member, the smallest id."""
+    """What one slot shows: pairs with their votes from short runs of equal signatures, and the members of long runs. Documents with one set are one member, the smallest id."""
     ids, n, own = (rows.column(c).to_numpy() for c in ("doc_id", "n", "own"))
     if rows.column("slot")[0].as_py() < 0:
         zero = np.zeros(len(ids))
@@ -221,36 +220,20 @@ def _matches(rows: pa.Table, long_run_of: int) -> pa.Table:
         found.append(np.stack([member[i], member[i + step]], 1))
     out = []
 
-    def pairs(x: np.ndarray, y: np.ndarray, kind: int, votes: np.ndarray) -> None:
+    def pairs(x: np.ndarray, y: np.ndarray, votes: np.ndarray) -> None:
         larger = (n[x] > n[y]) | ((n[x] == n[y]) & (x > y))
         a, b = np.where(larger, x, y), np.where(larger, y, x)
         good = own[b] & (4 * n[b] >= 3 * n[a]) & (a != b)
         a, b, votes = a[good], b[good], votes[good]
         k = len(a)
-        out.append([np.full(k, kind), ids[a], ids[b], np.full(k, band), np.zeros(k), votes, n[a], n[b], have[a], need[a], own[a]])
+        out.append([np.full(k, PAIR), ids[a], ids[b], np.full(k, band), np.zeros(k), votes, n[a], n[b], have[a], need[a], own[a]])
 
     if found:
         packed, votes = np.unique(np.concatenate(found) @ np.array([1 << 32, 1]), return_counts=True)
-        pairs(packed >> 32, packed & 0xFFFFFFFF, PAIR, votes)
+        pairs(packed >> 32, packed & 0xFFFFFFFF, votes)
     if long_run.any():
         hot = np.flatnonzero(long_run)
         which = np.repeat(np.arange(len(first)), length)[hot]
-        # Of each run a few of its own band, the first ones in some orders of the members.
-        mine = hot[own[member[hot]]]
-        run_of = np.repeat(np.arange(len(first)), length)
-        begin = np.flatnonzero(np.append(True, run_of[mine][1:] != run_of[mine][:-1])) if len(mine) else np.empty(0, np.int64)
-        stars = []
-        for turn in range(CENTRES if len(mine) else 0):
-            ranked = np.argsort(_mixed(np.arange(len(ids), dtype=np.uint64) + np.uint64(turn << 32)))
-            rank = np.empty(len(ids), np.int64)
-            rank[ranked] = np.arange(len(ids))
-            lead = np.full(len(first), -1)
-            lead[run_of[mine[begin]]] = ranked[np.minimum.reduceat(rank[member[mine]], begin)]
-            centre = lead[which]
-            some = centre >= 0
-            stars.append(member[hot][some] * (1 << 32) + centre[some])
-        star = np.unique(np.concatenate([np.empty(0, np.int64), *stars]))
-        pairs(star >> 32, star & 0xFFFFFFFF, STAR, np.zeros(len(star), np.int64))
         k, who = len(hot), member[hot]
         run = _mixed((key[hot].astype(np.uint64) << np.uint64(32)) ^ _mixed(np.array([slot], np.uint64))).view(np.int64)
         out.append([np.full(k, HOT), ids[who], np.zeros(k), np.full(k, band), run, length[which], n[who], np.zeros(k), have[who], need[who], own[who]])
@@ -303,49 +286,105 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, slot_keys: int = SLOT_KEYS,
     # How many of a document's segments in a band are frequent ones; without them, has it enough?
     burden = hot.groupBy("a", "band").agg(F.count("*").alias("frequent"), F.first("segments").alias("segments"), F.first("need").alias("need"))
     burden = cut(burden.withColumn("missing", F.col("need") - (F.col("segments") - F.col("frequent"))))
-    pairs = found.where(F.col("kind").isin(PAIR, STAR)).groupBy("a", "b", "band").agg(F.sum("votes").alias("votes"), F.max("kind").alias("star"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("segments").alias("segments"))
-    pairs = pairs.join(burden.select("a", "band", "frequent", "missing"), ["a", "band"], "left")
+    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b", "band").agg(F.sum("votes").alias("votes"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("segments").alias("segments"))
+    pairs = pairs.join(burden.select("a", "band", "frequent"), ["a", "band"], "left")
     tiny = F.col("band").isin([b for b in range(12) if layout(b)[2]])
     enough = F.col("votes") + F.coalesce("frequent", F.lit(0)) >= F.col("segments") - F.floor((F.col("na") + F.col("nb")) / 7)
-    pairs = cut(pairs.where(tiny | (F.col("votes") > 0) & enough | (F.col("star") == STAR) & (F.col("missing") > 0)).select("a", "b").distinct())
+    pairs = cut(pairs.where(tiny | enough).select("a", "b").distinct())
     links = cut(verified(docs, pairs))
     lacking = cut(found.where(F.col("kind") == UNLUCKY).select(F.col("a").alias("doc_id"), F.col("na").alias("n")).distinct())
     if not lacking.isEmpty():
         other = sizes.where("n > 0").select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
         near = lacking.select(F.col("doc_id").alias("a"), "n").join(other, (F.col("nb") <= F.col("n")) & (4 * F.col("nb") >= 3 * F.col("n")) & (F.col("a") != F.col("b")))
         links = cut(links.unionByName(verified(docs, near.select("a", "b"))))
-    rest = _frequent_pairs(hot, burden, links)
-    return links if rest is None else cut(links.unionByName(verified(docs, rest)))
+    rest = _frequent_links(docs, hot, burden)
+    return links if rest is None else cut(links.unionByName(rest))
 
 
-def _frequent_pairs(hot: DataFrame, burden: DataFrame, links: DataFrame) -> DataFrame | None:
-    """Candidates from frequent signatures, for documents with too few others: in their cheapest frequent runs, partners
-    that are in another component. None if there are none."""
-    from pyspark.sql import Window
+def _frequent_links(docs: DataFrame, hot: DataFrame, burden: DataFrame) -> DataFrame | None:
+    """Links among documents that are in frequent runs, for those with too few other segments. None if there are none.
 
+    Such a document asks its cheapest frequent runs. Runs that share documents make a cluster; a cluster's documents are
+    dealt to blocks by size band, and each two blocks whose sizes are near meet in a task, which counts the overlaps of
+    their sets and gives a spanning forest of the links it finds: as many rows as documents at most, not pairs.
+    """
     needy = burden.where("missing > 0").select("a", "band", "missing")
     if needy.isEmpty():
         return None
-    # Two documents that share no other segment differ in each of their other segments, of which a document has
-    # ``rare``; the same segment counts for both only if one of them holds several shingles there (``excess``).
+    # Two documents that share no other segment differ in all of their other segments, of which a document has ``rare``.
     rare = burden.select("a", "band", (F.col("segments") - F.col("frequent")).alias("rare"))
-    rows = hot.select("a", "band", "run", F.col("votes").alias("length"), "na", "own", (F.col("na") - F.col("segments")).alias("excess")).join(rare, ["a", "band"])
-    # In its band, or looking into it, a document can have a partner only if its own rare segments allow that.
-    rows = rows.where(F.col("rare") <= F.floor(F.col("na") * (1 + 4 / 3) / 7))
+    rows = hot.select("a", "band", "run", F.col("votes").alias("length"), "na", "own").join(rare, ["a", "band"])
+    rows = rows.where(F.col("rare") <= F.expr("na div 3"))  # at most (n + 4n / 3) / 7
     cheap = Window.partitionBy("a", "band").orderBy("length", "run")
-    asked = rows.join(needy, ["a", "band"]).withColumn("k", F.row_number().over(cheap)).where("k <= missing").select("a", "run", "na", "rare", "excess")
-    roots = components(links)
-    asked = asked.join(roots.select(F.col("id").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    there = rows.where("own").join(roots.select(F.col("id").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    # A run whose members are all in one component has nothing to add.
-    split = there.unionByName(asked, allowMissingColumns=True).groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
-    asked = asked.join(split, "run", "left_semi")
-    there = there.join(split, "run", "left_semi").select(F.col("a").alias("b"), "run", F.col("na").alias("nb"), F.col("root").alias("other"), F.col("rare").alias("rare_b"), F.col("excess").alias("excess_b"))
-    pairs = asked.join(there, "run").where((F.col("root") != F.col("other")) & (F.col("nb") <= F.col("na")) & (4 * F.col("nb") >= 3 * F.col("na")) & (F.col("a") != F.col("b")))
-    least = F.greatest("rare", "rare_b", F.col("rare") + F.col("rare_b") - F.col("excess") - F.col("excess_b"))
-    pairs = pairs.where(least <= F.floor((F.col("na") + F.col("nb")) / 7))
-    pairs = cut(pairs.select("a", "b").distinct())
-    return None if pairs.isEmpty() else pairs
+    asked = rows.join(needy, ["a", "band"]).withColumn("k", F.row_number().over(cheap)).where("k <= missing").select("a", "run", "na")
+    there = rows.where("own").join(asked.select("run").distinct(), "run", "left_semi").select("a", "run", "na")
+    both = cut(asked.unionByName(there).distinct())
+    heads = both.groupBy("run").agg(F.min("a").alias("head"))
+    clusters = components(both.join(heads, "run").select("a", F.col("head").alias("b")))
+    starts = F.array(*[F.lit(int(x)) for x in band_starts()[:90]])
+    members = both.groupBy("a").agg(F.max("na").alias("n")).join(clusters.withColumnRenamed("id", "a"), "a").withColumn("band", F.size(F.filter(starts, lambda x: x <= F.col("n"))) - 1)
+    members = cut(members)
+    counts = members.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    lower = counts.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    upper = counts.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    dealt = members.join(counts, ["root", "band"]).join(lower, ["root", "band"], "left").join(upper, ["root", "band"], "left")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+
+    def tasks(n, make):
+        return F.transform(F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), make)
+
+    def task(band, kind, i, j, left):
+        return F.struct(band.alias("tb"), F.lit(kind).alias("tk"), i.alias("ti"), j.alias("tj"), left.alias("left"))
+
+    mine = F.col("mine")
+    own = tasks(F.col("blocks"), lambda j: task(F.col("band"), 0, F.least(mine, j), F.greatest(mine, j), mine <= j))
+    down = tasks(F.col("below"), lambda j: task(F.col("band"), 1, mine, j, F.lit(True)))
+    up = tasks(F.col("above"), lambda j: task(F.col("band") + 1, 1, j, mine, F.lit(False)))
+    schema = pa.schema([("a", pa.int64()), ("tokens", pa.binary())])
+    texts = _with_text(docs, members.select(F.col("a").alias("doc_id")).distinct())
+    sets = _map_sets(texts, schema, "a long, tokens binary", lambda doc, t, out: out.append((doc, t.tobytes())))
+    work = dealt.select("a", "root", F.explode(F.concat(own, down, up)).alias("t")).select("a", "root", "t.*").join(sets, "a")
+    return work.groupBy("root", "tb", "tk", "ti", "tj").applyInArrow(_block_links, "a long, b long")
+
+
+def _block_links(rows: pa.Table) -> pa.Table:
+    """The links between the documents of two blocks (or within one), as a spanning forest."""
+    ids, left = rows.column("a").to_numpy(), rows.column("left").to_numpy()
+    one = rows.column("tk")[0].as_py() == 0 and rows.column("ti")[0].as_py() == rows.column("tj")[0].as_py()
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+    x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not len(x) or not len(y):
+        return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, schema=out)
+    overlap = np.zeros((len(x), len(y)), np.float32)
+    token = np.concatenate(sets)
+    who = np.repeat(np.arange(len(sets)), [len(q) for q in sets])
+    _, code, count = np.unique(token, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    column = np.full(len(count), -1)
+    column[shared] = np.arange(len(shared))
+    place, keep = column[code], column[code] >= 0
+    place, who = place[keep], who[keep]
+    for at in range(0, len(shared), 2048):
+        part = (place >= at) & (place < at + 2048)
+        table = np.zeros((len(sets), min(2048, len(shared) - at)), np.float32)
+        table[who[part], place[part] - at] = 1
+        overlap += table[x] @ table[y].T
+    size = np.array([len(q) for q in sets], np.float32)
+    linked = (100 * overlap >= 75 * (size[x][:, None] + size[y][None, :] - overlap)) & (overlap > 0)
+    root, x_of, y_of = {}, {int(v): k for k, v in enumerate(x)}, {int(v): k for k, v in enumerate(y)}
+    for start in range(len(ids)):
+        if start in root:
+            continue
+        root[start], frontier = start, [start]
+        while frontier:
+            a = [x_of[v] for v in frontier if v in x_of]
+            b = [y_of[v] for v in frontier if v in y_of]
+            near = {*y[linked[a].any(0)].tolist(), *x[linked[:, b].any(1)].tolist()} - root.keys()
+            root.update(dict.fromkeys(near, start))
+            frontier = list(near)
+    pairs = [(ids[v], ids[r]) for v, r in root.items() if v != r]
+    return pa.Table.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=out)
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", slot_keys: int = SLOT_KEYS, long_run: int = LONG_RUN) -> DataFrame:
