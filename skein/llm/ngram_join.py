@@ -11,7 +11,7 @@ without its most frequent segments as long as H + 1 others remain; only document
 ones, the cheapest first, block against block, so that no row stands for a pair. Bands of tiny sets, where no
 split of the universe leaves H + 1 segments for sure, use one segment and its one-deletion neighbourhood instead: two
 sets that differ in one shingle share the set or a set without one element. A document for which hashing leaves too few
-segments (it has to be very unlucky) is compared with all of its bands in blocks of an ordinary join.
+segments (it has to be very unlucky) is compared with all documents of its bands by an ordinary join.
 
 Votes (equal segments) bound the difference from below, which drops most false candidates; what remains is verified by
 intersecting the sets themselves.
@@ -34,7 +34,8 @@ from .common import cut, ship, stored, table
 from .components import components
 
 SHINGLE_WORDS = 5
-SLOT_KEYS = 1 << 19
+SLOT_KEYS = 1 << 20
+LEAST_SLOTS = 16  # of a band: as many tasks at any size, and rows that grow with the documents
 LONG_RUN = 16
 BROADCAST_IDS = 500_000
 SLICE = 256
@@ -151,7 +152,7 @@ def slot_plan(sizes: DataFrame, slot_keys: int) -> dict[int, int]:
             if b >= 0:
                 top, m, _ = layout(b)
                 total[b] = total.get(b, 0) + r.n * min(1.0, 0.95 * m / top)
-    return {b: max(1, math.ceil(n / slot_keys)) for b, n in total.items()}
+    return {b: max(LEAST_SLOTS, math.ceil(n / slot_keys)) for b, n in total.items()}
 
 
 SIGNED = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.bool_()), ("segments", pa.int64()), ("need", pa.int64()), ("digest", pa.binary()), ("keys", pa.binary())])
@@ -294,8 +295,11 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, slot_keys: int = SLOT_KEYS,
     links = cut(verified(docs, pairs))
     lacking = cut(found.where(F.col("kind") == UNLUCKY).select(F.col("a").alias("doc_id"), F.col("na").alias("n")).distinct())
     if not lacking.isEmpty():
-        other = sizes.where("n > 0").select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        near = lacking.select(F.col("doc_id").alias("a"), "n").join(other, (F.col("nb") <= F.col("n")) & (4 * F.col("nb") >= 3 * F.col("n")) & (F.col("a") != F.col("b")))
+        starts = F.array(*[F.lit(int(x)) for x in band_starts()])
+        banded = lambda n: F.size(F.filter(starts, lambda x: x <= n)) - 1
+        other = sizes.where("n > 0").select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), banded(F.col("n")).alias("band"))
+        query = lacking.select(F.col("doc_id").alias("a"), "n", F.explode(F.array(banded(F.col("n")), banded(F.col("n")) - 1)).alias("band"))
+        near = query.join(other, "band").where((F.col("nb") <= F.col("n")) & (4 * F.col("nb") >= 3 * F.col("n")) & (F.col("a") != F.col("b")))
         links = cut(links.unionByName(verified(docs, near.select("a", "b"))))
     rest = _frequent_links(docs, hot, burden)
     return links if rest is None else cut(links.unionByName(rest))
