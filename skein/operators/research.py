@@ -134,10 +134,10 @@ def backtest_metrics(detail: DataFrame, panel: DataFrame, cut: dt.date) -> DataF
 
 
 def growth_read(metrics: DataFrame) -> DataFrame:
-    """One row: the correlation of growth and bias over carriers (null below three) and the mean bias by growth."""
+    """One row: the correlation of growth and bias over carriers (null below three or without variance) and the mean bias by growth."""
     g = F.col("n_growth")
     return metrics.where("n_growth IS NOT NULL AND bias IS NOT NULL").agg(
-        F.when(F.count("*") >= 3, F.corr("n_growth", "bias")).alias("r"), F.avg(F.when(g > 1.1, F.col("bias"))).alias("grew"), F.avg(F.when(g.between(0.9, 1.1), F.col("bias"))).alias("stable"), F.avg(F.when(g < 0.9, F.col("bias"))).alias("shrank")
+        F.when(F.count("*") >= 3, F.try_divide(F.covar_pop("n_growth", "bias"), F.stddev_pop("n_growth") * F.stddev_pop("bias"))).alias("r"), F.avg(F.when(g > 1.1, F.col("bias"))).alias("grew"), F.avg(F.when(g.between(0.9, 1.1), F.col("bias"))).alias("stable"), F.avg(F.when(g < 0.9, F.col("bias"))).alias("shrank")
     )
 
 

@@ -158,7 +158,7 @@ SQL = {
     "subfleet_fit": f"WITH {PANEL_SQL}, {fit_sql('f', 'train', 'carrier, sf')} SELECT carrier, sf, months, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("level", "slope", "km_per_flight", "seats", "base_fleet")) + " FROM f_level",
     "backtest": f"WITH {BACKTEST_SQL} SELECT carrier, mon, actual, flown, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("hat", "err", "lo", "hi")) + ", actual BETWEEN lo AND hi AS inside, valid FROM bt",
     "backtest_metrics": f"WITH {BACKTEST_SQL} SELECT carrier, n_holdout, n_excluded, validatable, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("mape", "bias", "coverage", "n_growth")) + " FROM metrics",
-    "growth_read": f"WITH {BACKTEST_SQL} SELECT round(corr(n_growth, bias), 5) + 0.0 AS r, round(avg(bias) FILTER (WHERE n_growth > 1.1), 5) + 0.0 AS grew, round(avg(bias) FILTER (WHERE n_growth BETWEEN 0.9 AND 1.1), 5) + 0.0 AS stable, round(avg(bias) FILTER (WHERE n_growth < 0.9), 5) + 0.0 AS shrank FROM metrics",
+    "growth_read": f"WITH {BACKTEST_SQL} SELECT CASE WHEN count(*) >= 3 AND stddev_pop(n_growth) * stddev_pop(bias) > 0 THEN round(corr(n_growth, bias), 5) + 0.0 END AS r, round(avg(bias) FILTER (WHERE n_growth > 1.1), 5) + 0.0 AS grew, round(avg(bias) FILTER (WHERE n_growth BETWEEN 0.9 AND 1.1), 5) + 0.0 AS stable, round(avg(bias) FILTER (WHERE n_growth < 0.9), 5) + 0.0 AS shrank FROM metrics WHERE n_growth IS NOT NULL AND bias IS NOT NULL",
     "loco_prior": f"WITH {PANEL_SQL}, {fit_sql('f', 'train', 'carrier, sf')}, {PRIOR} SELECT carrier, sf, cal, round(prior, 6) AS prior FROM prior",
     "loco": f"WITH {LOCO_SQL} SELECT carrier, mon, actual, round(hat, 5) AS hat, round(err, 5) + 0.0 AS err, z <= 0.6745 AS in50, z <= 1.2816 AS in80, z <= 1.6449 AS in90 FROM lc",
     "loco_reliability": f"WITH {LOCO_SQL} SELECT n AS nominal, round(avg(CAST(z <= q AS INT)), 6) AS empirical, count(*) AS months FROM lc, (VALUES (50, 0.6745), (80, 1.2816), (90, 1.6449)) v(n, q) GROUP BY n",
