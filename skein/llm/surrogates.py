@@ -17,6 +17,8 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import pandas as pd
 import regex
@@ -27,7 +29,8 @@ from .common import cut, ship, stored, table
 
 KEY = b"a key of your own goes here"
 BROADCAST_ROWS = 100_000
-TRIES = 50
+#: After so many tries surrogates get longer by one symbol (a person's by a syllable), so there are always enough of them.
+TRIES_A_LENGTH, TRIES_A_SYLLABLE = 8, 2
 
 # Titles with the gender that they tell, and given names of each gender.
 TITLES = {
@@ -44,6 +47,7 @@ SYLLABLES = ["ber", "dal", "fen", "gar", "hol", "kem", "lin", "mor", "nes", "pol
 _titles = "|".join(sorted({t for v in TITLES.values() for t in v}, key=lambda t: (-len(t), t)))
 KEYWORDS = ("token", "secret", "passw", "key")
 PREFIXES = ("AKIA", "ghp_", "sk-")
+SECRET_PREFIX = re.compile(r"^(?:AKIA|ghp_|sk-)")
 
 DIGIT_RUN = re.compile(r"\d+")
 NUMBER = re.compile(
@@ -71,9 +75,21 @@ def canonical(kind: str, mention: str) -> str:
         return mention.replace(" ", "")
     if kind == "SECRET":
         return mention
+    if kind == "PERSON":  # with or without a dot after the title
+        title, _, names = mention.partition(" ")
+        mention = f"{title.rstrip('.')} {names}"
     return unicodedata.normalize("NFC", mention).casefold()
 
 
+def replaceable(kind: str, mention: str) -> bool:
+    """Whether a mention tells anything: a form's blank line or a row of dashes has no letter or digit to replace."""
+    if kind == "EMAIL":
+        mention = mention.rpartition(".")[0]
+    elif kind == "SECRET":
+        mention = SECRET_PREFIX.sub("", mention)
+    return any(map(str.isalnum, mention))
+
+
 def _mentions(text: str) -> Iterator[tuple[int, int, str]]:
     """All that look like an entity. Each pattern is tried only where what it cannot do without is found."""
     at = text.find("@")
@@ -105,10 +121,10 @@ def _mentions(text: str) -> Iterator[tuple[int, int, str]]:
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(begin, end, type, canonical form) of each mention in a text, left to right; of overlapping ones the first, then
-    the one whose type comes first in ORDER."""
+    the one whose type comes first in ORDER. Mentions that hold nothing replaceable are none."""
     out, end = [], 0
     for a, _, b, kind in sorted((a, ORDER.index(k), b, k) for a, b, k in _mentions(text or "")):
-        if a >= end:
+        if a >= end and replaceable(kind, text[a:b]):
             out.append((a, b, kind, canonical(kind, text[a:b])))
             end = b
     return out
@@ -140,6 +156,19 @@ def luhn(digits: str) -> bool:
 ALPHABETS = [("a", "z"), ("A", "Z"), ("α", "ω"), ("Α", "Ω"), ("а", "я"), ("А", "Я"), ("א", "ת"), ("ء", "ي"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "龥"), ("가", "힣")]
 
 
+@lru_cache(4096)
+def _peers(char: str) -> str:
+    """For a letter outside ALPHABETS: the letters of its script and kind near it, itself among them; a to z for Latin ones
+    and for those that stand alone. Case-folding leaves them all as they are, or none."""
+    script, folded = unicodedata.name(char, "").split(" ")[0], char.casefold() == char
+    near = map(chr, range(max(128, ord(char) - 128), min(ord(char) + 128, 0x110000)))
+    same = [c for c in near if unicodedata.category(c) == unicodedata.category(char) and unicodedata.name(c, "").split(" ")[0] == script]
+    same = [c for c in same if (c.casefold() == c) == folded and unicodedata.normalize("NFC", c) == c]
+    if script == "LATIN" or len(same) < 2:
+        return "abcdefghijklmnopqrstuvwxyz" if folded else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return "".join(same)
+
+
 def like(char: str, stream: Stream) -> str:
     """A character of the same kind: a decimal digit, or a letter of the same script and case. Others stay."""
     if char.isdecimal():
@@ -151,50 +180,59 @@ def like(char: str, stream: Stream) -> str:
                 out = chr(ord(low) + stream.below(ord(high) - ord(low) + 1))
                 if out.isalpha() and out.isupper() == char.isupper():
                     return out
+    if char.isalpha():
+        peers = _peers(char)
+        return peers[stream.below(len(peers))]
     return char
 
 
+def likes(text: str, more: int, stream: Stream) -> str:
+    """like() for each character, and ``more`` letters or digits after them, like the last one there."""
+    last = next((c for c in reversed(text) if c.isalpha() or c.isdecimal()), "a")
+    return "".join(like(c, stream) for c in text + last * more)
+
+
 def surrogate(kind: str, entity: str, attempt: int, key: bytes) -> str:
-    """The canonical form of an entity's surrogate."""
-    s = Stream(key, kind, entity, attempt)
+    """The canonical form of an entity's surrogate. Later tries are longer: no type ever runs out of forms."""
+    s, more = Stream(key, kind, entity, attempt), attempt // TRIES_A_LENGTH
     if kind == "IP":
-        return ".".join(str(1 + s.below(254)) for _ in range(4))
+        return ".".join(str(1 + s.below(254)) for _ in range(4 + more))
     if kind == "CARD":
-        out = entity[0] + "".join(str(s.below(10)) for _ in entity[1:])
+        out = entity[0] + "".join(str(s.below(10)) for _ in range(len(entity) - 1 + more))
         if luhn(entity):
             out = next(x for x in (out[:-1] + str(d) for d in range(10)) if luhn(x))
         return out
     if kind == "PHONE":  # the first digit, the country's or area's, stays
-        return entity[0] + "".join(str(s.below(10)) for _ in entity[1:])
+        return entity[0] + "".join(str(s.below(10)) for _ in range(len(entity) - 1 + more))
     if kind == "SSN":
-        return f"{900 + s.below(100)}{s.below(10**6):06d}"  # numbers from 900 on are not given out
+        return f"{900 + s.below(100)}{s.below(10**6):06d}" + "".join(str(s.below(10)) for _ in range(more))  # numbers from 900 on are not given out
     if kind == "IBAN":
-        body = "".join(like(c, s) for c in entity[4:])
+        body = likes(entity[4:], more, s)
         number = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
         return f"{entity[:2]}{98 - number % 97:02d}{body}"
     if kind == "SECRET":
         hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity)
         if hexadecimal:
             digits = "0123456789abcdef" if entity == entity.lower() else "0123456789ABCDEF"
-            return "".join(digits[s.below(16)] for _ in entity)
-        prefix = re.match(r"AKIA|ghp_|sk-", entity)
-        return (prefix.group() if prefix else "") + "".join(like(c, s) for c in entity[prefix.end() if prefix else 0 :])
+            return "".join(digits[s.below(16)] for _ in range(len(entity) + more))
+        prefix = SECRET_PREFIX.match(entity)
+        return (prefix.group() if prefix else "") + likes(entity[prefix.end() if prefix else 0 :], more, s)
     if kind == "EMAIL":
         local, _, domain = entity.partition("@")
         host, _, top = domain.rpartition(".")
-        return "".join(like(c, s) for c in local) + "@" + "".join(like(c, s) for c in host) + "." + top
+        return likes(local, more, s) + "@" + "".join(like(c, s) for c in host) + "." + top
+    more = attempt // TRIES_A_SYLLABLE
     title, *names = entity.split(" ")
     gender = gender_of(title, names)
     out = [GIVEN[gender][s.below(16)].casefold() for _ in names[:-1]]
     latin = all(c.isascii() or "LATIN" in unicodedata.name(c, "") for c in names[-1] if c.isalpha())
-    last = "".join(SYLLABLES[s.below(16)] for _ in range(3)) if latin else "".join(like(c, s) for c in names[-1])
+    last = "".join(SYLLABLES[s.below(16)] for _ in range(3 + more)) if latin else likes(names[-1], more, s)
     return " ".join([title, *out, last])
 
 
 def gender_of(title: str, names: list[str]) -> str:
-    bare = title.rstrip(".")
     for gender in ("male", "female"):
-        if bare in {t.casefold() for t in TITLES[gender]}:
+        if title in {t.casefold() for t in TITLES[gender]}:
             return gender
     for gender in ("male", "female"):
         if names[:-1] and names[0] in {g.casefold() for g in GIVEN[gender]}:
@@ -203,13 +241,13 @@ def gender_of(title: str, names: list[str]) -> str:
 
 
 def formatted(kind: str, mention: str, new: str) -> str:
-    """The surrogate written as the mention was."""
+    """The surrogate written as the mention was; what it has more than the mention follows at the end."""
     if kind in DIGITS - {"IP"}:
         digits = iter(new)
-        return "".join(next(digits) if c.isdecimal() else c for c in mention)
+        return "".join([*(next(digits) if c.isdecimal() else c for c in mention), *digits])
     if kind == "IBAN":
         letters = iter(new)
-        return "".join(c if c == " " else next(letters) for c in mention)
+        return "".join([*(c if c == " " else next(letters) for c in mention), *letters])
     if kind == "EMAIL":
         if len(new) != len(mention):
             return new.upper() if mention.isupper() else new
@@ -240,12 +278,13 @@ def tried(known: DataFrame, key: bytes = KEY) -> DataFrame:
     """known: distinct (kind, entity). The entities whose first surrogate can't be theirs: (kind, entity, attempt).
 
     Of entities that draw one surrogate the first keeps it; one that draws a real entity's form keeps nothing. The
-    others draw again, and no later draw may meet a surrogate that is taken. The rounds end when none is left.
+    others draw again, and no later draw may meet a surrogate that is taken. The rounds end when none is left: as later
+    draws are from more and more forms, they always do.
     """
     draw = _surrogates(key)
     drawn = stored(known.withColumn("attempt", F.lit(0)).withColumn("new", draw("kind", "entity", F.lit(0))), "surrogates")
     taken, left, moved = drawn, drawn, None
-    for attempt in range(1, TRIES + 1):
+    for attempt in count(1):
         real = left.join(known.select("kind", F.col("entity").alias("new")), ["kind", "new"], "left_semi").select("kind", "entity")
         clash = left.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1").select("kind", "new", "first")
         lost = left.join(clash, ["kind", "new"]).where(F.col("entity") != F.col("first")).select("kind", "entity")
@@ -254,14 +293,13 @@ def tried(known: DataFrame, key: bytes = KEY) -> DataFrame:
             again = again.unionByName(left.join(taken.select("kind", "new"), ["kind", "new"], "left_semi").select("kind", "entity"))
         again = cut(again.distinct())
         if moved is not None:
-            stands = left.join(again, ["kind", "entity"], "left_anti")
+            stands = cut(left.join(again, ["kind", "entity"], "left_anti"))
             moved, taken = cut(moved.unionByName(stands)), taken.unionByName(stands)
         else:
             moved, taken = left.limit(0), left.join(again, ["kind", "entity"], "left_anti")
         if again.isEmpty():
             return moved.select("kind", "entity", "attempt")
         left = cut(again.withColumn("attempt", F.lit(attempt)).withColumn("new", draw("kind", "entity", F.lit(attempt))))
-    raise ValueError(f"a type of entity has too few forms for its entities: {TRIES} tries were not enough")
 
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:

@@ -350,6 +350,36 @@ def test_surrogates_that_meet_are_drawn_again(spark):
     assert not set(new) & {f"1{k:03d}" for k in range(60)}
 
 
+def test_mentions_without_anything_to_replace_stay(spark):
+    texts = ["Password: ______________", "key = ----------------", "mail ____@____.com", "sk-______________________", "Dr. Հակոբյան came", "mail ա@բ.com"]
+    rows = [(k, t, 1) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in surrogates.replace_pii(documents(spark, rows)).collect()}
+    assert [got[k].text for k in range(4)] == texts[:4] and [got[k].n_entities for k in range(4)] == [0] * 4
+    assert [got[k].n_entities for k in (4, 5)] == [1, 1] and re.fullmatch(r"Dr\. [Ա-Ֆ][ա-ֆև]{7,} came", got[4].text)
+    assert "Հակոբյան" not in got[4].text and "ա@բ" not in got[5].text
+
+
+@pytest.mark.parametrize("kind, entities", [
+    ("PERSON", [f"dr {a}{b}{c}" for a in surrogates.SYLLABLES for b in surrogates.SYLLABLES for c in surrogates.SYLLABLES] + ["dr smith"]),
+    ("EMAIL", [f"{a}@b.com" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "acdefghijklmnopqrstuvwxyz"]),
+    ("PHONE", [f"1{k}" for k in range(10)]),
+])
+def test_forms_never_run_out(spark, kind, entities):
+    moved = surrogates.tried(spark.createDataFrame([(kind, e) for e in entities], "kind string, entity string"))
+    tries = {r.entity: r.attempt for r in moved.collect()}
+    new = [surrogates.surrogate(kind, e, tries.get(e, 0), surrogates.KEY) for e in entities]
+    assert len(set(new)) == len(new) and not set(new) & set(entities)
+    written = [surrogates.formatted(kind, e if kind != "PERSON" else e.title(), x) for e, x in zip(entities, new, strict=True)]
+    assert len(set(written)) == len(written)
+
+
+def test_a_title_is_one_with_or_without_its_dot(spark):
+    rows = [(1, "Dr. Smith met Dr Smith, and DR SMITH is none. Mrs Anna Smith, Mrs. Anna Smith.", 1)]
+    names = re.findall(r"(Dr|Mrs)(\.?) ([A-Z]\w+(?: [A-Z]\w+)?)", surrogates.replace_pii(documents(spark, rows)).collect()[0].text)
+    assert [n[:2] for n in names] == [("Dr", "."), ("Dr", ""), ("Mrs", ""), ("Mrs", ".")]
+    assert names[0][2] == names[1][2] != "Smith" and names[2][2] == names[3][2] != "Anna Smith"
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, t, "en", str(s), 1) for i, t, s in some_rows(9, 80) if i is not None and i < 900] + [(990, None, "en", "0", 1), (991, "12 !", "en", "0", 1)]
