@@ -13,6 +13,10 @@ split of the universe leaves H + 1 segments for sure, use one segment and its on
 sets that differ in one shingle share the set or a set without one element. A document for which hashing leaves too few
 segments (it has to be very unlucky) is compared with all documents of its bands by an ordinary join.
 
+No task has to hold all documents of a signature: of documents with one set only one, the smallest id, is signed, and
+signatures that very many sets share are found by counting beforehand. They are not sent to the task of their slot; the
+documents that hold them are dealt out by document instead, as members of a frequent run.
+
 Votes (equal segments) bound the difference from below, which drops most false candidates; what remains is verified by
 intersecting the sets themselves.
 """
@@ -39,6 +43,9 @@ LEAST_SLOTS = 16  # of a band: as many tasks at any size, and rows that grow wit
 LONG_RUN = 16
 BROADCAST_IDS = 500_000
 SLICE = 256
+HOT_RUN = 1 << 15  # holders of a signature beyond which they don't meet in one task
+TALLY_KEYS = 1 << 21  # signatures counted at a time
+TALLY_LEAST = 8  # holders among these from which a signature is reported; what stays below it in all counts is no hot run
 
 
 class _WordHashes(dict):
@@ -121,25 +128,90 @@ def targets(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _map_sets(docs: DataFrame, schema: pa.Schema, ddl: str, each: Callable[[int, np.ndarray, list], None]) -> DataFrame:
-    """each(doc_id, set, out) appends rows of the schema; docs: (doc_id, text)."""
+class _Tally:
+    """Counts the signatures of a task's different sets, and reports those that many of them hold."""
+
+    def __init__(self, least: int):
+        self.least, self.keys, self.size, self.seen = least, [], 0, set()
+
+    def add(self, tokens: np.ndarray, digest: bytes, out: list) -> None:
+        if not len(tokens) or digest in self.seen:
+            return
+        self.seen.add(digest)
+        for band, _ in targets(len(tokens)):
+            self.keys.append(signatures(tokens, band))
+            self.size += len(self.keys[-1])
+        if self.size >= TALLY_KEYS:
+            self.flush(out)
+
+    def flush(self, out: list) -> None:
+        if self.keys:
+            key = np.sort(np.concatenate(self.keys))
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            length = np.diff(np.append(first, len(key)))
+            many = length > self.least
+            if many.any():
+                out.append((None, -1, None, np.stack([key[first[many]], length[many].astype(np.uint64)], 1).tobytes()))
+        self.keys, self.size, self.seen = [], 0, set()
+
+
+def _map_sets(docs: DataFrame, schema: pa.Schema, ddl: str, each: Callable, tally: Callable[[], _Tally] | None = None) -> DataFrame:
+    """each(doc_id, set, out) appends rows of the schema; docs: (doc_id, text). With a tally, each() gets the task's as its
+    fourth argument, and what is left in it is flushed at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tally() if tally else None
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part, out = batch.slice(at, SLICE), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    each(doc, shingle_set(text), out)
-                columns = zip(*out, strict=True) if out else [[] for _ in schema]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    each(doc, shingle_set(text), out, *([own] if own else []))
+                yield batch_of(out)
+        if own:
+            out = []
+            own.flush(out)
+            yield batch_of(out)
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[] for _ in schema]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return docs.mapInArrow(run, ddl)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest): the size of each row's set and 128 bits that stand for the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
-    return _map_sets(docs, schema, "doc_id long, n long, digest binary", lambda doc, s, out: out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest())))
+def measured(docs: DataFrame, tally_least: int = TALLY_LEAST) -> DataFrame:
+    """(doc_id, n, digest, keys): the size of each row's set and 128 bits that stand for the set. Rows with n = -1 hold
+    signatures that many sets of a task share, with their counts, in keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.binary())])
+
+    def each(doc: int | None, tokens: np.ndarray, out: list, tally: _Tally) -> None:
+        digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+        out.append((doc, len(tokens), digest, None))
+        tally.add(tokens, digest, out)
+
+    return _map_sets(docs, schema, "doc_id long, n long, digest binary, keys binary", each, lambda: _Tally(tally_least))
+
+
+def hot_signatures(tallies: DataFrame, hot_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures with more than hot_run holders, in order, and their counts: to the driver come as many at most as all
+    signatures divided by hot_run."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                x = np.frombuffer(blob, np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["key", "n"])
+
+    rows = tallies.select("keys").mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_run).collect()
+    keys, counts = np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def copies_of_others(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ids all of whose sets another document with a smaller id has too; classes: (digest, first) of repeated sets."""
+    copy = F.coalesce(F.col("first") != F.col("doc_id"), F.lit(False))
+    return known.join(classes, "digest", "left").groupBy("doc_id").agg(F.min(copy).alias("copy")).where("copy").select("doc_id")
 
 
 def slot_plan(sizes: DataFrame, slot_keys: int) -> dict[int, int]:
@@ -160,10 +232,12 @@ SIGNED_DDL = "slot long, doc_id long, n long, own boolean, segments long, need l
 UNLUCKY_SLOTS = 1024  # slots below 0
 BLOCK = 1536  # documents
 SLOTS_PER_BAND = 1 << 40
+NONE_HOT = np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
-def signed(docs: DataFrame, slots: dict[int, int]) -> DataFrame:
-    """Per document and slot the low 32 bits of its signatures there; slots below 0: it has too few segments."""
+def signed(docs: DataFrame, slots: dict[int, int], hot: np.ndarray = NONE_HOT[0], hot_slots: int = LEAST_SLOTS) -> DataFrame:
+    """Per document and slot the low 32 bits of its signatures there; slots below 0: it has too few segments; slots below
+    -UNLUCKY_SLOTS, by document: its band and the whole of its hot signatures, which are nowhere else."""
 
     def each(doc: int, tokens: np.ndarray, out: list) -> None:
         if not len(tokens):
@@ -175,6 +249,14 @@ def signed(docs: DataFrame, slots: dict[int, int]) -> DataFrame:
             have = 2 if layout(band)[2] else len(keys)
             if have < need:
                 out.append((-1 - doc % UNLUCKY_SLOTS, doc, n, band == own, have, need, digest, b""))
+            if len(hot):
+                hit = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+                if hit.any():
+                    slot = -1 - UNLUCKY_SLOTS - int.from_bytes(digest[:8], "big") % hot_slots
+                    out.append((slot, doc, n, band == own, have, need, digest, np.append(np.uint64(band), keys[hit]).tobytes()))
+                    keys = keys[~hit]
+                    if not len(keys):
+                        continue
             count = slots.get(band, 1)
             place = (keys >> np.uint64(32)) % np.uint64(count)
             order = np.argsort(place, kind="stable")
@@ -191,8 +273,22 @@ FOUND_DDL = "kind int, a long, b long, band long, run long, votes long, na long,
 PAIR, HOT, UNLUCKY = 0, 1, 2
 
 
-def _matches(rows: pa.Table, long_run_of: int) -> pa.Table:
+def _hot_members(rows: pa.Table, hot: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """The members of hot runs, from the rows of some documents."""
+    ids, n, own, have, need = (rows.column(c).to_numpy() for c in ("doc_id", "n", "own", "segments", "need"))
+    blobs = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
+    bands = np.array([int(x[0]) for x in blobs])
+    once = {x: k for k, x in enumerate(zip(ids.tolist(), rows.column("digest").to_pylist(), bands.tolist(), strict=True))}
+    who = np.repeat(list(once.values()), [len(blobs[k]) - 1 for k in once.values()])
+    key = np.concatenate([blobs[k][1:] for k in once.values()])
+    zero = np.zeros(len(who))
+    return _table([[np.full(len(who), HOT), ids[who], zero, bands[who], _mixed(key).view(np.int64), counts[np.searchsorted(hot, key)], n[who], zero, have[who], need[who], own[who]]])
+
+
+def _matches(rows: pa.Table, long_run_of: int, hot_keys: tuple[np.ndarray, np.ndarray] = NONE_HOT) -> pa.Table:
     """What one slot shows: pairs with their votes from short runs of equal signatures, and the members of long runs. Documents with one set are one member, the smallest id."""
+    if rows.column("slot")[0].as_py() < -UNLUCKY_SLOTS:
+        return _hot_members(rows, *hot_keys)
     ids, n, own = (rows.column(c).to_numpy() for c in ("doc_id", "n", "own"))
     if rows.column("slot")[0].as_py() < 0:
         zero = np.zeros(len(ids))
@@ -246,10 +342,10 @@ def _table(parts: list[list[np.ndarray]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
 
-def _with_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids: ids are sent to all executors only while they are few."""
+def _with_text(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose id is in ids (or is not): ids are sent to all executors only while they are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,14 +371,17 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(alike, "a long, b long")
 
 
-def jaccard_links(docs: DataFrame, sizes: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = LONG_RUN) -> DataFrame:
-    """docs: (doc_id, text), ids not null. Returns links (a, b) that join all documents that similarity joins: verified
-    pairs of representatives (the smallest id of those with one set); pairs inside a component may be left out."""
+def jaccard_links(docs: DataFrame, sizes: DataFrame, gone: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = LONG_RUN, hot_keys: tuple[np.ndarray, np.ndarray] = NONE_HOT) -> DataFrame:
+    """docs: (doc_id, text), ids not null; gone: the ids that need no links as they only repeat others' sets. Returns links
+    (a, b) that join all documents that similarity joins: verified pairs of representatives (the smallest id of those with
+    one set); pairs inside a component may be left out."""
+    sizes = sizes.join(gone, "doc_id", "left_anti")
     slots = slot_plan(sizes, slot_keys)
     if not slots:
         return sizes.sparkSession.createDataFrame([], "a long, b long")
-    rows = signed(docs, slots)
-    found = stored(rows.groupBy("slot").applyInArrow(lambda rows: _matches(rows, long_run), FOUND_DDL), "found")
+    hot_slots = max(LEAST_SLOTS, math.ceil(float(hot_keys[1].sum()) / slot_keys))
+    rows = signed(_with_text(docs, gone, "left_anti"), slots, hot_keys[0], hot_slots)
+    found = stored(rows.groupBy("slot").applyInArrow(lambda rows: _matches(rows, long_run, hot_keys), FOUND_DDL), "found")
     hot = found.where(F.col("kind") == HOT)
     # How many of a document's segments in a band are frequent ones; without them, has it enough?
     burden = hot.groupBy("a", "band").agg(F.count("*").alias("frequent"), F.first("segments").alias("segments"), F.first("need").alias("need"))
@@ -391,7 +490,7 @@ def _block_links(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=out)
 
 
-def similar_groups(docs: DataFrame, text_col: str = "text", slot_keys: int = SLOT_KEYS, long_run: int = LONG_RUN) -> DataFrame:
+def similar_groups(docs: DataFrame, text_col: str = "text", slot_keys: int = SLOT_KEYS, long_run: int = LONG_RUN, hot_run: int = HOT_RUN) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id.
 
     Null and empty texts have an empty set and link with nothing. Rows that repeat an id are one document with the links
@@ -399,10 +498,12 @@ def similar_groups(docs: DataFrame, text_col: str = "text", slot_keys: int = SLO
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = stored(measured(rows), "sizes")
-    links = jaccard_links(rows.where("doc_id IS NOT NULL"), sizes.where("doc_id IS NOT NULL"), slot_keys, long_run)
+    all_sizes = stored(measured(rows, min(TALLY_LEAST, hot_run)), "sizes")
+    sizes, hot_keys = all_sizes.where("n >= 0").drop("keys"), hot_signatures(all_sizes.where("n < 0"), hot_run)
     known = sizes.where("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("digest", "first")
+    classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("digest", "first"))
+    gone = cut(copies_of_others(known, classes))
+    links = jaccard_links(rows.where("doc_id IS NOT NULL"), sizes.where("doc_id IS NOT NULL"), gone, slot_keys, long_run, hot_keys)
     same = known.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     roots = components(links.unionByName(same))
     return sizes.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

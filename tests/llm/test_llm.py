@@ -151,6 +151,35 @@ def test_ngram_join_against_brute_force(spark, slot_keys, long_run):
     assert sorted(map(tuple, got), key=str) == sorted(brute_components(rows), key=str)
 
 
+@pytest.mark.parametrize("hot_run", [0, 5])
+def test_ngram_join_with_hot_signatures(spark, hot_run):
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [r for r in some_rows(3) if r[0] not in (906, 907)] + [(1000 + k, passage + " " + " ".join(f"q{rng.randrange(9999)}" for _ in range(rng.randrange(0, 60))), 1) for k in range(120)]
+    rows += [(3000 + k, rows[70][1], 1) for k in range(150)] + [(3000, "one two", 1), (1001, rows[70][1], 1)]
+    rows += [(5000 + k, " ".join(rng.choice("abc") for _ in range(rng.randrange(3, 7))), 1) for k in range(60)]
+    docs = documents(spark, rows)
+    got = ngram_join.similar_groups(docs, hot_run=hot_run).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_components(rows), key=str)
+
+
+def test_no_slot_holds_all_documents_of_a_signature(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + " " + " ".join(f"q{k}x{j}" for j in range(20)), 1) for k in range(400)] + [(1000 + k, "a copy of one text", 1) for k in range(400)]
+    docs = documents(spark, rows).select("doc_id", "text")
+    tallied = ngram_join.measured(docs.repartition(4))
+    sizes, hot = tallied.where("n >= 0"), ngram_join.hot_signatures(tallied.where("n < 0"), 100)
+    assert len(hot[0]) >= 56 and 390 <= min(hot[1]) <= max(hot[1]) == 400  # a segment can hold another shingle as well
+    classes = sizes.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    gone = ngram_join.copies_of_others(sizes, classes)
+    assert sorted(r.doc_id for r in gone.collect()) == list(range(1001, 1400))
+    slots = dict.fromkeys(range(40), 1 << 20)
+    signed = ngram_join.signed(docs.join(gone, "doc_id", "left_anti"), slots, hot[0], 64)
+    assert signed.groupBy("slot").count().agg(F.max("count")).first()[0] < 40
+    before = ngram_join.signed(docs, slots)  # the same without counting first
+    assert before.groupBy("slot").count().agg(F.max("count")).first()[0] >= 400
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(200 + rng.randrange(50), 200 + rng.randrange(50)) for _ in range(40)]
