@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,18 +20,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: what is read again was computed once and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage: what is read again was computed once and survives lost executors.
+
+    A table in the shared folder, as a checkpoint would keep the size that was estimated for its plan: over rounds of
+    joins such estimates multiply until planning takes longer than the work. A table has the size of its files.
+    """
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but as a compressed Parquet table in the shared folder: for what is wide or read by columns."""
+    """df as a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table made by stored(), once all that was read from it is cut or written."""
+    context = df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+OFTEN_KEYS = 10_000
+LEAST_OFTEN = 200
+PLAIN_ROWS = 20_000
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how), where right has each key once at most and left may have one in a third of its rows.
+
+    Keys that left has often, at most OFTEN_KEYS of them whatever the data, are counted first; their rows are dealt to
+    several salts and right's row is repeated for each, so no key stays in one task. left should be cut or stored, as
+    it is read twice; so few rows as PLAIN_ROWS are no burden for one task. how: inner or left.
+    """
+    n = left.count()
+    if n <= PLAIN_ROWS:
+        return left.join(right, keys, how)
+    most = max(LEAST_OFTEN, math.ceil(n / OFTEN_KEYS))
+    often = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    often = F.broadcast(cut(often.select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))))
+    one = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(often, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), one).cast("int")).drop("_salts")
+    each = right.join(often, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

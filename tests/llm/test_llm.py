@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import chat, exact_dedup, fingerprints, language_id, license_scan, mixing, ngram_join, packing, surrogates, warc_zip
+from skein.llm.common import many_to_one
 from skein.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -165,21 +166,54 @@ def test_ngram_join_with_hot_signatures(spark, hot_run):
 
 def test_no_slot_holds_all_documents_of_a_signature(spark):
     passage = " ".join(f"p{k}" for k in range(60))
-    rows = [(k, passage + " " + " ".join(f"q{k}x{j}" for j in range(20)), 1) for k in range(400)] + [(1000 + k, "a copy of one text", 1) for k in range(400)]
-    docs = documents(spark, rows).select("doc_id", "text")
-    tallied = ngram_join.measured(docs.repartition(4))
-    sizes, hot = tallied.where("n >= 0"), ngram_join.hot_signatures(tallied.where("n < 0"), 100)
+    rows = [(k, passage + " " + " ".join(f"q{k}x{j}" for j in range(20))) for k in range(400)] + [(1000 + k, "a copy of one text of some words") for k in range(400)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "row long, doc_id long, text string")
+    sets = ngram_join.measured(docs.repartition(4))
+    hot = ngram_join.hot_signatures(sets.where("n < 0"), 100)
     assert len(hot[0]) >= 56 and 390 <= min(hot[1]) <= max(hot[1]) == 400  # a segment can hold another shingle as well
-    classes = sizes.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    gone = ngram_join.copies_of_others(sizes, classes)
-    assert sorted(r.doc_id for r in gone.collect()) == list(range(1001, 1400))
+    assert len(ngram_join.hot_signatures(sets.where("n < 0"), 2, most=100)[0]) <= 100
+    sets = sets.where("n > 0 AND row < 1001").select(F.col("row").alias("id"), "n", "tokens")
     slots = dict.fromkeys(range(40), 1 << 20)
-    signed = ngram_join.signed(docs.join(gone, "doc_id", "left_anti"), slots, hot[0], 64)
+    signed = ngram_join.signed(sets, slots, hot[0], 64)
     assert signed.groupBy("slot").count().agg(F.max("count")).first()[0] < 40
-    before = ngram_join.signed(docs, slots)  # the same without counting first
+    before = ngram_join.signed(sets, slots)  # the same without counting first
     assert before.groupBy("slot").count().agg(F.max("count")).first()[0] >= 400
 
 
+def template_pages(rng, n, first_id):
+    """Pages of one template: near enough to share most shingles, some of them near enough to link."""
+    body = [f"t{k}" for k in range(80)]
+    rows = []
+    for k in range(n):
+        w = list(body)
+        at = rng.randrange(0, 60)
+        w[at : at + rng.choice([1, 4, 8, 12])] = [f"u{rng.randrange(30)}" for _ in range(rng.choice([1, 4, 8, 12]))]
+        rows.append((first_id + k, " ".join(w), 1))
+    return rows
+
+
+@pytest.mark.parametrize("options", [{}, {"long_run": 2, "slot_keys": 300}, {"hot_run": 5}])
+def test_ngram_join_of_pages_of_templates(spark, monkeypatch, options):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "CENTRES", 1)
+    rng = random.Random(12)
+    rows = template_pages(rng, 150, 1)
+    pool = [[f"m{p}x{k}" for k in range(9)] for p in range(8)]
+    rows += [(1000 + k, " ".join(w for p in rng.sample(pool, 6) for w in p), 1) for k in range(120)]  # mosaics of passages
+    rows += [(2000 + k, " ".join(f"s{j}" for j in range(3 * k, 3 * k + 60)), 1) for k in range(60)]  # a chain
+    got = ngram_join.similar_groups(documents(spark, rows), **options).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows))
+
+
+def test_many_to_one_deals_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr("skein.llm.common.PLAIN_ROWS", 0)
+    left = spark.range(5000).select("id", F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k")).union(spark.createDataFrame([(-1, None)], "id long, k long"))
+    right = spark.createDataFrame([(1, "a"), (4000, "b")], "k long, v string")
+    got = {r.id: r.v for r in many_to_one(left, right, ["k"], "left").collect()}
+    assert len(got) == 5001 and all(got[i] == ("a" if 0 <= i < 3000 else "b" if i == 4000 else None) for i in got)
+    assert many_to_one(left, right, ["k"]).count() == 3001 and many_to_one(left.limit(0), right, ["k"]).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(200 + rng.randrange(50), 200 + rng.randrange(50)) for _ in range(40)]
