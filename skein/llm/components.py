@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         parent = cut(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("p")))
         while True:
             hop = parent.select(F.col("id").alias("p"), F.col("p").alias("_p"))
-            further = cut(many_to_one(parent, hop, ["p"]).select("id", F.col("_p").alias("p"), (F.col("_p") < F.col("p")).alias("moved")))
+            once = many_to_one(parent, hop, ["p"]).select("id", F.col("p").alias("_from"), F.col("_p").alias("p"))
+            further = cut(once.join(hop, "p").select("id", F.col("_p").alias("p"), (F.col("_p") < F.col("_from")).alias("moved")))
             parent = further.select("id", "p")
             if further.where("moved").isEmpty():
                 break

@@ -12,10 +12,10 @@ first, so two similar documents that share no rare segment meet in a frequent ru
 sets, where H is 1 at most, two similar sets differ in one shingle that only the larger one has: the smaller set is
 indexed whole and the larger one asks with its one-deletion neighbourhood.
 
-Frequent runs are not paired out. Each document of a run is held against a centre of the run (the one with the fewest rare
-segments: the text that the others were made from, if there is one), then against others; a run whose documents are all in
-one component needs no more. What remains after rounds that no longer help are documents of different components in
-one run: these, and only these, are compared block against block.
+Frequent runs are not paired out. Each document of a run is held against a few centres of the run (the one with the fewest
+rare segments, the text that the others were made from, if there is one, and some that are drawn); a run whose documents
+are all in one component needs no more. What remains after rounds that no longer help are documents of different
+components in one run: these, and only these, are compared block against block.
 
 No task has to hold all documents of a signature: of documents with one set only one is signed, and signatures that very
 many sets share are found by counting beforehand. They are not sent to the task of their slot; the documents that hold
@@ -54,8 +54,9 @@ HOT_RUN = 1 << 15  # holders of a signature beyond which they don't meet in one
 HOT_KEYS = 1 << 20  # signatures that count as hot at most; with more of them, the bound above doubles
 TALLY_KEYS = 1 << 20  # signatures counted at a time
 TALLY_LEAST = 4  # holders among these from which a signature is reported; what stays below it in all counts is no hot run
-CENTRES = 4  # of a run, in every round but the first
+CENTRES = 4  # of a run, in each round
 ENOUGH = 0.75  # rounds go on while each leaves at most this share of the documents in open runs
+FEW_OPEN = 1 << 14  # documents whose few blocks cost less than another round
 BLOCK_ROWS, BLOCK_TOKENS = 1536, 1 << 19
 
 
@@ -91,7 +92,7 @@ def shingle_sets(texts: list[str | None], words: dict[bytes, int]) -> tuple[np.n
     h = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.uint64, int(lengths.sum()))
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    place = [_mixed(h ^ p) * p for p in PLACES]
+    place = [h * p for p in PLACES]
     total = np.zeros(len(h), np.uint64)
     for k in range(SHINGLE_WORDS):
         total[: max(0, len(h) - k)] += place[k][k:]
@@ -497,23 +498,22 @@ def _frequent_links(sets: DataFrame, hot: DataFrame, burden: DataFrame, links: D
     cheap = Window.partitionBy("a", "band").orderBy("length", "run")
     rows = hot.select("a", "band", "run", F.col("votes").alias("length"), F.col("na").alias("n")).join(needy, ["a", "band"])
     members = cut(rows.withColumn("k", F.row_number().over(cheap)).where("k <= missing").select("run", "a", "n", (F.col("rare") * 1000 / F.col("n")).cast("int").alias("rare")))
-    left = None
+    left, open_ = None, members.withColumn("root", F.col("a"))
     for turn in count():
+        # One centre is the document with the fewest rare segments, at first; the others are drawn.
+        draws = [F.struct(F.xxhash64("a", F.lit(CENTRES * turn + k)).alias("h"), "a") for k in range(CENTRES)]
+        draws = draws if turn else [F.struct("rare", "n", "a"), *draws[1:]]
+        centres = open_.groupBy("run").agg(*[F.min(d)["a"].alias(f"c{k}") for k, d in enumerate(draws)]).withColumn("c", F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)])))
+        tried = many_to_one(open_, centres.select("run", "c"), ["run"]).select("a", F.explode("c").alias("b")).where("a <> b")
+        verdicts = verified(sets, cut(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        links = cut(links.unionByName(verdicts))
         open_ = _rooted(members, links)
         size = open_.select("a").distinct().count()
         if not size:
             return links
-        if left is not None and size > ENOUGH * left:
-            break
+        if size <= FEW_OPEN or (left is not None and size > ENOUGH * left):
+            return cut(links.unionByName(_blockwise(sets, open_)))
         left = size
-        # The first centre is the document with the fewest rare segments; later ones are drawn.
-        draws = [F.struct("rare", "n", "a")] if not turn else [F.struct(F.xxhash64("a", F.lit(CENTRES * turn + k)).alias("h"), "a") for k in range(CENTRES)]
-        centres = open_.groupBy("run").agg(*[F.min(d)["a"].alias(f"c{k}") for k, d in enumerate(draws)]).withColumn("c", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(len(draws))])))).select("run", "c")
-        centres = centres.join(open_.select("a", "root").distinct().select(F.col("a").alias("c"), F.col("root").alias("c_root")), "c").groupBy("run").agg(F.collect_list(F.struct("c", "c_root")).alias("cs"))
-        tried = many_to_one(open_, centres, ["run"]).select("a", "root", F.explode("cs").alias("c")).where("root <> c.c_root")
-        pairs = cut(tried.select("a", F.col("c.c").alias("b")).distinct())
-        links = cut(links.unionByName(verified(sets, pairs)))
-    return cut(links.unionByName(_blockwise(sets, open_)))
 
 
 def _blockwise(sets: DataFrame, members: DataFrame) -> DataFrame:

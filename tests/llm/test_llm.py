@@ -196,6 +196,7 @@ def template_pages(rng, n, first_id):
 def test_ngram_join_of_pages_of_templates(spark, monkeypatch, options):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
     monkeypatch.setattr(ngram_join, "CENTRES", 1)
+    monkeypatch.setattr(ngram_join, "FEW_OPEN", 40)
     rng = random.Random(12)
     rows = template_pages(rng, 150, 1)
     pool = [[f"m{p}x{k}" for k in range(9)] for p in range(8)]
