@@ -35,6 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with its rows numbered in a column ``name``: stored, so that all who read it see the same numbers."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by stored(), once all that was read from it is cut or written."""
     context = df.sparkSession.sparkContext

@@ -3,7 +3,8 @@
 A text without white space is cut into blocks of a fixed number of characters. Distinct blocks, sorted, get integer
 names; then adjacent names are paired, the distinct pairs sorted and named in turn, until each document has one name.
 Two documents are equal exactly when they need as many rounds and end with the same name: names stand for contents,
-not for hashes of them.
+not for hashes of them. The order is that of a 64-bit hash, ties by content, and a name is the rank in it, so names
+depend on the contents alone and not on partitions. As hashes are spread evenly, the order is found in even ranges.
 
 The block texts are shuffled once, where they are named. The documents find their names by a 64-bit hash of the block;
 blocks whose hash belongs to more than one text (checked, not assumed) are joined by the text itself.
@@ -11,12 +12,13 @@ blocks whose hash belongs to more than one text (checked, not assumed) are joine
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, many_to_one, numbered, stored, table
 
 BLOCK_CHARS = 2048
+RANGE_BITS = 12  # hash ranges that are sorted each for itself
 
 
 def normalised(text: Column) -> Column:
@@ -30,61 +32,60 @@ def blocks(text: Column, size: int) -> Column:
 
 
 def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Sorts each partition of distinct keys and numbers its rows; numbers are unique over all partitions."""
-    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
+    """Adds ``name``, the rank of each of the distinct keys in the order of (h, keys)."""
+    rows = cut(distinct.withColumn("_range", F.shiftright("h", 64 - RANGE_BITS)))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("h", *keys))
+    return rows.join(F.broadcast(offsets), "_range").withColumn("name", F.col("_before") + place - 1).drop("_range", "_before")
 
 
 def name_texts(docs: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS, block_hash=F.xxhash64) -> DataFrame:
-    """``docs`` rows as (row, doc_id, n_chars, text_sha256, n_blocks, name).
+    """docs: a stored table whose column ``row`` numbers its rows. Gives (row, doc_id, n_chars, text_sha256, n_blocks, name).
 
-    ``row`` numbers the rows of docs, so repeated ids and null ids stay apart. Rows have equal normalised texts exactly
-    when (n_blocks, name) agree. Null texts count as empty. Other columns of docs are not read.
+    Rows have equal normalised texts exactly when (n_blocks, name) agree. Null texts count as empty. Other columns of
+    docs are not read.
     """
-    source = docs.select("doc_id", F.col(text_col).alias("_text"))
-    clean = source.withColumn("_norm", normalised(F.col("_text")))
-    thin = cut(
-        clean.select(
-            F.monotonically_increasing_id().alias("row"),
+    source = docs.select("row", "doc_id", F.col(text_col).alias("_text"))
+    thin = stored(
+        source.withColumn("_norm", normalised(F.col("_text"))).select(
+            "row",
             "doc_id",
             F.length(F.coalesce("_text", F.lit(""))).cast("long").alias("n_chars"),
             F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256"),
             F.transform(blocks(F.col("_norm"), block_chars), lambda b: block_hash(b)).alias("hashes"),
-        )
+        ),
+        "thin",
     )
     block = source.select(F.explode(blocks(normalised(F.col("_text")), block_chars)).alias("block")).withColumn("h", block_hash(F.col("block")))
-    names = cut(_named(block.select("h", "block").distinct(), ["block"]).select("h", "name"))
-    by_hash = names.groupBy("h").agg(F.min("name").alias("name"), F.count("*").alias("n"))
-    each = thin.select("row", F.posexplode("hashes").alias("pos", "h"))
-    level = each.join(by_hash, "h").select("row", "pos", "h", "name", "n")
-    shared = by_hash.where("n > 1").select("h")
+    names = cut(_named(block.select("h", "block").distinct().groupBy("h").agg(F.count("*").alias("n")), []))
+    level = many_to_one(thin.select("row", F.posexplode("hashes").alias("pos", "h")), names, ["h"])
+    shared = names.where("n > 1").select("h")
     if not shared.isEmpty():
         level = _told_apart(source, level, shared, block_chars, block_hash)
-    level = cut(level.select("row", "pos", "name"))
     sizes = thin.withColumn("n_blocks", F.size("hashes")).drop("hashes")
-    done, rest = None, level.join(sizes.select("row", "n_blocks"), "row")
+    rest = cut(level.select("row", "pos", "name").join(sizes.select("row", "n_blocks"), "row"))
     longest = sizes.agg(F.max("n_blocks")).first()[0] or 1
-    done = rest.where("n_blocks = 1").select("row", "name")
-    rest, width = rest.where("n_blocks > 1"), 1
+    done, rest, width = rest.where("n_blocks = 1").select("row", "name"), rest.where("n_blocks > 1"), 1
     while width < longest:  # as many rounds as the longest document has doublings
         pairs = rest.groupBy("row", "n_blocks", F.expr("pos div 2").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
         )
         pairs = cut(pairs)
-        named = cut(_named(pairs.select("left", "right").distinct(), ["left", "right"]))
+        distinct = pairs.select("left", "right").distinct().withColumn("h", F.xxhash64("left", "right"))
         width *= 2
-        rest = pairs.join(named, ["left", "right"]).select("row", "n_blocks", "pos", "name")
+        rest = cut(many_to_one(pairs, cut(_named(distinct, ["left", "right"])), ["left", "right"]).select("row", "n_blocks", "pos", "name"))
         done = done.unionByName(rest.where(F.col("n_blocks") <= width).select("row", "name"))
-        rest = cut(rest.where(F.col("n_blocks") > width)) if width < longest else rest
+        rest = rest.where(F.col("n_blocks") > width)
     return sizes.join(done, "row")
 
 
 def _told_apart(source: DataFrame, level: DataFrame, shared: DataFrame, size: int, block_hash) -> DataFrame:
     """Names for the blocks whose hash stands for several texts: those texts alone are read again and joined."""
-    numbered = source.select(F.monotonically_increasing_id().alias("row"), blocks(normalised(F.col("_text")), size).alias("_blocks"))  # before rows multiply
-    rows = numbered.select("row", F.posexplode("_blocks").alias("pos", "block"))
-    rows = rows.withColumn("h", block_hash(F.col("block"))).join(shared, "h", "left_semi")
-    own = cut(_named(rows.select("block").distinct(), ["block"]))
-    fixed = rows.join(own, "block").select("row", "pos", (-2 - F.col("name")).alias("name"))
+    rows = source.select("row", F.posexplode(blocks(normalised(F.col("_text")), size)).alias("pos", "block"))
+    rows = stored(rows.withColumn("h", block_hash(F.col("block"))).join(shared, "h", "left_semi"), "shared")
+    own = cut(_named(rows.select("h", "block").distinct(), ["block"]).drop("h"))
+    fixed = many_to_one(rows, own, ["block"]).select("row", "pos", (-2 - F.col("name")).alias("name"))
     return level.where("n = 1").select("row", "pos", "name").unionByName(fixed)
 
 
@@ -94,18 +95,22 @@ def exact_groups(docs: DataFrame, text_col: str = "text", block_chars: int = BLO
     Of rows with equal normalised texts the one with the most characters in the original text stays, then the smallest
     doc_id (null last), then, among repeated rows, the first. An empty table gives an empty result.
     """
+    return _groups(numbered(docs.select("doc_id", text_col), "row"), text_col, block_chars, block_hash)
+
+
+def _groups(docs: DataFrame, text_col: str, block_chars: int = BLOCK_CHARS, block_hash=F.xxhash64) -> DataFrame:
     named = cut(name_texts(docs, text_col, block_chars, block_hash))
     best = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
     groups = named.groupBy("n_blocks", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("n_blocks", "name", "group_size", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_row"))
-    # Most documents are alone in their group: only the others are joined, and Spark splits a hot group there.
-    return named.join(groups, ["n_blocks", "name"]).select("row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return many_to_one(named, cut(groups), ["n_blocks", "name"]).select("row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Row numbers come from the same scan in the same order."""
-    kept = exact_groups(docs, text_col).where("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    """The rows of docs that stay, with all their columns, whatever their names. Rows are numbered once, in a stored copy."""
+    packed = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")), "row")
+    kept = _groups(packed.select("row", "_all.doc_id", F.col(f"_all.`{text_col}`").alias("text")), "text").where("kept").select("row")
+    return packed.join(kept, "row", "left_semi").select(*[F.col(f"_all.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
