@@ -3,7 +3,9 @@
 Targets: the sources share all words by weight, stop at a multiple of their own size, and the excess is reshared. The
 mix is made of blocks of equally many words. Highest quotients target / (2k + 1) give each source an integer number of
 blocks; the same rule gives each of a source's shards its quota; and within a shard a seeded permutation of its blocks
-says which are taken once more than the others. A shard is a bounded part of a source, so a hot source is many shards.
+says which are taken once more than the others. A shard is a bounded part of a source, so a hot source is many shards;
+where they are more than WARD_SHARDS, wards of so many shards get their quotas first, by the same rule, so no apportionment
+ranks more than a bounded number of shards at once. The few rows of sources and wards are ranked in one window each.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, index_range, table
+from .common import cut, index_range, numbered, table
 
 BLOCK_WORDS = 8
 SHARD_ROWS = 256
-MAX_SHARDS = 4096
+WARD_SHARDS = 4096
 #: A prime above the number of blocks of a shard, so that multiplying by it permutes them.
 PRIME = 2147483647
 
@@ -72,19 +74,27 @@ def mix(
     seed: int = 7,
     block_words: int = BLOCK_WORDS,
     shard_rows: int = SHARD_ROWS,
+    ward_shards: int = WARD_SHARDS,
 ) -> DataFrame:
     """Per row of docs: doc_id, row, source, size, source_size, target, taken (words the mix takes, repeats counted).
 
     Null texts have no words; a null source is a source of its own, last in order; rows that repeat are taken each for
-    itself; an empty table gives an empty result. Nothing is taken more than ``most`` times.
+    itself; an empty table gives an empty result. Nothing is taken more than ``most`` times, a whole number.
     """
-    sizes = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    if most != int(most):
+        raise ValueError("most: a block is taken a whole number of times")
+    sizes = numbered(docs.select("doc_id", F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "row")
+    return _mix(sizes, weights, most, seed, block_words, shard_rows, ward_shards)
+
+
+def _mix(sizes: DataFrame, weights: Sequence[float], most: float, seed: int, block_words: int, shard_rows: int, ward_shards: int) -> DataFrame:
+    """sizes: (row, doc_id, source, size), stored."""
     sources = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     sources = sources.withColumn("blocks", F.round(total / block_words).cast("long"))
     sources = cut(
         sainte_lague(sources, [], ["source"], "target", "blocks")
-        .withColumn("shards", F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("rows") / shard_rows))).cast("int"))
+        .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("rows") / shard_rows)).cast("long"))
         .select("source", "source_size", "target", "quota", "shards")
     )
     # Sources are few beside rows, but their number has no bound: an ordinary join, which Spark may turn to a broadcast.
@@ -93,10 +103,15 @@ def mix(
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = sizes.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(salts)).cast("int")).alias("d")
     rows = rows.join(salted.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.salt") == F.col("s.salt"))).select("d.row", "d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.shards")
-    rows = rows.withColumn("deal", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("shard", F.pmod(F.col("deal"), F.col("shards")).cast("int")).drop("shards")
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = shards.alias("h").join(sources.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).select("h.source", "h.shard", "h.shard_size", "s.quota")
-    shards = sainte_lague(shards.withColumnRenamed("quota", "seats"), ["source"], ["shard"], "shard_size", "seats").drop("seats")
+    rows = rows.withColumn("deal", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("shard", F.pmod(F.col("deal"), F.col("shards"))).drop("shards")
+    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")).withColumn("ward", F.expr(f"shard div {ward_shards}"))
+    shards = cut(shards)
+    wards = shards.groupBy("source", "ward").agg(F.sum("shard_size").alias("ward_size"))
+    wards = wards.alias("h").join(sources.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).select("h.source", "h.ward", "h.ward_size", F.col("s.quota").alias("seats"))
+    wards = cut(sainte_lague(wards, ["source"], ["ward"], "ward_size", "seats"))
+    same_ward = F.col("h.source").eqNullSafe(F.col("w.source")) & (F.col("h.ward") == F.col("w.ward"))
+    shards = shards.alias("h").join(wards.alias("w"), same_ward).select("h.source", "h.ward", "h.shard", "h.shard_size", F.col("w.quota").alias("seats"))
+    shards = sainte_lague(shards, ["source", "ward"], ["shard"], "shard_size", "seats").drop("seats", "ward")
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("deal"), "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
     both = placed.alias("p").join(shards.alias("h"), F.col("p.source").eqNullSafe(F.col("h.source")) & (F.col("p.shard") == F.col("h.shard"))).select("p.*", "h.shard_size", "h.quota")
@@ -119,18 +134,28 @@ def mix(
     return both.withColumn("taken", (F.col("times") * F.col("size") + some).cast("long")).select("row", "doc_id", "source", "size", "source_size", "target", "taken", "shard")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it: taken / size, rounded by a seeded draw.
+def mixed_documents(
+    docs: DataFrame,
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    most: float = 3.0,
+    seed: int = 7,
+) -> DataFrame:
+    """The documents of the mix, with all their columns, each as often as the mix takes it: taken / size, rounded by a
+    draw that the seed, the id and the size decide, whatever the files.
 
-    Documents without words cannot be weighed and stay once.
+    Documents without words (null or empty texts) cannot be weighed and stay once. A null source is a source of its own;
+    rows that repeat are taken each for itself; an empty table gives an empty result.
     """
-    quota = mix(docs, **options).select(F.col("row").alias("__row"), "size", "taken")
-    draw = F.pmod(F.xxhash64("__row", F.lit(11)), F.lit(1000003)) / 1000003.0
+    packed = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")), "row")
+    sizes = cut(packed.select("row", "_all.doc_id", F.col(f"_all.`{source_col}`").alias("source"), n_words(F.col(f"_all.`{text_col}`")).alias("size")))
+    quota = _mix(sizes, weights, most, seed, BLOCK_WORDS, SHARD_ROWS, WARD_SHARDS).select("row", "doc_id", "size", "taken")
+    draw = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 4)), F.lit(1000003)) / 1000003.0
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(F.lit(1)).cast("int")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    chosen = quota.select("__row", copies.alias("__copies")).where("__copies > 0")
-    joined = numbered.join(chosen, "__row")
-    return joined.withColumn("__again", F.explode(index_range(F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = quota.select("row", copies.alias("_copies")).where("_copies > 0")
+    again = packed.join(chosen, "row").withColumn("_again", F.explode(index_range(F.col("_copies"))))
+    return again.select(*[F.col(f"_all.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
