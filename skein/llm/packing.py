@@ -4,7 +4,7 @@ Texts are tokenised once; from then on only thin rows (id, piece, length, checks
 sequences by themselves. The others are dealt to partitions, packed there by best-fit decreasing, and each partition's
 number of sequences is held against lower bounds from dual-feasible functions. A partition that meets its bound is
 certified and done; from the others, the documents of sequences that are not full go to a pool, are dealt anew in fewer
-partitions, mixed with those of other partitions, and packed again.
+partitions, mixed with those of other partitions, and packed again, until an exchange saves (next to) nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,7 @@ from .common import cut, ship, stored, table
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
-ROUNDS = 6
-LAST_GROUPS = 4  # a pool of at most so many groups is packed as one
+LEAST_GAIN = 0.001  # of the pool's sequences that an exchange has to save for another one to follow
 END_ID = 0
 
 
@@ -118,53 +118,55 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 ITEM = "row long, piece int, length long"
 
 
-def _pack_groups(items: DataFrame, capacity: int, last: bool, label: int) -> DataFrame:
-    """items (with ``dealt``) packed in their groups: sequence (a string) and offset, or null for the pool."""
+def _pack_groups(items: DataFrame, capacity: int, label: int) -> DataFrame:
+    """items (with ``dealt``) packed in their groups: sequence (a string), offset, and certified: the group meets its
+    bound. Of the other groups the sequences that are not full are ``open``."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable")
         lengths = frame["length"].to_numpy()
         bins, offsets, rooms = best_fit_decreasing(lengths, capacity)
-        certified = len(rooms) <= lower_bound(lengths, capacity)
-        stays = np.ones(len(frame), bool) if last or certified else (rooms == 0)[bins]
         group = int(frame["dealt"].iloc[0])
         out = frame[["row", "piece", "length"]].copy()
-        out["sequence"] = [f"{label}-{group}-{b}" if s else None for b, s in zip(bins.tolist(), stays.tolist(), strict=True)]
+        out["sequence"] = [f"{label}-{group}-{b}" for b in bins.tolist()]
         out["offset"] = offsets
+        out["certified"] = len(rooms) <= lower_bound(lengths, capacity)
+        out["open"] = ~out["certified"] & (rooms > 0)[bins]
         return out
 
-    return items.groupBy("dealt").applyInPandas(pack, ITEM + ", sequence string, offset long")
+    return items.groupBy("dealt").applyInPandas(pack, ITEM + ", sequence string, offset long, certified boolean, open boolean")
 
 
-def pack(
-    docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS
-) -> DataFrame:
-    """Per piece: row, doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Per piece: row, doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified (whether its group meets
+    the bound, so that no packing of the group's pieces takes fewer sequences).
 
     Every document gives at least one piece (its end id), so null and empty texts are packed as well; repeated rows and
     null ids are told apart by ``row``. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     cut_pieces = stored(pieces(docs, text_col, path, capacity), "pieces")
-    open_items = cut_pieces.where(F.col("length") < capacity).select("row", "piece", "length")
-    left, placed = open_items, None
-    for k in range(rounds):
+    left, placed, before = cut_pieces.where(F.col("length") < capacity).select("row", "piece", "length"), None, None
+    for k in count():
         n = left.count()
         if not n:
             break
         groups = math.ceil(n / group_pieces)
-        groups = 1 if groups <= LAST_GROUPS else groups
-        last = k == rounds - 1 or groups == 1
-        dealt = left.withColumn("dealt", F.pmod(F.xxhash64("row", "piece", F.lit(k)), F.lit(groups)).cast("int"))
-        done = cut(_pack_groups(dealt, capacity, last, k))
-        fixed = done.where("sequence IS NOT NULL")
+        dealt = left.select("row", "piece", "length").withColumn("dealt", F.pmod(F.xxhash64("row", "piece", F.lit(k)), F.lit(groups)).cast("int"))
+        done = cut(_pack_groups(dealt, capacity, k))
+        took = done.select("sequence").distinct().count()
+        if before is not None and took >= before:  # the exchange saved nothing: the pool stays as it was
+            placed = placed.unionByName(left)
+            break
+        fixed, pool = done.where("NOT open"), done.where("open")
         placed = fixed if placed is None else placed.unionByName(fixed)
-        left = done.where("sequence IS NULL").select("row", "piece", "length")
-        if last:
+        if groups == 1 or (before is not None and before - took < LEAST_GAIN * before):
+            placed = placed.unionByName(pool)
             break
-    full = cut_pieces.where(F.col("length") >= capacity).withColumn("sequence", F.concat_ws("-", F.lit("f"), "row", "piece")).withColumn("offset", F.lit(0).cast("long"))
+        left, before = pool, pool.select("sequence").distinct().count()
+    full = cut_pieces.where(F.col("length") >= capacity).withColumn("sequence", F.concat_ws("-", F.lit("f"), "row", "piece")).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
     if placed is not None:
-        part = cut_pieces.where(F.col("length") < capacity).join(placed.select("row", "piece", "sequence", "offset"), ["row", "piece"])
+        part = cut_pieces.where(F.col("length") < capacity).join(placed.select("row", "piece", "sequence", "offset", "certified"), ["row", "piece"])
         full = full.unionByName(part)
     # A sequence's number comes from its name: 63 bits of a hash would do but for chance, so names are numbered by sorting.
     return _numbered(full)
@@ -172,7 +174,7 @@ def pack(
 
 def _numbered(rows: DataFrame) -> DataFrame:
     names = cut(rows.select("sequence").distinct().sortWithinPartitions("sequence").withColumn("sequence_id", F.monotonically_increasing_id()))
-    return rows.join(names, "sequence").select("row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return rows.join(names, "sequence").select("row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
