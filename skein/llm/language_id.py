@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, table
@@ -30,7 +30,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BUCKET_BITS = 15
-SAMPLE_ROWS = 400  # of each language, about; never more than twice as many
+SAMPLE_ROWS = 400  # of each language at most
 SLICE_BYTES = 1 << 20
 #: Bytes of ASCII that are not letters count as spaces.
 TABLE = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -111,6 +111,7 @@ class Model:
     families: list[str]
     duels: list[tuple[str, str, str]]  # level ("" or a family), first, second
     weights: np.ndarray
+    least: float = 0.0  # scores below it are lower than labelled texts have
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         margins = sums(texts, self.weights) if len(self.duels) else np.zeros((len(texts), 0))
@@ -145,9 +146,9 @@ class Model:
 def fit(labelled: Iterable[tuple[str, str]]) -> Model:
     """labelled: (language, text) rows of the sample."""
     by: dict[str, list] = {}
-    for lang, text in labelled:
-        if has_letter(text):
-            by.setdefault(lang, []).extend(examples(text))
+    taught = [(lang, text) for lang, text in labelled if has_letter(text)]
+    for lang, text in taught:
+        by.setdefault(lang, []).extend(examples(text))
     languages = sorted(by)
     families = sorted({family(x) for x in languages})
     duels, weights = [], []
@@ -158,7 +159,11 @@ def fit(labelled: Iterable[tuple[str, str]]) -> Model:
         for a, b in combinations([x for x in languages if family(x) == f], 2):
             duels.append((f, a, b))
             weights.append(fit_svm(by[a], by[b]))
-    return Model(languages, families, duels, np.array(weights, np.float32).reshape(len(duels), FEATURES))
+    model = Model(languages, families, duels, np.array(weights, np.float32).reshape(len(duels), FEATURES))
+    names, scores = model.predict([t for _, t in taught]) if taught else ([], [])
+    margins = [np.log(s / (1 - s)) for (lang, _), name, s in zip(taught, names, scores, strict=True) if lang == name and 0 < s < 1]
+    model.least = float(1 / (1 + np.exp(-min(margins) / 2))) if margins else 0.0  # half the least margin of a text told right
+    return model
 
 
 def held_out(doc_id: Column) -> Column:
@@ -167,16 +172,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on about sample_rows labelled rows of each language, chosen by a hash of their id over the whole table."""
+    """Fits on sample_rows different labelled rows of each language at most (fewer by chance where ids repeat): those
+    with the smallest hashes of id and text over the whole table, so that reruns agree."""
     rows = docs.select(F.col("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each language
     if not counts:
         return Model([], [], [], np.zeros((0, FEATURES), np.float32))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    bound = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(sample_rows / n))]), F.col("lang"))
-    sample = rows.where(share < bound).select("lang", "doc_id", "text").limit(2 * sample_rows * len(counts)).collect()
-    return fit((r.lang, r.text) for r in sorted(sample, key=lambda r: (r.lang, r.doc_id)))
+    share = F.pmod("h", F.lit(1_000_003)) / 1_000_003.0
+    bound = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(2.0 * sample_rows / n))]), F.col("lang"))
+    near = rows.where(share < bound).groupBy("lang", "h").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_003)), "h"))
+    sample = near.withColumn("k", first).where(F.col("k") <= sample_rows).select("lang", "r.doc_id", "r.text").collect()
+    return fit((r.lang, r.text) for r in sorted(sample, key=lambda r: (r.lang, r.doc_id, r.text)))
 
 
 def predictor(model: Model):
@@ -207,11 +216,29 @@ def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mo
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def _letters():
+    @F.pandas_udf("boolean")
+    def letters(texts: pd.Series) -> pd.Series:
+        return texts.map(has_letter).astype(bool)
+
+    return letters
+
+
 def known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that have a language, with all their columns; those without a letter go."""
+    """The rows of docs whose language can be told, with all their columns; where lang is null, it is the predicted one.
+
+    Rejected are texts without a letter (null and empty ones too) and those that no language wins clearly: whose score
+    is below ``Model.least``, the score at half the least margin with which a labelled text of the sample is told right.
+    Where there is nothing to learn from, all texts with a letter stay. Repeated rows are judged each.
+    """
     ship(docs.sparkSession)
-    lang = predictor(train(docs, text_col, lang_col))(F.col(f"`{text_col}`"))["lang_pred"]
-    return docs.where(lang != UNKNOWN)
+    model = train(docs, text_col, lang_col)
+    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    if not model.languages:
+        letter = _letters()
+        return docs.where(letter(F.col(f"`{text_col}`")))
+    judged = judged.withColumn("_p", predictor(model)(F.col(f"_all.`{text_col}`"))).where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= model.least))
+    return judged.select(*[(F.coalesce(F.col(f"_all.`{c}`"), F.col("_p.lang_pred")) if c == lang_col else F.col(f"_all.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
