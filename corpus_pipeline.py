@@ -15,7 +15,7 @@ from skein.llm.packing import pack
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go."""
+    """Documents whose language can't be told go; a missing label is filled in."""
     return known_language(docs)
 
 
