@@ -33,10 +33,10 @@ def prefixes(turns: DataFrame) -> DataFrame:
 def maximal(chats: DataFrame) -> DataFrame:
     """(conv_id, n): the conversations that stay. Rows without conv_id are one conversation, as in a grouping."""
     rows = cut(prefixes(_turns(chats)))
-    whole = rows.where("i = n").select("conv_id", "n", "hash")
+    # Equal conversations are one row, and so are equal prefixes, before they meet: no key is hot.
+    whole = rows.where("i = n").groupBy("n", "hash").agg(F.min("conv_id").alias("conv_id"))
     longer = rows.where("i < n").select(F.col("i").alias("n"), "hash").distinct()
-    ends = whole.join(longer, ["n", "hash"], "left_anti")
-    return ends.groupBy("n", "hash").agg(F.min("conv_id").alias("conv_id")).select("conv_id", "n")
+    return whole.join(longer, ["n", "hash"], "left_anti").select("conv_id", "n")
 
 
 def rendered(chats: DataFrame) -> DataFrame:
