@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, ship, table
+from .common import cut, many_to_one, often, shared_dir, ship, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORDS_PER_PACKAGE = 20_000
 BYTES_PER_PACKAGE = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 1 << 20  # of a package, read by one task
+TASK_BYTES = 64 << 20  # to be read by a task, about
 
 
 def digest32(data: bytes) -> str:
@@ -170,7 +172,7 @@ def records_in(path: str) -> Iterator[tuple[int, int]]:
 
 def write_packages(pages: DataFrame, folder: str, per_package: int = RECORDS_PER_PACKAGE, per_bytes: int = BYTES_PER_PACKAGE) -> DataFrame:
     """pages: (row, page_id, url, payload binary, to_id, to_row, revisit). Writes packages into folder and returns their
-    (path, records). A task that is run again writes other files; only those that are returned count."""
+    (path, records, bytes). A task that is run again writes other files; only those that are returned count."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -193,10 +195,10 @@ def write_packages(pages: DataFrame, folder: str, per_package: int = RECORDS_PER
                         size += len(packed)
                         row = next(rows, None)
                 package.writestr(INDEX, "".join(lines))
-            done.append((f"{folder}/{name}", len(lines)))
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64()))], ["path", "records"])
+            done.append((f"{folder}/{name}", len(lines), size))
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return cut(pages.mapInArrow(write, "path string, records long"))
+    return cut(pages.mapInArrow(write, "path string, records long, bytes long"))
 
 
 READ = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("stated_digest", pa.string()), ("record_type", pa.string()), ("refers", pa.string())])
@@ -204,7 +206,10 @@ READ_DDL = "record_id string, page_id long, payload_bytes long, payload_digest s
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """packages: (path). One row per record; of a revisit, size and digest of the payload are null."""
+    """packages: (path, bytes). One row per record; of a revisit, size and digest of the payload are null.
+
+    The rows that say where records are weigh next to nothing, so the number of tasks goes by the bytes to be read.
+    """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,8 +238,11 @@ def read_packages(packages: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[] for _ in READ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, READ, strict=True)], schema=READ)
 
-    found = packages.select("path").repartition("path").mapInArrow(ranges, "path string, offset long, length long")
-    spread = found.repartition("path", F.expr(f"offset div {RANGE_BYTES}")).sortWithinPartitions("path", "offset")
+    total = packages.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    least = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, math.ceil((total.bytes or 0) / TASK_BYTES))
+    found = packages.select("path").repartition(max(1, min(total.n, tasks)), "path").mapInArrow(ranges, "path string, offset long, length long")
+    spread = found.repartition(tasks, "path", F.expr(f"offset div {RANGE_BYTES}")).sortWithinPartitions("path", "offset")
     return spread.mapInArrow(read, READ_DDL)
 
 
@@ -256,7 +264,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rank = F.struct(F.col("page_id").isNull().alias("a"), (-F.col("page_id")).alias("b"), F.col("row").alias("c"))
     best = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
     best = best.where("n > 1").select("sha", "size", (-F.col("best.b")).alias("to_id"), F.col("best.c").alias("to_row"))
-    marked = rows.join(best, ["sha", "size"], "left").withColumn("revisit", F.coalesce(F.col("row") != F.col("to_row"), F.lit(False)))
+    marked = many_to_one(rows, cut(best), ["sha", "size"], "left", often(rows, ["sha", "size"])).withColumn("revisit", F.coalesce(F.col("row") != F.col("to_row"), F.lit(False)))
     marked = marked.select("row", "page_id", "url", "payload", "to_id", "to_row", "revisit")
     read = cut(read_packages(write_packages(marked, folder)))
     own = read.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("size"), F.col("payload_digest").alias("digest")).where("size IS NOT NULL")
