@@ -1,15 +1,13 @@
 """Document fingerprints by one-permutation MinHash, in DataFrame functions only.
 
 Each five-word shingle is hashed once; the top bits choose one of 128 bins and the smallest hash of a bin stays. An
-empty bin takes the value of the first bin with one in an order of its own, that depends on its number alone (optimal
-densification; each order runs through all bins, so it always ends). Of each value the low 8 bits are stored, 8 to a
+empty bin takes the value of the first bin with one in an order of its own, drawn by a hash of both numbers (optimal
+densification: of the filled bins each is as likely to come first, independently for each empty bin). Of each value the low 8 bits are stored, 8 to a
 64-bit word. The likeness of two fingerprints is the share of equal bytes, less what chance gives.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +19,6 @@ BINS = 1 << BIN_BITS
 WORDS = BINS * VALUE_BITS // 64
 
 
-def _orders() -> tuple[list[int], list[int]]:
-    """For each bin its first choice and the inverse of its (odd) step modulo BINS."""
-    first, inverse = [], []
-    for i in range(BINS):
-        d = hashlib.sha256(f"bin {i}".encode()).digest()
-        first.append(d[0] % BINS)
-        inverse.append(pow(d[1] | 1, -1, BINS))
-    return first, inverse
-
-
 def shingle_hashes(text: Column) -> Column:
     """Hashes of all runs of five words (A-Z lower-cased); of fewer words the whole sequence; of none an empty array."""
     return let(
@@ -52,13 +40,11 @@ def _smallest(hashes: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """array<bigint> of the packed bins. A text without words has the fingerprint of zeros; null counts as empty."""
-    first, inverse = _orders()
-    starts, steps = F.array(*map(F.lit, first)), F.array(*map(F.lit, inverse))
     low = F.lit((1 << VALUE_BITS) - 1).cast("long")
 
     def dense(held: Column) -> Column:
         def borrowed(i: Column) -> Column:
-            turn = lambda h: ((_bin(h) + BINS - F.get(starts, i)) * F.get(steps, i)) % BINS
+            turn = lambda h: F.xxhash64(_bin(h) * BINS + i)
             return F.array_min(F.transform(held, lambda h: F.shiftleft(turn(h), VALUE_BITS).bitwiseOR(h.bitwiseAND(low)))).bitwiseAND(low)
 
         return let(
