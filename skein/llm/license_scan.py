@@ -82,11 +82,14 @@ def scan(
     notice_gram: int = NOTICE_GRAM,
     slack: int = 4,
     least: float = 0.5,
+    gap: float = 0.25,
 ) -> DataFrame:
     """Per span found: row, doc_id, n_words, label, base, first (word), last (word), share (of the template's k-grams).
 
     A document without a span has one row with nulls. Null and empty texts have no words. Repeated rows and null ids are
-    told apart by ``row``; other columns of docs are not read. ``slack`` is the step between diagonals that are merged.
+    told apart by ``row``; other columns of docs are not read. ``slack`` is the step
+    between diagonals that are merged; for longer templates it is ``gap`` times their k-grams, so words put in or left
+    out in the middle don't break a notice in two.
     """
     spark = docs.sparkSession
     templates = template_table(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices, notice_gram)
@@ -98,14 +101,15 @@ def scan(
     votes = hits.join(F.broadcast(templates), ["k", "h", "gram"], "left")
     votes = votes.withColumn("diagonal", F.col("pos") - F.col("at"))
     keys = ["row", "doc_id", "n_words", "template", "label", "base", "n_grams", "k"]
-    lines = votes.groupBy(*keys, "diagonal").agg(F.count("pos").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    lines = votes.groupBy(*keys, "diagonal").agg(F.collect_set("at").alias("places"), F.count("pos").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     near = Window.partitionBy("row", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(near)
-    lines = lines.withColumn("new", (F.col("base") | F.coalesce(step > slack, F.lit(True))).cast("int"))
+    far = F.greatest(F.lit(slack), (F.col("n_grams") * gap).cast("int"))
+    lines = lines.withColumn("new", (F.col("base") | F.coalesce(step > far, F.lit(True))).cast("int"))
     lines = lines.withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = lines.groupBy(*keys, "span").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # A k-gram that a template holds twice votes on two diagonals; the share counts at most all of them.
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
+    spans = lines.groupBy(*keys, "span").agg(F.sum("votes").alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # A span is verified by the template's different places that it holds, however often they were voted for.
+    share = F.col("places") / F.col("n_grams")
     good = F.col("template").isNotNull() & F.when(F.col("base"), F.col("votes") == F.col("n_grams")).otherwise((share >= least) & (F.col("high") - F.col("low") < 2 * F.col("n_grams")))
     pick = lambda c: F.when(good, c)
     return spans.select(

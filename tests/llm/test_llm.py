@@ -284,7 +284,7 @@ def test_license_scan_against_brute_force(spark):
     notice = license_scan.NOTICES["mit"]
     rows = some_rows(6, 20) + [
         (700, "The MIT License, and the mit  license! GNU General Public-License; CC BY", 1), (701, "mit. license apache licenses", 1), (702, notice.upper(), 1),
-        (703, " ".join(w for k, w in enumerate(notice.split()) if k not in (11, 30)), 1), (704, "émit license x", 1), (705, "cc by cc by cc by", 1),
+        (703, " ".join(w for k, w in enumerate(notice.split()) if k not in (11, 30)), 1), (706, " ".join(notice.split()[:24] + ["some", "other", "words", "by", "the", "holder", "here"] + notice.split()[28:]), 1), (704, "émit license x", 1), (705, "cc by cc by cc by", 1),
     ]
     got = license_scan.license_labels(documents(spark, rows)).drop("row").collect()
     assert len(got) == len(rows)
@@ -303,6 +303,7 @@ def test_license_scan_against_brute_force(spark):
     by = {r.doc_id: r for r in got}
     assert by[702].labels == "mit" and by[702].n_base == 0 and by[702].score == 1.0
     assert by[703].labels == "mit" and 0.5 <= by[703].score < 1
+    assert by[706].labels == "mit" and by[706].score >= 0.5  # longer than either half has of the template alone
     assert by[900].labels == "" and by[900].score == 0.0
 
 
