@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,25 +56,53 @@ LEAST_OFTEN = 200
 PLAIN_ROWS = 20_000
 
 
-def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def often(left: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys that left has often, at most OFTEN_KEYS of them whatever the data, and to how many salts each is dealt;
+    None where left has no more than PLAIN_ROWS rows, which are no burden for one task. left should be cut."""
+    n = left.count()
+    if n <= PLAIN_ROWS:
+        return None
+    most = max(LEAST_OFTEN, math.ceil(n / OFTEN_KEYS))
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    return cut(counts.select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts")))
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """left.join(right, keys, how), where right has each key once at most and left may have one in a third of its rows.
 
-    Keys that left has often, at most OFTEN_KEYS of them whatever the data, are counted first; their rows are dealt to
-    several salts and right's row is repeated for each, so no key stays in one task. left should be cut or stored, as
-    it is read twice; so few rows as PLAIN_ROWS are no burden for one task. how: inner or left.
+    Rows of keys that left has often are dealt to several salts and right's row is repeated for each, so no key stays in
+    one task. hot: what often() gave for these keys; without it left is counted here. how: inner or left.
     """
-    n = left.count()
-    if n <= PLAIN_ROWS:
+    hot = often(left, keys) if hot is None else hot
+    if hot is None:
         return left.join(right, keys, how)
-    most = max(LEAST_OFTEN, math.ceil(n / OFTEN_KEYS))
-    often = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    often = F.broadcast(cut(often.select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))))
-    one = F.coalesce("_salts", F.lit(1))
-    dealt = left.join(often, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), one).cast("int")).drop("_salts")
-    each = right.join(often, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    hot, one = F.broadcast(hot), F.coalesce("_salts", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), one).cast("int")).drop("_salts")
+    each = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
     return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
 
 
+def release() -> None:
+    """Gives back the memory that a Python worker holds no longer but keeps, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def tidy(run):
+    """A function for mapInArrow that gives memory back at the end of its task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

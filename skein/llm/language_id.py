@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import release, ship, table
 
 #: Families of frequent languages. A language that is not named here is a family of its own.
 FAMILIES = {
@@ -199,6 +199,7 @@ def predictor(model: Model):
             part = known[at : at + 256]
             for k, name, score in zip(part, *model.predict([texts.iloc[k] for k in part]), strict=True):
                 names[k], scores[k] = name, score
+        release()
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predict

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, many_to_one, ship, stored, table
+from .common import cut, discard, many_to_one, often, release, ship, stored, table, tidy
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -54,7 +54,7 @@ HOT_RUN = 1 << 15  # holders of a signature beyond which they don't meet in one
 HOT_KEYS = 1 << 20  # signatures that count as hot at most; with more of them, the bound above doubles
 TALLY_KEYS = 1 << 20  # signatures counted at a time
 TALLY_LEAST = 4  # holders among these from which a signature is reported; what stays below it in all counts is no hot run
-CENTRES = 4  # of a run, in each round
+CENTRES = 2  # of a run, in each round
 ENOUGH = 0.75  # rounds go on while each leaves at most this share of the documents in open runs
 FEW_OPEN = 1 << 14  # documents whose few blocks cost less than another round
 BLOCK_ROWS, BLOCK_TOKENS = 1536, 1 << 19
@@ -263,7 +263,7 @@ def measured(docs: DataFrame, tally_least: int = TALLY_LEAST) -> DataFrame:
                     yield report()
         yield report()
 
-    return docs.mapInArrow(run, SETS_DDL)
+    return docs.mapInArrow(tidy(run), SETS_DDL)
 
 
 def hot_signatures(tallies: DataFrame, hot_run: int, most: int = HOT_KEYS) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +349,7 @@ def signed(sets: DataFrame, slots: dict[int, int], hot: np.ndarray = NONE_HOT[0]
         first = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (owner[1:] != owner[:-1])))
         yield batch(slot[first], owner[first], _blobs(low, np.diff(np.append(first, len(low)))))
 
-    return sets.select("id", "n", "tokens").mapInArrow(run, SIGNED_DDL)
+    return sets.select("id", "n", "tokens").mapInArrow(tidy(run), SIGNED_DDL)
 
 
 FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32()), ("run", pa.int64()), ("votes", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("segments", pa.int64()), ("need", pa.int64())])
@@ -430,10 +430,13 @@ def _of_ids(sets: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFram
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least 3/4. sets: (id, tokens); pairs should be cut."""
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least 3/4. sets: (id, tokens); pairs are cut, and many
+    may have one b."""
     few = _of_ids(sets.select("id", "tokens"), cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     first = pairs.join(few.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = many_to_one(stored(first, "first"), few.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), ["b"]).select("a", "b", "ta", "tb")
+    second = few.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    hot = often(pairs, ["b"])
+    both = (first.join(second, "b") if hot is None else many_to_one(first, second, ["b"], hot=hot)).select("a", "b", "ta", "tb")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -445,7 +448,7 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                     keep.append(100 * inter >= 75 * (len(p) + len(q) - inter))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(alike, "a long, b long")
+    return both.mapInArrow(tidy(alike), "a long, b long")
 
 
 def jaccard_links(sets: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = LONG_RUN, hot_keys: tuple[np.ndarray, np.ndarray] = NONE_HOT) -> DataFrame:
@@ -456,7 +459,7 @@ def jaccard_links(sets: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = L
         return cut(sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     hot_slots = max(LEAST_SLOTS, math.ceil(float(hot_keys[1].sum()) / slot_keys))
     rows = signed(sets, slots, hot_keys[0], hot_slots)
-    found = stored(rows.groupBy("slot").applyInArrow(lambda rows: _matches(rows, long_run, hot_keys), FOUND_DDL), "found")
+    found = stored(rows.groupBy("slot").applyInArrow(lambda rows: (_matches(rows, long_run, hot_keys), release())[0], FOUND_DDL), "found")
     hot = found.where(F.col("kind") == HOT)
     # How many of a document's segments in a band are frequent ones; without them, has it enough?
     burden = hot.groupBy("a", "band").agg(F.count("*").alias("frequent"), F.first("segments").alias("segments"), F.first("need").alias("need"))
@@ -505,7 +508,7 @@ def _frequent_links(sets: DataFrame, hot: DataFrame, burden: DataFrame, links: D
         draws = draws if turn else [F.struct("rare", "n", "a"), *draws[1:]]
         centres = open_.groupBy("run").agg(*[F.min(d)["a"].alias(f"c{k}") for k, d in enumerate(draws)]).withColumn("c", F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)])))
         tried = many_to_one(open_, centres.select("run", "c"), ["run"]).select("a", F.explode("c").alias("b")).where("a <> b")
-        verdicts = verified(sets, cut(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        verdicts = verified(sets, cut(tried.distinct()))
         links = cut(links.unionByName(verdicts))
         open_ = _rooted(members, links)
         size = open_.select("a").distinct().count()
@@ -538,7 +541,9 @@ def _blockwise(sets: DataFrame, members: DataFrame) -> DataFrame:
     placed = dealt.join(sides[0].unionByName(sides[1]), [*of, "block"]).select("task", "left", "a", "root")
     tokens = stored(_of_ids(sets.select("id", "tokens"), docs.select(F.col("a").alias("id")).distinct()), "block-sets")
     work = placed.join(tokens.select(F.col("id").alias("a"), "tokens"), "a")
-    return work.groupBy("task").applyInArrow(_block_links, "a long, b long")
+    links = cut(work.groupBy("task").applyInArrow(lambda rows: (_block_links(rows), release())[0], "a long, b long"))
+    discard(tokens)
+    return links
 
 
 def _block_links(rows: pa.Table) -> pa.Table:

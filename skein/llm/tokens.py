@@ -19,7 +19,7 @@ import numpy as np
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 SLICE_CHARS = 1 << 19
-TABLE_BITS = 22
+TABLE_BITS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
