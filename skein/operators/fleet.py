@@ -22,12 +22,14 @@ def fleet_identity(snapshots: DataFrame) -> DataFrame:
 
 
 def not_dead(fleet: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Without airframes that the newest rows call retired or written off: by serial, or by registration without one."""
-    gone = latest_by(snapshots, ["serial", "reg"], newest()).where(F.col("status").isin(DEAD))
-    by_serial = gone.where(empty_as_null(F.col("serial")).isNotNull()).select("serial").distinct()
-    by_reg = gone.where(empty_as_null(F.col("serial")).isNull()).select("reg").distinct()
+    """Without airframes that have any retired or written off row in their operator's newest revisions, whatever other
+    rows stand there: by serial, or by registration where the fleet's row has no serial."""
+    last = latest_revisions_with(snapshots).select("operator", "plan_type", "revision_id")
+    gone = snapshots.join(last, ["operator", "plan_type", "revision_id"], "left_semi").where(F.col("status").isin(DEAD))
     has = empty_as_null(F.col("serial")).isNotNull()
-    return fleet.where(has).join(by_serial, "serial", "left_anti").unionByName(fleet.where(~has).join(by_reg, "reg", "left_anti"))
+    by_serial, by_reg = (gone.select("operator", c).distinct() for c in ("serial", "reg"))
+    alive = fleet.where(has).join(by_serial, ["operator", "serial"], "left_anti")
+    return alive.unionByName(fleet.where(~has).join(by_reg, ["operator", "reg"], "left_anti"))
 
 
 def build_fleet(snapshots: DataFrame, actuals: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import cell_date, contract_year, month, month_ordinal
-from ..functions.scalars import age, passengers, wet_zero
-from .snapshots import LIVE, authoritative, latest_by, newest
+from ..functions.scalars import age, empty_as_null, flight_hours, passengers, wet_zero
+from .snapshots import LIVE, authoritative, latest_by, latest_revisions, newest
 
 ATTRIBUTES = ["operator", "sub_series", "master_series", "seats", "payload", "usage", "value", "delivery_date", "lease"]
 
@@ -19,20 +19,56 @@ def same_airport(origin: Column, dest: Column, km: Column) -> Column:
     return (origin == dest) | (km < 1)
 
 
-def assemble_actuals(flights: DataFrame, snapshots: DataFrame, as_of: dt.date, load_factor: float = 0.8, operators: list[str] | None = None, keep_unknown: bool = False) -> DataFrame:
-    """flights: (flight_id, reg, date, origin, dest, hours, km). One row per flight before as_of with the attributes of
-    its aircraft in its month; flights after an aircraft's last snapshot month take that month's.
+def scoped(rows: DataFrame, operators: list[str] | None = None, regs: list | None = None) -> DataFrame:
+    """The rows of the given operators or registrations (either will do). None means no limit."""
+    if operators is None and regs is None:
+        return rows
+    return rows.where(F.col("operator").isin(operators or []) | F.coalesce(F.col("reg").isin(regs or []), F.lit(False)))
 
-    Flights between one airport go; so do those of unknown distance, unless keep_unknown.
+
+def check_scope(snapshots: DataFrame, operators: list[str] | None = None, regs: list | None = None) -> None:
+    """A scope that names nobody is an error, as is one in which no snapshot is."""
+    if operators is None and regs is None:
+        return
+    if not operators and not regs:
+        raise ValueError("a scope needs an operator or a registration")
+    if scoped(snapshots, operators, regs).isEmpty():
+        raise ValueError("no aircraft in scope")
+
+
+def with_route(flights: DataFrame) -> DataFrame:
+    """flights with orig, dest_actual, dest_planned: adds origin and dest, and drops those without either end."""
+    end = F.coalesce(empty_as_null(F.col("dest_actual")), empty_as_null(F.col("dest_planned")))
+    rows = flights.withColumn("origin", empty_as_null(F.col("orig"))).withColumn("dest", end)
+    return rows.where("origin IS NOT NULL AND dest IS NOT NULL")
+
+
+def with_hours(flights: DataFrame) -> DataFrame:
+    """flights with departed, landed (timestamps) and seconds (reported): adds hours."""
+    return flights.withColumn("hours", flight_hours(F.col("departed"), F.col("landed"), F.col("seconds")))
+
+
+def assemble_actuals(
+    flights: DataFrame, snapshots: DataFrame, as_of: dt.date, load_factor: float = 0.8, operators: list[str] | None = None, keep_unknown: bool = False,
+    regs: list | None = None, since: dt.date | None = None,
+) -> DataFrame:
+    """flights: (flight_id, reg, date, origin, dest, hours, km). One row per flight after since and before as_of with the
+    attributes of its aircraft in its month; flights after an aircraft's last snapshot month take that month's.
+
+    Flights without an origin or a destination go. Flights between one airport go; so do those of unknown distance,
+    unless keep_unknown. See with_route and with_hours for flights that have the ends and times as reported.
     """
+    check_scope(snapshots, operators, regs)
     owned = authoritative(snapshots).select("reg", F.col("period").alias("key_month"), *ATTRIBUTES)
     last = owned.groupBy("reg").agg(F.max("key_month").alias("last_month"))
-    scoped = owned.where(F.col("operator").isin(operators)) if operators else owned
+    own = scoped(owned, operators, regs)
     apart = same_airport(F.col("origin"), F.col("dest"), F.col("km"))
-    flown = flights.where(F.col("date") < F.lit(as_of)).where(~F.coalesce(apart, F.lit(False)) if keep_unknown else ~apart)
+    flown = flights.where(F.col("date") < F.lit(as_of)).where("origin IS NOT NULL AND dest IS NOT NULL")
+    flown = flown.where(F.col("date") > F.lit(since)) if since else flown
+    flown = flown.where(~F.coalesce(apart, F.lit(False)) if keep_unknown else ~apart)
     flown = flown.select("flight_id", "reg", "date", "origin", "dest", "hours", "km")
     keyed = flown.join(last, "reg").withColumn("key_month", F.least(month(F.col("date")), F.col("last_month"))).drop("last_month")
-    rows = keyed.join(scoped, ["reg", "key_month"])
+    rows = keyed.join(own, ["reg", "key_month"])
     return rows.withColumn("cy", contract_year(F.col("date"), as_of)).withColumn("pax", passengers(F.col("seats"), load_factor)).drop("key_month")
 
 
@@ -55,15 +91,17 @@ def route_impute(actuals: DataFrame) -> DataFrame:
 
 
 def newest_rows(snapshots: DataFrame) -> DataFrame:
-    """The newest row of each registration in the newest revision of its plan type."""
-    last = snapshots.groupBy("plan_type").agg(F.max("revision_id").alias("revision_id"))
-    return latest_by(snapshots.where("reg IS NOT NULL").join(last, ["plan_type", "revision_id"], "left_semi"), ["reg"], newest())
+    """The newest row of each registration in the newest revision of its plan type (by period, one without being live,
+    then by number)."""
+    last = latest_revisions(snapshots.select("plan_type", "revision_id", "period").distinct()).select("plan_type", "revision_id")
+    return latest_by(snapshots.where("reg IS NOT NULL").join(F.broadcast(last), ["plan_type", "revision_id"], "left_semi"), ["reg"], newest())
 
 
 def future_aircraft(snapshots: DataFrame, as_of: dt.date) -> DataFrame:
-    """A row without a flight for each aircraft of the newest revisions that is delivered after as_of."""
+    """A row without a flight, and so without a contract year, for each aircraft of the newest revisions that is delivered
+    after as_of."""
     rows = newest_rows(snapshots).where(F.col("delivery_date") > F.lit(as_of))
-    return rows.select("reg", month(F.col("delivery_date")).alias("period"), contract_year(F.col("delivery_date"), as_of).alias("cy"), *ATTRIBUTES)
+    return rows.select("reg", month(F.col("delivery_date")).alias("period"), F.lit(None).cast("string").alias("cy"), *ATTRIBUTES)
 
 
 def fleet_presence(snapshots: DataFrame, actuals: DataFrame, as_of: dt.date) -> DataFrame:
@@ -74,7 +112,8 @@ def fleet_presence(snapshots: DataFrame, actuals: DataFrame, as_of: dt.date) ->
     """
     live = newest_rows(snapshots).where(F.col("status").isin(LIVE)).select("reg", *ATTRIBUTES)
     last = actuals.agg(month(F.max("date")).alias("last_month"))
-    flew = latest_by(actuals, ["reg"], [F.col("date").desc(), F.col("flight_id").desc()]).join(F.broadcast(last), month(F.col("date")) == F.col("last_month"))
+    recent = actuals.join(F.broadcast(last), month(F.col("date")) == F.col("last_month"))  # one row: only that month is ranked
+    flew = latest_by(recent, ["reg"], [F.col("date").desc(), F.col("flight_id").desc()])
     tails = live.unionByName(flew.select("reg", *ATTRIBUTES).join(live, "reg", "left_anti"))
     first = actuals.groupBy("reg").agg(F.min("date").alias("first_flight"))
     tails = tails.join(first, "reg", "left").withColumn("life_start", F.coalesce("first_flight", "delivery_date")).drop("first_flight")

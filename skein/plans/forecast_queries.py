@@ -138,7 +138,8 @@ FLEET_SQL = """
 lastrev AS (SELECT operator, plan_type, max(revision_id) AS revision_id FROM snapshots GROUP BY ALL),
 ident AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY operator, airframe ORDER BY is_order, revision_id DESC, id DESC) AS r FROM (
   SELECT s.*, status = 'On order' AS is_order, 'SN:' || serial || '|' || sub_series AS airframe FROM snapshots s JOIN lastrev USING (operator, plan_type, revision_id) WHERE status <> 'Retired')) WHERE r = 1),
-alive AS (SELECT * FROM ident WHERE serial NOT IN (SELECT serial FROM (SELECT serial, status, row_number() OVER (PARTITION BY serial, reg ORDER BY revision_id DESC, id DESC) AS r FROM snapshots) WHERE r = 1 AND status = 'Retired'))"""
+alive AS (SELECT * FROM ident i WHERE NOT EXISTS (SELECT 1 FROM snapshots s JOIN lastrev USING (operator, plan_type, revision_id)
+  WHERE s.operator = i.operator AND s.status IN ('Retired', 'Written off') AND s.serial = i.serial))"""
 ACTIVE_SQL = """
 flew AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY operator, reg ORDER BY date DESC, flight_id DESC) AS r FROM activity WHERE (operator, mon) IN (SELECT operator, max(mon) FROM activity GROUP BY operator)) WHERE r = 1 AND reg NOT IN (SELECT reg FROM alive)),
 fleet AS (SELECT operator, sub_series, master_series, reg, airframe, is_order, delivery_date, seats FROM alive UNION ALL SELECT operator, sub_series, master_series, reg, 'REG:' || reg, false, NULL, seats FROM flew),

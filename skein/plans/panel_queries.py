@@ -141,7 +141,7 @@ ACTUALS_SQL = (
   FROM snapshots, (SELECT max(period) AS mx FROM snapshots) WHERE value > 0 AND lease <> 'Wet' GROUP BY sub_series
 ), newest AS (
   SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots s
-    WHERE revision_id = (SELECT max(revision_id) FROM snapshots t WHERE t.plan_type = s.plan_type)) WHERE k = 1
+    WHERE revision_id = (SELECT t.revision_id FROM snapshots t WHERE t.plan_type = s.plan_type ORDER BY t.period DESC NULLS FIRST, t.revision_id DESC LIMIT 1)) WHERE k = 1
 )"""
 )
 BAD = "({h} IS NULL OR {h} < {k} / 1100.0 OR {h} > {k} / 550.0 + 2)"
@@ -168,7 +168,7 @@ SELECT reg, 'add' AS change FROM a WHERE reg NOT IN (SELECT reg FROM n) UNION AL
     "route_impute": f"""WITH {ACTUALS_SQL}, m AS (SELECT operator, origin, dest, avg(hours) AS mean FROM actuals WHERE km > 0 AND NOT {BAD.format(h="hours", k="km")} GROUP BY ALL),
 r AS (SELECT flight_id, km, CASE WHEN {BAD.format(h="hours", k="km")} THEN coalesce(mean, km / 800.0 + 0.5) ELSE hours END AS h FROM actuals LEFT JOIN m USING (operator, origin, dest))
 SELECT flight_id, round(km, 4) AS km, round(CASE WHEN {BAD.format(h="h", k="km")} THEN km / 800.0 + 0.5 ELSE h END, 4) AS hours FROM r""",
-    "future_aircraft": f"WITH {ACTUALS_SQL} SELECT reg, CAST(date_trunc('month', delivery_date) AS DATE) AS period, 'CY' || CAST(year(delivery_date) - CASE WHEN month(delivery_date) = 1 AND day(delivery_date) <= 15 THEN 1 ELSE 0 END AS VARCHAR) AS cy, operator, delivery_date FROM newest WHERE delivery_date > DATE '1998-01-15'",
+    "future_aircraft": f"WITH {ACTUALS_SQL} SELECT reg, CAST(date_trunc('month', delivery_date) AS DATE) AS period, CAST(NULL AS VARCHAR) AS cy, operator, delivery_date FROM newest WHERE delivery_date > DATE '1998-01-15'",
     "fleet_presence": f"""WITH {ACTUALS_SQL}, live AS (SELECT reg, operator, delivery_date FROM newest WHERE status IN {LIVE_SQL}),
 flew AS (SELECT reg, operator, delivery_date FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY date DESC, flight_id DESC) AS k FROM actuals) WHERE k = 1 AND date_trunc('month', date) = (SELECT date_trunc('month', max(date)) FROM actuals)),
 tails AS (SELECT * FROM live UNION ALL SELECT * FROM flew WHERE reg NOT IN (SELECT reg FROM live)),

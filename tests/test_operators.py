@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import calendar, places, scalars
-from skein.operators import coverage, fit, panel, positions, project, snapshots
+from skein.operators import coverage, fit, fleet, panel, positions, project, snapshots
 from skein.sources import readers, sinks
 
 D = dt.date
@@ -133,3 +133,53 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     sinks.overwrite_partitions(spark.createDataFrame([("A", 1), ("B", 1)], "operator string, v int"), path, ["operator"])
     sinks.overwrite_partitions(spark.createDataFrame([("B", 2)], "operator string, v int"), path, ["operator"])
     assert sorted((r.operator, r.v) for r in spark.read.parquet(path).collect()) == [("A", 1), ("B", 2)]
+
+
+SNAPSHOT = "id long, revision_id long, period date, reg string, serial string, status string, operator string, sub_series string, master_series string, seats int, payload long, usage string, value double, delivery_date date, lease string, plan_type string"
+
+
+def snapshot(spark, rows):
+    return spark.createDataFrame([(i, rev, per, reg, ser, st, op, "SS", "MS", 100, 1, "Passenger", 1.0, deliv, "Dry", "Commercial") for i, rev, per, reg, ser, st, op, deliv in rows], SNAPSHOT)
+
+
+def test_one_dead_row_keeps_an_airframe_out(spark):
+    day = D(2001, 5, 1)
+    rows = [
+        (1, 9, day, "R1", "S1", "Retired", "A", None), (2, 9, day, "R1b", "S1", "In Service", "A", None),  # a stale row beside the retired one
+        (3, 9, day, "R2", "S2", "In Service", "A", None), (4, 12, D(2001, 6, 1), "R2", "S2", "Retired", "B", None),  # retired by another operator
+        (5, 8, D(2001, 4, 1), "R3", "S3", "Written off", "A", None), (6, 9, day, "R3", "S3", "Storage", "A", None),  # dead in an older revision only
+        (7, 9, day, "R4", "", "In Service", "A", None), (8, 9, day, "R4", "S9", "Retired", "A", None),  # no serial: the registration decides
+    ]
+    snap = snapshot(spark, rows)
+    alive = fleet.not_dead(fleet.fleet_identity(snap), snap)
+    assert sorted(r.reg for r in alive.collect()) == ["R2", "R3"]
+
+
+def test_the_newest_revision_goes_by_its_period(spark):
+    rows = [
+        (1, 20, D(2001, 3, 1), "R1", "S1", "In Service", "A", D(2002, 1, 5)), (2, 11, D(2001, 5, 1), "R2", "S2", "On order", "A", D(2002, 2, 5)),  # numbers out of order
+    ]
+    got = panel.future_aircraft(snapshot(spark, rows), D(2001, 6, 15)).collect()
+    assert [(r.reg, r.cy) for r in got] == [("R2", None)]
+    live = (3, 5, None, "R3", "S3", "In Service", "A", D(2002, 3, 5))  # a revision without a period is live
+    assert [r.reg for r in panel.future_aircraft(snapshot(spark, [*rows, live]), D(2001, 6, 15)).collect()] == ["R3"]
+
+
+def test_scope_and_reported_ends(spark):
+    snap = snapshot(spark, [(1, 1, D(2001, 1, 1), "R1", "S1", "In Service", "A", None), (2, 1, D(2001, 1, 1), "R2", "S2", "In Service", "B", None)])
+    assert [r.reg for r in panel.scoped(snap, ["A"]).collect()] == ["R1"] and panel.scoped(snap, ["A"], ["R2"]).count() == 2 == panel.scoped(snap).count()
+    for bad in (dict(operators=[]), dict(operators=[], regs=[]), dict(operators=["Z"])):
+        with pytest.raises(ValueError):
+            panel.check_scope(snap, **bad)
+    t = dt.datetime(2001, 1, 5)
+    flights = spark.createDataFrame([("f1", "R1", D(2001, 1, 5), "AAAA", "", "BBBB", t, t + dt.timedelta(hours=2), 0, 900.0), ("f2", "R1", D(2001, 1, 5), "", "CCCC", "BBBB", t, t, 0, 900.0), ("f3", "R1", D(2001, 1, 5), "AAAA", None, "", t, t, 0, 900.0)], "flight_id string, reg string, date date, orig string, dest_actual string, dest_planned string, departed timestamp, landed timestamp, seconds int, km double")
+    flown = panel.with_hours(panel.with_route(flights))
+    assert [(r.flight_id, r.dest, r.hours) for r in flown.collect()] == [("f1", "BBBB", 2.0)]
+    assert panel.assemble_actuals(flown, snap, D(2001, 6, 15)).count() == 1 and panel.assemble_actuals(flown, snap, D(2001, 6, 15), since=D(2001, 1, 5)).count() == 0
+
+
+def test_routes_with_null_ends_stay_in_the_pool(spark):
+    rows = [(f"f{y}{k}", "A", "SS", D(y, 3, 5), o, d, a, 900.0, 2.0) for y in (2000, 2001) for k, (o, d, a) in enumerate([("X", "Y", None), ("X", None, None), ("X", "Y", "Z")])]
+    actuals = spark.createDataFrame(rows, "flight_id string, operator string, sub_series string, date date, origin string, dest string, dest_actual string, km double, hours double")
+    assert {(r.origin, r.dest) for r in project.robust_pool(actuals).collect()} == {("X", "Y"), ("X", None)}
+    assert {(r.dest, r.dest_actual) for r in project.robust_pool(actuals, ["origin", "dest", "dest_actual"]).collect()} == {("Y", None), (None, None), ("Y", "Z")}
