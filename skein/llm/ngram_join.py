@@ -410,7 +410,7 @@ def _matches(rows: pa.Table, long_run_of: int, hot_keys: tuple[np.ndarray, np.nd
         packed, where = np.unique(both, return_inverse=True)
         votes = np.bincount(where, np.concatenate([votes, n_new]), len(packed)).astype(np.int64)
     x, y = packed >> 32, packed & 0xFFFFFFFF
-    larger = (n[x] > n[y]) | ((n[x] == n[y]) & (x > y))
+    larger = (n[x] > n[y]) | ((n[x] == n[y]) & (ids[x] > ids[y]))  # by id, as slots that hold a pair in different orders must name it alike
     a, b = np.where(larger, x, y), np.where(larger, y, x)
     good = own[b] & (4 * n[b] >= 3 * n[a])
     a, b, votes = a[good], b[good], votes[good]

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,40 @@ def test_ngram_join_with_hot_signatures(spark, hot_run):
     assert sorted(map(tuple, got), key=str) == sorted(brute_components(rows), key=str)
 
 
+def test_votes_of_sets_of_equal_size_add_up_in_any_order_of_rows():
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    other = np.sort(np.concatenate([base[4:], rng.integers(0, 2**63, 4, dtype=np.uint64)]))
+    sizes = np.array([60, 60])
+    bands = ngram_join.band_of(sizes)
+    keys, owner = ngram_join.signatures(np.concatenate([base, other]), sizes, bands)
+    segments, slot_of = np.bincount(owner), (keys >> np.uint64(32)) % np.uint64(16)
+    votes = Counter()
+    for slot in range(16):
+        order = [0, 1] if slot % 2 else [1, 0]
+        held = [keys[(owner == d) & (slot_of == slot)].astype(np.uint32).tobytes() for d in order]
+        number = int(bands[0]) * ngram_join.SLOTS_PER_BAND + slot
+        rows = pa.table({"slot": pa.array([number] * 2, pa.int64()), "id": pa.array(order, pa.int64()), "n": pa.array([60, 60], pa.int64()), "segments": pa.array(segments[order], pa.int64()), "keys": pa.array(held, pa.binary())})
+        for row in ngram_join._matches(rows, 16).to_pylist():
+            votes[row["a"], row["b"]] += row["votes"]
+    assert len(votes) == 1 and next(iter(votes.values())) >= segments[0] - 120 // 7
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):  # copies of equal length, each with one word exchanged
+        body = [f"e{k}x{j}" for j in range(90)]
+        for c in range(3):
+            own = list(body)
+            own[10 + 30 * c] = f"o{k}x{c}"
+            rows.append((3 * k + c, " ".join(own), 1))
+    for _ in range(2):
+        rng.shuffle(rows)
+        got = ngram_join.similar_groups(documents(spark, rows).repartition(8), slot_keys=64).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_components(rows))
+
+
 def test_no_slot_holds_all_documents_of_a_signature(spark):
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(k, passage + " " + " ".join(f"q{k}x{j}" for j in range(20))) for k in range(400)] + [(1000 + k, "a copy of one text of some words") for k in range(400)]
