@@ -28,6 +28,11 @@ def year_floor(as_of: dt.date, years: int) -> dt.date:
     return dt.date(as_of.year - years, as_of.month, day)
 
 
+def month_before(date: Column) -> Column:
+    """The same day one month earlier, clamped to that month."""
+    return F.add_months(date, -1)
+
+
 def days_in_month(date: Column) -> Column:
     return F.day(F.last_day(date))
 

@@ -124,3 +124,12 @@ def month_plan(fit: DataFrame, months: DataFrame) -> DataFrame:
     """Per operator, sub-series and month: k, with the span's days."""
     rows = months.withColumn("cal", F.month("mon")).join(fit, ["operator", "cal"])
     return rows.withColumn("k", flights_each(F.col("level"), F.col("seas"), F.col("base_fleet"), F.col("span"), F.col("dim")))
+
+
+def plan_months(*plans: DataFrame) -> DataFrame:
+    """The months that any of the plans has for an operator, each once."""
+    parts = [p.select("operator", "mon") for p in plans]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import airframe, empty_as_null
+from ..functions.scalars import airframe, empty_as_null, inferred_usage
 from .snapshots import DEAD, LIVE, ORDER, latest_by, latest_revisions_with, newest
 
 
@@ -53,3 +53,16 @@ def in_service(fleet: DataFrame, months: DataFrame) -> DataFrame:
 
 def active_fleet(fleet: DataFrame, months: DataFrame) -> DataFrame:
     return in_service(fleet, months.select("operator", "mon")).groupBy("operator", "sub_series", "mon").agg(F.count("*").alias("active"))
+
+
+def usage_check(tails: DataFrame) -> DataFrame:
+    """tails: (usage, seats, payload). One row: how often the rule for unlabelled aircraft agrees with the labels there are,
+    and what it makes of those without one."""
+    rule = inferred_usage(F.lit(None).cast("string"), F.col("seats"), F.col("payload"))
+    label = empty_as_null(F.col("usage"))
+    freight = label == "Freight / Cargo"
+    count = lambda c: F.count(F.when(c, 1))
+    return tails.agg(
+        F.count("*").alias("tails"), F.count(label).alias("labelled"), count(label == rule).alias("correct"), count(freight).alias("freighters"), count(freight & (rule == label)).alias("freighters_found"),
+        count(label.isNull() & (rule == "Passenger")).alias("null_passenger"), count(label.isNull() & (rule != "Passenger")).alias("null_freight"),
+    )

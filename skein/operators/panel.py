@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import cell_date, contract_year, month, month_ordinal
+from ..functions.calendar import cell_date, contract_year, month, month_before, month_ordinal
+from ..functions.places import attach_geo
 from ..functions.scalars import age, empty_as_null, flight_hours, passengers, wet_zero
 from .snapshots import LIVE, authoritative, latest_by, latest_revisions, newest
 
@@ -36,6 +37,24 @@ def check_scope(snapshots: DataFrame, operators: list[str] | None = None, regs:
         raise ValueError("no aircraft in scope")
 
 
+def scoped_registrations(snapshots: DataFrame, since: dt.date, operators: list[str] | None = None, regs: list | None = None) -> DataFrame:
+    """The registrations that the scope has from the month of since on, each once."""
+    rows = scoped(snapshots, operators, regs).where(F.col("period") >= F.lit(since))
+    return rows.where(F.col("reg").cast("string") != "").select("reg").distinct()
+
+
+def fetch_starts(snapshots: DataFrame) -> DataFrame:
+    """Per registration its first delivery and the day from which flights are looked for, a month before: some fly ahead of
+    the recorded day. Aircraft without a delivery have no row."""
+    first = snapshots.where("reg IS NOT NULL AND delivery_date IS NOT NULL").groupBy("reg").agg(F.min("delivery_date").alias("delivered"))
+    return first.withColumn("start", month_before(F.col("delivered")))
+
+
+def restamp(rows: DataFrame, as_of: dt.date) -> DataFrame:
+    """The contract years of rows that were assembled for another as_of; rows without a date keep theirs."""
+    return rows.withColumn("cy", F.when(F.col("date").isNotNull(), contract_year(F.col("date"), as_of)).otherwise(F.col("cy")))
+
+
 def with_route(flights: DataFrame) -> DataFrame:
     """flights with orig, dest_actual, dest_planned: adds origin and dest, and drops those without either end."""
     end = F.coalesce(empty_as_null(F.col("dest_actual")), empty_as_null(F.col("dest_planned")))
@@ -177,6 +196,26 @@ def grouped(panel: DataFrame) -> DataFrame:
     return panel.groupBy("reg", month(F.col("date")).alias("mon"), "origin", "dest").agg(F.count("date").alias("flights"), F.sum("km").alias("km"), F.sum("hours").alias("hours"), F.sum("pax").alias("pax"))
 
 
+def grouped_by_registration(panel: DataFrame) -> DataFrame:
+    """Per aircraft and month, over all routes: flights (rows with a date) and sums."""
+    return panel.groupBy("reg", month(F.col("date")).alias("mon")).agg(F.count("date").alias("flights"), F.sum("km").alias("km"), F.sum("hours").alias("hours"), F.sum("pax").alias("pax"))
+
+
+def aircraft_information(panel: DataFrame) -> DataFrame:
+    """Per aircraft the attributes of its newest row; rows without a date come last."""
+    return latest_by(panel, ["reg"], [F.col("date").desc_nulls_last(), F.col("flight_id").desc_nulls_last()]).select("reg", *ATTRIBUTES)
+
+
+def airport_lookup(panel: DataFrame, places: DataFrame, end: str) -> DataFrame:
+    """The airports at one end (origin or dest) of any row, with their geography."""
+    return panel.where(F.col(end).isNotNull()).select(F.col(end).alias("code")).distinct().join(places, "code", "left")
+
+
+def with_geography(panel: DataFrame, by_iata: DataFrame, by_icao: DataFrame, origin: tuple[str, str] = ("origin", "origin"), dest: tuple[str, str] = ("dest", "dest")) -> DataFrame:
+    """Geography of both ends; origin and dest name the columns of the IATA and the ICAO code."""
+    return attach_geo(attach_geo(panel, by_iata, by_icao, *origin, "origin"), by_iata, by_icao, *dest, "dest")
+
+
 def contract_year_values(panel: DataFrame) -> DataFrame:
     """Per aircraft and contract year: value at its start and end, their mean, and the mean weighted by flights. Wet
     leases and values of 0 don't count."""

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.calendar import month_ordinal
 from ..functions.scalars import block_hours, fleet_size_class, leg_class
 from .fit import seasonal_fit
+from .snapshots import latest_by, newest
 
 SEAS_K, LEVEL_L, COVERAGE, MIN_MONTHS, GROWTH_CAP = 6.0, 3, 0.5, 3, 4.0
 Z = {50: 0.6745, 80: 1.2816, 90: 1.6449}
 Z80 = 1.2815515594
+#: Settings of the recent-level forecast: its weight, and how fast disagreement with the backtest takes weight away.
+SETTINGS = [("pure", 1.0, 0.0), ("gated", 0.8, 0.6)]
 
 
 def anchor_panel(actuals: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def candidates(actuals: DataFrame, cut: dt.date, since: dt.date, n: int) -> Data
 
 def subfleet_fit(train: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(seasonal, level) of each key: the median of the last three deseasonalised months, the slope between the last two
-    triples, rates per flight, n months."""
+    triples, rates per flight, n months, the last month."""
     flew = train.where("cycles > 0")
     seas = seasonal_fit(flew, keys, SEAS_K, "cycles")
     rows = flew.withColumn("cal", F.month("mon")).join(seas.select(*keys, "cal", "seas"), [*keys, "cal"]).withColumn("des", F.col("cycles") / F.col("seas"))
@@ -59,6 +62,7 @@ def subfleet_fit(train: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
         F.median(F.when(F.col("k") <= LEVEL_L, F.col("des"))).alias("level"), F.when(F.count("*") >= 6, (last - before) / 3.0).otherwise(0.0).alias("slope"), F.count("*").alias("months"),
         F.avg(F.when(F.col("sum_km") != 0, F.col("sum_km") / F.col("cycles"))).alias("km_per_flight"), F.median(F.when(F.col("seats_med") != 0, F.col("seats_med"))).alias("seats"),
         F.coalesce(F.median(F.when((F.col("k") <= 3) & (F.col("flown") > 0), F.col("flown"))), F.lit(0.0)).alias("base_fleet"),
+        F.max("mon").alias("as_of"),
     )
     return seas, level
 
@@ -73,12 +77,21 @@ def _growth(level: DataFrame, deliveries: DataFrame | None, months: DataFrame) -
     return rows.withColumn("growth", F.coalesce(F.when(F.col("base_fleet") > 0, grown), F.lit(1.0))).drop("due", "base_fleet")
 
 
-def _hats(panel: DataFrame, seas: DataFrame, level: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame:
+def _projected(phi: float) -> Column:
+    """The level, moved by the slope as far as a trend damped by phi a month goes beyond the last month; never below 0."""
+    if not 0 <= phi < 1:
+        raise ValueError("phi must be from 0 to below 1")
+    ahead = F.greatest(month_ordinal(F.col("mon")) - month_ordinal(F.col("as_of")), F.lit(0))
+    trend = F.col("slope") * (1 - F.pow(F.lit(float(phi)), ahead)) / (1 - phi) if phi else F.lit(0.0)
+    return F.greatest(F.col("level") + trend, F.lit(0.0))
+
+
+def _hats(panel: DataFrame, seas: DataFrame, level: DataFrame, growth: DataFrame, keys: list[str], phi: float = 0.0) -> DataFrame:
     """Per carrier and month (and what else is in keys) the sum over the sub-fleets that flew in it."""
     cells = panel.select("carrier", "sf", "mon").join(growth, ["carrier", "sf", "mon"]).withColumn("cal", F.month("mon"))
-    rows = cells.join(level.select(*keys, "level"), ["carrier", "sf"]).join(seas.select(*keys, "cal", "seas"), [*keys, "cal"])
+    rows = cells.join(level.select(*keys, "level", "slope", "as_of"), ["carrier", "sf"]).join(seas.select(*keys, "cal", "seas"), [*keys, "cal"])
     extra = [k for k in keys if k not in ("carrier", "sf")]
-    return rows.groupBy("carrier", "mon", *extra).agg(F.sum(F.greatest(F.col("level"), F.lit(0.0)) * F.col("seas") * F.col("growth")).alias("hat"))
+    return rows.groupBy("carrier", "mon", *extra).agg(F.sum(_projected(phi) * F.col("seas") * F.col("growth")).alias("hat"))
 
 
 def _actual(panel: DataFrame) -> DataFrame:
@@ -107,15 +120,16 @@ def _gate(actual: DataFrame, cut: dt.date) -> DataFrame:
     return actual.where(F.col("mon") > F.lit(cut)).join(base, "carrier", "left").withColumn("valid", F.coalesce(F.col("actual") >= F.col("least"), F.lit(True)))
 
 
-def backtest(panel: DataFrame, cut: dt.date, deliveries: DataFrame | None = None) -> DataFrame:
-    """Per carrier and held-out month: actual, hat, error in per cent, the 80 % band, valid, inside."""
+def backtest(panel: DataFrame, cut: dt.date, deliveries: DataFrame | None = None, phi: float = 0.0) -> DataFrame:
+    """Per carrier and held-out month: actual, hat, error in per cent, the 80 % band, valid, inside. With phi above 0 levels
+    follow a damped trend."""
     train = panel.where(F.col("mon") <= F.lit(cut))
     seas, level = subfleet_fit(train, ["carrier", "sf"])
     growth = _growth(level, deliveries, panel.select("carrier", "sf", "mon"))
-    hats, actual = _hats(panel, seas, level, growth, ["carrier", "sf"]), _actual(panel)
+    hats, actual = _hats(panel, seas, level, growth, ["carrier", "sf"], phi), _actual(panel)
     loo = _without_each_month(train)
     s1, l1 = subfleet_fit(loo, ["carrier", "sf", "held"])
-    out = _hats(train, s1, l1, growth, ["carrier", "sf", "held"]).where("mon = held")
+    out = _hats(train, s1, l1, growth, ["carrier", "sf", "held"], phi).where("mon = held")
     ratios = out.join(actual, ["carrier", "mon"]).where("actual > 0 AND hat > 0").select("carrier", (F.col("actual") / F.col("hat")).alias("ratio"))
     rows = _gate(actual, cut).join(hats, ["carrier", "mon"]).where("hat > 0").join(_log_stats(ratios), "carrier", "left")
     width = F.lit(Z80) * F.coalesce("sigma", F.lit(0.20)) * F.sqrt(_horizon(cut))
@@ -133,6 +147,34 @@ def backtest_metrics(detail: DataFrame, panel: DataFrame, cut: dt.date) -> DataF
     return rows.withColumn("n_growth", F.try_divide("_held", "_train")).withColumn("validatable", F.col("n_holdout") >= MIN_MONTHS).drop("_held", "_train")
 
 
+def forward(panel: DataFrame, cut: dt.date, launch: dt.date, load_factor: float = 0.8, phi: float = 0.0) -> DataFrame:
+    """Per carrier and month after the cut, up to the launch's month two years on: flights with their 80 % band, km, block
+    hours and passengers.
+
+    All sub-fleets that have a fit count, whether they flew lately or not. The band comes from the training months
+    themselves (actual over hat of the same fits) and widens with the root of the months since the cut.
+    """
+    end = dt.date(launch.year + 2, launch.month, 1)
+    if (end.year, end.month) <= (cut.year, cut.month):
+        raise ValueError("the cut must be before the last month")
+    keys = ["carrier", "sf"]
+    train = panel.where(F.col("mon") <= F.lit(cut))
+    seas, level = subfleet_fit(train, keys)
+    cells = train.select("carrier", "mon").distinct().join(level.select(*keys), "carrier")
+    past = _hats(cells, seas, level, cells.withColumn("growth", F.lit(1.0)), keys, phi)
+    ratios = past.join(_actual(train), ["carrier", "mon"]).where("actual > 0 AND hat > 0").select("carrier", (F.col("actual") / F.col("hat")).alias("ratio"))
+    months = F.sequence(F.add_months(F.lit(cut.replace(day=1)), 1), F.lit(end), F.expr("interval 1 month"))
+    ahead = level.withColumn("mon", F.explode(months)).withColumn("cal", F.month("mon")).join(seas.select(*keys, "cal", "seas"), [*keys, "cal"])
+    each = ahead.withColumn("f", _projected(phi) * F.col("seas")).withColumn("per", F.coalesce("km_per_flight", F.lit(0.0)))
+    total = each.groupBy("carrier", "mon").agg(
+        F.sum("f").alias("flights"), F.sum(F.col("f") * F.col("per")).alias("km"), F.sum(F.col("f") * block_hours(F.col("per"))).alias("hours"),
+        F.sum(F.col("f") * F.coalesce("seats", F.lit(0.0)) * load_factor).alias("pax"),
+    )
+    rows = total.join(_log_stats(ratios), "carrier", "left")
+    width, mu = F.lit(Z80) * F.coalesce("sigma", F.lit(0.20)) * F.sqrt(_horizon(cut)), F.coalesce("mu", F.lit(0.0))
+    return rows.select("carrier", "mon", "flights", (F.col("flights") * F.exp(mu - width)).alias("lo"), (F.col("flights") * F.exp(mu + width)).alias("hi"), "km", "hours", "pax")
+
+
 def growth_read(metrics: DataFrame) -> DataFrame:
     """One row: the correlation of growth and bias over carriers (null below three or without variance) and the mean bias by growth."""
     g = F.col("n_growth")
@@ -183,6 +225,19 @@ def reliability(detail: DataFrame) -> DataFrame:
     return detail.select(F.explode(levels).alias("x")).groupBy("x.nominal").agg(F.avg("x.hit").alias("empirical"), F.count("*").alias("months"))
 
 
+def carrier_reliability(detail: DataFrame) -> DataFrame:
+    """Per carrier: months, MAPE, bias and the share of months inside the 80 % band."""
+    return detail.groupBy("carrier").agg(F.count("*").alias("months"), F.avg(F.abs("err")).alias("mape"), F.avg("err").alias("bias"), F.avg(F.col("in80").cast("int")).alias("cov80"))
+
+
+def ondemand_reliability(panel: DataFrame, buckets: DataFrame, cut: dt.date) -> DataFrame:
+    """The carriers that fly on demand, left out one by one among themselves: per size of fleet their number and the
+    medians of MAPE and of coverage by the 80 % band."""
+    own = buckets.where("bucket = 'ondemand'").select("carrier", "size")
+    rows = carrier_reliability(loco(panel.join(own.select("carrier"), "carrier", "left_semi"), cut)).join(own, "carrier")
+    return rows.groupBy("size").agg(F.count("*").alias("carriers"), F.median("mape").alias("mape"), F.median("cov80").alias("cov80"))
+
+
 def archetype_features(actuals: DataFrame, least_flights: int = 1500, least_months: int = 12) -> DataFrame:
     """Per carrier: flights per route, the share of its ten largest routes, flights per aircraft-month, aircraft."""
     routes = actuals.groupBy(F.col("operator").alias("carrier"), "origin", "dest").agg(F.count("*").alias("f"))
@@ -211,6 +266,15 @@ def valley(scored: DataFrame) -> DataFrame:
     return inside.agg(F.max(F.struct((F.col("next") - F.col("score")).alias("gap"), (-F.col("i")).alias("first"), ((F.col("next") + F.col("score")) / 2).alias("threshold"))).alias("m")).select("m.threshold")
 
 
+def monthly_series(snapshots: DataFrame, actuals: DataFrame, since: dt.date) -> DataFrame:
+    """Per carrier and month the aircraft in service (by each registration's newest row of the month) and the flights; a
+    month that has only one of them has null for the other."""
+    rows = latest_by(snapshots.where(F.col("period") >= F.lit(since)), ["operator", "reg", "period"], newest()).where("status = 'In Service'")
+    fleet = rows.groupBy(F.col("operator").alias("carrier"), F.col("period").alias("mon")).agg(F.count("*").alias("in_service"))
+    flown = actuals.where(F.col("mon") >= F.lit(since)).groupBy(F.col("operator").alias("carrier"), "mon").agg(F.count("*").alias("flights"))
+    return fleet.join(flown, ["carrier", "mon"], "full")
+
+
 def recent_level(series: DataFrame, cut: dt.date) -> DataFrame:
     """series: (carrier, mon, flights). Per carrier: recent and flat level of up to three months within six of the cut
     (else the last one), sigma from the median deviation, span. Seasonal factors by seasonal_fit with k = 6."""
@@ -225,16 +289,49 @@ def recent_level(series: DataFrame, cut: dt.date) -> DataFrame:
     return out.withColumn("sigma", sigma).withColumn("low_confidence", F.col("sigma") > 0.60).drop("c", "mad")
 
 
-def evaluate_recent(series: DataFrame, detail: DataFrame, cut: dt.date, w0: float, gate: float) -> DataFrame:
-    """The recent-level forecast on a backtest's valid months, gated toward its hat where the two disagree."""
+def _recent_and_hat(series: DataFrame, detail: DataFrame, cut: dt.date) -> DataFrame:
+    """A backtest's valid months, numbered, with the recent-level forecast (own) and the first month's hat (anchor)."""
     level = recent_level(series, cut)
     seas = seasonal_fit(series.where((F.col("mon") <= F.lit(cut)) & F.col("flights").isNotNull()), ["carrier"], SEAS_K).select("carrier", "cal", "seas")
     order = Window.partitionBy("carrier").orderBy("mon")
     rows = detail.where("valid").select("carrier", "mon", "actual", "hat", F.row_number().over(order).alias("h"), F.first("hat").over(order).alias("anchor")).withColumn("cal", F.month("mon"))
-    rows = rows.join(level, "carrier").join(seas, ["carrier", "cal"]).withColumn("own", F.when(F.col("span") < 24, F.col("flat_level")).otherwise(F.col("recent_level") * F.col("seas")))
-    w = F.lit(w0) * F.exp(-gate * F.abs(F.log(F.col("own") / F.col("anchor"))))
-    rows = rows.withColumn("yhat", w * F.col("own") + (1 - w) * F.col("hat")).withColumn("width", Z80 * F.col("sigma") * F.sqrt("h"))
-    return rows.select("carrier", "mon", "actual", "yhat", (F.col("yhat") * F.exp(-F.col("width"))).alias("lo"), (F.col("yhat") * F.exp(F.col("width"))).alias("hi"), "low_confidence")
+    return rows.join(level, "carrier").join(seas, ["carrier", "cal"]).withColumn("own", F.when(F.col("span") < 24, F.col("flat_level")).otherwise(F.col("recent_level") * F.col("seas")))
+
+
+def _gated(rows: DataFrame, w0: Column, gate: Column) -> DataFrame:
+    """yhat: own, drawn to the hat the more own and anchor differ; lo and hi: the 80 % band."""
+    w = w0 * F.exp(-gate * F.abs(F.log(F.col("own") / F.col("anchor"))))
+    rows = rows.withColumn("yhat", w * F.col("own") + (1 - w) * F.col("hat"))
+    width = Z80 * F.col("sigma") * F.sqrt("h")
+    return rows.withColumn("lo", F.col("yhat") * F.exp(-width)).withColumn("hi", F.col("yhat") * F.exp(width))
+
+
+def evaluate_recent(series: DataFrame, detail: DataFrame, cut: dt.date, w0: float, gate: float) -> DataFrame:
+    """The recent-level forecast on a backtest's valid months, gated toward its hat where the two disagree."""
+    rows = _gated(_recent_and_hat(series, detail, cut), F.lit(w0), F.lit(gate))
+    return rows.select("carrier", "mon", "actual", "yhat", "lo", "hi", "low_confidence")
+
+
+def evaluate_settings(series: DataFrame, detail: DataFrame, metrics: DataFrame, buckets: DataFrame, cut: dt.date, settings: list[tuple[str, float, float]] = SETTINGS) -> DataFrame:
+    """Per setting (name, w0, gate) and validatable carrier that flies on demand: MAPE, the backtest's MAPE (anchor),
+    coverage by the 80 % band, size of fleet, and whether its recent activity is too uneven to trust."""
+    who = buckets.where("bucket = 'ondemand'").select("carrier", "tails", "size").join(metrics.where("validatable").select("carrier", F.col("mape").alias("anchor_mape")), "carrier")
+    table = F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), F.lit(float(w)).alias("w0"), F.lit(float(g)).alias("gate")) for n, w, g in settings]))
+    rows = _recent_and_hat(series, detail.join(who.select("carrier"), "carrier", "left_semi"), cut).withColumn("s", table).select("*", "s.*")
+    rows = _gated(rows, F.col("w0"), F.col("gate"))
+    held = (F.col("lo") <= F.col("actual")) & (F.col("actual") <= F.col("hi"))
+    out = rows.groupBy("setting", "carrier").agg(F.avg(F.abs(F.col("yhat") - F.col("actual")) / F.col("actual") * 100).alias("mape"), F.avg(held.cast("int")).alias("cov80"), F.max("low_confidence").alias("low_confidence"))
+    return out.join(who, "carrier").select("setting", "carrier", "tails", "size", "mape", "anchor_mape", "cov80", "low_confidence")
+
+
+def settings_summary(rows: DataFrame) -> DataFrame:
+    """Per setting: carriers, those that beat the backtest, and of small fleets the median MAPE, the backtest's and the mean
+    coverage (null where no fleet is small)."""
+    small = F.col("size") == "small"
+    of = lambda c: F.when(small, F.col(c))
+    return rows.groupBy("setting").agg(
+        F.count("*").alias("carriers"), F.count(F.when(F.col("mape") < F.col("anchor_mape"), 1)).alias("beats"), F.median(of("mape")).alias("mape"), F.median(of("anchor_mape")).alias("anchor_mape"), F.avg(of("cov80")).alias("cov80")
+    )
 
 
 def convert_metrics(panel: DataFrame, cut: dt.date, load_factor: float = 0.8) -> DataFrame:

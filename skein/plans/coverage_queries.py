@@ -17,12 +17,15 @@ def _now():
     return F.lit("2024-01-30 12:00:00").cast("timestamp")
 
 
-def _days(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.col("user_id").alias("reg"), F.to_date("ts").alias("date")).distinct()
+def _days(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    """Days with an event, or with one of a kind: purchases stand for what a ledger has, clicks for what was seen since."""
+    events = table(spark, d, "events")
+    events = events.where(F.col("event_type") == kind) if kind else events
+    return events.select(F.col("user_id").alias("reg"), F.to_date("ts").alias("date")).distinct()
 
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
-    days = _days(spark, d).where(F.day("date") <= 12)
+    days = _days(spark, d, "purchase")
     return V.coalesce_intervals(days.select("reg", F.col("date").alias("from_date"), F.col("date").alias("to_date")), 1)
 
 
@@ -32,11 +35,11 @@ def _cut():
 
 def _gaps(spark: SparkSession, d: str) -> DataFrame:
     windows = _days(spark, d).select("reg").distinct().select("reg", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("reg") % 5).cast("int")).alias("start"), F.lit("2024-01-31").cast("date").alias("stop"))
-    return V.complement(V.fold(_ledger(spark, d), _days(spark, d).where("reg % 3 <> 0 OR day(date) % 9 < 3"), _cut(), 2), windows)
+    return V.complement(coverage_coalesce(spark, d), windows)
 
 
 def coverage_coalesce(spark: SparkSession, d: str) -> DataFrame:
-    return V.fold(_ledger(spark, d), _days(spark, d).where("reg % 3 <> 0 OR day(date) % 9 < 3"), _cut(), 2)
+    return V.fold(_ledger(spark, d), _days(spark, d, "click"), _cut(), 2)
 
 
 def coverage_complement(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +74,8 @@ def current_flow(spark: SparkSession, d: str) -> DataFrame:
 def aircraft_state(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("reg"), "event_type", F.col("ts").cast("timestamp").alias("last_update"))
     rows = e.select("reg", F.col("event_type").alias("operator"), F.lit("en-route").alias("status"), "last_update")
-    batch = rows.where("last_update >= '2024-01-30' AND reg % 3 <> 0")
-    roster = rows.select("reg").distinct().where("reg % 2 = 0")
+    batch = rows.where("last_update >= '2024-01-30' AND operator <> 'error'")
+    roster = rows.where("last_update >= '2024-01-27' AND operator = 'purchase'").select("reg").distinct()
     return Q.aircraft_state(rows.where("last_update < '2024-01-30'"), batch, roster)
 
 
@@ -106,9 +109,9 @@ def islands(name: str, source: str, gap: int) -> str:
 
 COVER = (
     "days AS (SELECT DISTINCT user_id AS reg, CAST(ts AS DATE) AS date FROM events),\n"
-    + islands("ledger", "SELECT reg, date AS f, date AS t FROM days WHERE day(date) <= 12", 1)
+    + islands("ledger", "SELECT DISTINCT user_id AS reg, CAST(ts AS DATE) AS f, CAST(ts AS DATE) AS t FROM events WHERE event_type = 'purchase'", 1)
     + ",\n"
-    + islands("seen", "SELECT reg, date AS f, date AS t FROM days WHERE (reg % 3 <> 0 OR day(date) % 9 < 3) AND date <= DATE '2024-01-27'", 2)
+    + islands("seen", "SELECT DISTINCT user_id AS reg, CAST(ts AS DATE) AS f, CAST(ts AS DATE) AS t FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) <= DATE '2024-01-27'", 2)
     + ",\n"
     + islands("covered", "SELECT * FROM ledger UNION ALL SELECT * FROM seen", 1)
     # Gaps day by day: a day of the window that no interval covers; runs of days are the gaps.
@@ -133,9 +136,9 @@ SQL = {
     "positions_distance": f"WITH {POSITIONS_SQL}{_TOTAL} SELECT fr24_id, timestamp, round(sum(hop) OVER (PARTITION BY fr24_id, part ORDER BY timestamp), 2) + 0.0 AS distance, round(greatest(0.0, coalesce((epoch_us(timestamp) - epoch_us(pts)) / 1e6, 0.0)), 6) AS time_delta FROM k",
     "current_positions": f"WITH {POSITIONS_SQL} SELECT reg, timestamp, lat, lon, {_GROUNDED} AS is_grounded FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY timestamp DESC) AS k FROM positions) WHERE k = 1",
     "current_flow": f"WITH {POSITIONS_SQL} SELECT reg, fr24_id, timestamp, round(alt, 6) AS alt, {_GROUNDED} AS is_grounded FROM positions",
-    "aircraft_state": """WITH r AS (SELECT user_id AS reg, event_type AS operator, ts AS last_update FROM events), b AS (SELECT * FROM r WHERE last_update < TIMESTAMP '2024-01-30' OR reg % 3 <> 0),
+    "aircraft_state": """WITH r AS (SELECT user_id AS reg, event_type AS operator, ts AS last_update FROM events), b AS (SELECT * FROM r WHERE last_update < TIMESTAMP '2024-01-30' OR operator <> 'error'),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY last_update DESC) AS k FROM b) WHERE k = 1)
-SELECT reg, operator, CASE WHEN reg % 2 = 0 AND reg NOT IN (SELECT reg FROM r WHERE last_update >= TIMESTAMP '2024-01-30' AND reg % 3 <> 0) THEN 'landed' ELSE 'en-route' END AS status, last_update FROM m""",
+SELECT reg, operator, CASE WHEN reg IN (SELECT reg FROM r WHERE last_update >= TIMESTAMP '2024-01-27' AND operator = 'purchase') AND reg NOT IN (SELECT reg FROM r WHERE last_update >= TIMESTAMP '2024-01-30' AND operator <> 'error') THEN 'landed' ELSE 'en-route' END AS status, last_update FROM m""",
     "schedule_flatten": "SELECT 'departure' AS type, o_orderstatus AS status, 'A' || (o_custkey % 40) AS dep_iata, CAST(o_orderkey % 60 AS INTEGER) AS dep_delay, o_orderdate AS dep_scheduled, CASE WHEN o_orderkey % 6 <> 0 THEN 'B' || (o_custkey % 50) END AS arr_iata, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_custkey % 90 AS INTEGER) END AS arr_delay, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate END AS arr_scheduled, CAST(o_orderkey AS VARCHAR) AS flight_number, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS codeshared_airline_name FROM orders",
     "airport_best": """WITH a AS (SELECT s_suppkey AS id, s_nationkey, ['closed', 'small_airport', 'large_airport', 'heliport'][s_suppkey % 4 + 1] AS type, s_suppkey % 3 = 0 AS sched, 'A' || chr(CAST(65 + s_suppkey % 7 AS INT)) || chr(CAST(65 + s_suppkey % 5 AS INT)) AS code FROM supplier),
 c AS (SELECT *, CASE WHEN id % 4 <> 1 OR id % 8 = 1 THEN code END AS iata, id % 8 = 1 AS kw FROM a),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fit as T
 from ..operators import fleet as L
 from ..operators import project as R
+from ..session import stored
 from .adaptors import ACTIVITY_SQL, AS_OF, SNAPSHOTS_SQL, activity, snapshots
 from .panel_queries import rounded
 
@@ -78,24 +79,44 @@ def pool_tier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forecast_flights(spark: SparkSession, d: str) -> DataFrame:
-    a = activity(spark, d)
+    a = stored(activity(spark, d))
     plan = _plan(a)
     flying = L.in_service(_fleet(spark, d, a), plan.select("operator", "mon").distinct())
     return rounded(R.generate_flights(flying, plan, a, AS_OF), 4)
 
 
 def forecast_coefficients(spark: SparkSession, d: str) -> DataFrame:
-    a = activity(spark, d)
+    a = stored(activity(spark, d))
     plan = _plan(a)
     active = L.active_fleet(_fleet(spark, d, a), plan.select("operator", "mon").distinct())
     return rounded(R.coefficients(plan, active, R.choose_tier(a, R.robust_pool(a))))
 
 
 def chart_totals(spark: SparkSession, d: str) -> DataFrame:
-    return forecast_coefficients(spark, d).groupBy("mon").agg(F.sum("forecast_flights").alias("flights"), F.sum("active").alias("aircraft"))
+    return R.chart_totals(forecast_coefficients(spark, d))
+
+
+def chart_season(spark: SparkSession, d: str) -> DataFrame:
+    return R.chart_season(forecast_coefficients(spark, d))
+
+
+def chart_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.chart_rates(forecast_coefficients(spark, d)), 4)
+
+
+def plan_months(spark: SparkSession, d: str) -> DataFrame:
+    plan = _plan(activity(spark, d))
+    own = F.col("history_key") == F.col("sub_series")
+    return T.plan_months(plan.where(own), plan.where(~own))
+
+
+def template_months(spark: SparkSession, d: str) -> DataFrame:
+    a = activity(spark, d)
+    plan = _plan(a).select("operator", "sub_series", "mon", "cal")
+    return R.template_month(T.monthly_history(a, "sub_series"), plan, ["operator", "sub_series"]).select("operator", "sub_series", "mon", "template_month")
 
 
-QUERIES = {f.__name__: f for f in (monthly_history, operator_frontier, global_frontier, seasonal_fit, robust_level, month_plan, fleet_identity, not_dead_fleet, active_fleet, route_pool_robust, route_pool_raw, pool_tier, forecast_flights, forecast_coefficients, chart_totals)}
+QUERIES = {f.__name__: f for f in (monthly_history, operator_frontier, global_frontier, seasonal_fit, robust_level, month_plan, fleet_identity, not_dead_fleet, active_fleet, route_pool_robust, route_pool_raw, pool_tier, forecast_flights, forecast_coefficients, chart_totals, chart_season, chart_rates, plan_months, template_months)}
 
 
 def fit_sql(name: str, key: str) -> str:
@@ -185,5 +206,10 @@ SELECT t.operator, t.sub_series, t.mon, t.airframe, t.reg, t.gi, t.tier, p.origi
   round(CAST(seats * 0.8 AS DOUBLE), 4) AS pax
 FROM tiered t JOIN sizes s ON s.operator = t.operator AND s.tier = t.tier AND s.pool = t.pool JOIN pools p ON p.operator = t.operator AND p.tier = t.tier AND p.pool = t.pool AND p.rn = t.gi % s.n + 1""",
     "forecast_coefficients": f"{_ALL} {_COEF}",
+    "chart_season": f"{_ALL} SELECT DISTINCT operator, sub_series, month(mon) AS cal, seas FROM ({_COEF})",
+    "chart_rates": f"{_ALL} SELECT DISTINCT operator, sub_series, round(level, 4) AS level, round(base_fleet, 4) AS base_fleet, round(level / base_fleet, 4) AS rate FROM ({_COEF})",
+    "plan_months": f"WITH {FRONTIER_SQL}, {PLAN_SQL} SELECT DISTINCT operator, mon FROM plan",
+    "template_months": f"""WITH {FRONTIER_SQL}, {PLAN_SQL} SELECT operator, sub_series, mon, coalesce((SELECT max(a.mon) FROM activity a WHERE a.operator = p.operator AND a.sub_series = p.sub_series AND month(a.mon) = p.cal),
+  (SELECT max(a.mon) FROM activity a WHERE a.operator = p.operator AND a.sub_series = p.sub_series)) AS template_month FROM plan p""",
     "chart_totals": f"{_ALL} SELECT mon, CAST(sum(forecast_flights) AS BIGINT) AS flights, CAST(sum(active) AS BIGINT) AS aircraft FROM ({_COEF}) GROUP BY mon",
 }

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import contract_year, month_ordinal
 from ..functions.places import geo_lookup
-from ..functions.scalars import inferred_usage
+from ..functions.scalars import inferred_usage, shown_registration
+from ..operators import fleet as L
 from ..operators import panel as P
 from ..operators import snapshots as S
-from .adaptors import ACTIVITY_SQL, AS_OF, SNAPSHOTS_SQL, activity, geo, snapshots, table
+from ..session import stored
+from .adaptors import ACTIVITY_SQL, AS_OF, SNAPSHOTS_SQL, activity, snapshots, table
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -43,11 +47,26 @@ def roster_sync(spark: SparkSession, d: str) -> DataFrame:
     return S.roster_changes(known, snapshots(spark, d))
 
 
-def geo_pick(spark: SparkSession, d: str) -> DataFrame:
+def _places(spark: SparkSession, d: str, prio: int, miss: int) -> DataFrame:
+    """One source of geography, with fields that are empty or null for some of its codes."""
     n = table(spark, d, "nation")
     base = n.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("r"))
-    make = lambda prio, miss: base.select("code", F.lit(prio).alias("prio"), F.when(F.col("code") % miss == 0, "").otherwise(F.concat("name", F.lit(f" {prio}"))).alias("city"), F.when(F.col("code") % (miss + 1) != 0, F.concat(F.lit("R"), "r", F.lit(f" {prio}"))).alias("country"), F.concat(F.lit(f"A{prio} "), "name").alias("airport_name"), F.when(F.col("code") % miss != 0, F.col("code") * 1.5).alias("lat"), F.when(F.col("code") % (miss + 2) != 0, F.col("code") * 2.5).alias("lon"))
-    return geo_lookup(make(1, 2).unionByName(make(2, 3)).unionByName(make(3, 5)))
+    return base.select("code", F.lit(prio).alias("prio"), F.when(F.col("code") % miss == 0, "").otherwise(F.concat("name", F.lit(f" {prio}"))).alias("city"), F.when(F.col("code") % (miss + 1) != 0, F.concat(F.lit("R"), "r", F.lit(f" {prio}"))).alias("country"), F.concat(F.lit(f"A{prio} "), "name").alias("airport_name"), F.when(F.col("code") % miss != 0, F.col("code") * 1.5).alias("lat"), F.when(F.col("code") % (miss + 2) != 0, F.col("code") * 2.5).alias("lon"))
+
+
+def geo_pick(spark: SparkSession, d: str) -> DataFrame:
+    return geo_lookup(_places(spark, d, 1, 2).unionByName(_places(spark, d, 2, 3)).unionByName(_places(spark, d, 3, 5)))
+
+
+def geo_attach(spark: SparkSession, d: str) -> DataFrame:
+    by_iata = geo_lookup(_places(spark, d, 1, 2).unionByName(_places(spark, d, 2, 3)))
+    return P.with_geography(_actuals(spark, d).select("flight_id", "origin", "dest"), by_iata, geo_lookup(_places(spark, d, 3, 5))).drop("origin", "dest")
+
+
+def airport_lookups(spark: SparkSession, d: str) -> DataFrame:
+    a, places = _actuals(spark, d), geo_pick(spark, d)
+    ends = [P.airport_lookup(a, places, e).withColumn("at", F.lit(e)) for e in ("origin", "dest")]
+    return ends[0].unionByName(ends[1])
 
 
 def great_circle_routes(spark: SparkSession, d: str) -> DataFrame:
@@ -67,14 +86,11 @@ def route_impute(spark: SparkSession, d: str) -> DataFrame:
 
 
 def future_aircraft(spark: SparkSession, d: str) -> DataFrame:
-    import datetime as dt
-
-    early = dt.date(1998, 1, 15)
-    return P.future_aircraft(snapshots(spark, d), early).select("reg", "period", "cy", "operator", "delivery_date")
+    return P.future_aircraft(snapshots(spark, d), dt.date(1998, 1, 15)).select("reg", "period", "cy", "operator", "delivery_date")
 
 
 def fleet_presence(spark: SparkSession, d: str) -> DataFrame:
-    return P.fleet_presence(snapshots(spark, d), _actuals(spark, d), AS_OF).select("reg", "mon", "cy", "operator", "delivery_date")
+    return P.fleet_presence(snapshots(spark, d), stored(_actuals(spark, d)), AS_OF).select("reg", "mon", "cy", "operator", "delivery_date")
 
 
 def value_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -92,8 +108,8 @@ def type_benchmark(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_panel(spark: SparkSession, d: str) -> DataFrame:
-    a = P.assemble_actuals(activity(spark, d), snapshots(spark, d), AS_OF)
-    ahead = a.where("reg % 3 <> 1").withColumn("date", F.add_months("date", 24))
+    a = stored(_actuals(spark, d))
+    ahead = a.withColumn("date", F.add_months("date", 24))
     return rounded(P.merge_panel(a, ahead, snapshots(spark, d)).select("flight_id", "data_type", "reg", "date", "agreed_value", "age"), 4)
 
 
@@ -101,6 +117,45 @@ def grouped_panel(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.grouped(_actuals(spark, d)), 3)
 
 
+def grouped_registration(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.grouped_by_registration(_actuals(spark, d)), 3)
+
+
+def aircraft_information(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.aircraft_information(_actuals(spark, d)))
+
+
+def report_dates(spark: SparkSession, d: str) -> DataFrame:
+    return P.report_dates(_actuals(spark, d))
+
+
+def restamp(spark: SparkSession, d: str) -> DataFrame:
+    return P.restamp(_actuals(spark, d), dt.date(2001, 2, 28)).groupBy("operator", "cy").agg(F.count("*").alias("flights"))
+
+
+def scope_registrations(spark: SparkSession, d: str) -> DataFrame:
+    return P.scoped_registrations(snapshots(spark, d), dt.date(1997, 1, 1), ["ASIA", "EUROPE B"])
+
+
+def scope_filter(spark: SparkSession, d: str) -> DataFrame:
+    return P.assemble_actuals(activity(spark, d), snapshots(spark, d), AS_OF, operators=["ASIA", "EUROPE B"], since=dt.date(1996, 6, 15)).select("flight_id", "reg", "date", "operator")
+
+
+def fetch_starts(spark: SparkSession, d: str) -> DataFrame:
+    return P.fetch_starts(snapshots(spark, d))
+
+
+def snapshot_views(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    parts = [S.snapshot_view(s, plan, mode).select("id", F.lit(plan or "full").alias("plan"), F.lit(mode).alias("mode")) for plan, mode in (("Business", "latest"), ("Commercial", "historical"), (None, "latest"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def shown_registrations(spark: SparkSession, d: str) -> DataFrame:
+    tail = F.when(F.col("reg") % 5 == 0, "A6-").otherwise(F.concat(F.lit("A6-"), F.col("reg")))
+    return S.latest_by(snapshots(spark, d), ["reg"], S.newest()).select("reg", shown_registration(tail, F.col("serial")).alias("shown"))
+
+
 def cy_weighted_value(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.contract_year_values(_actuals(spark, d)))
 
@@ -112,12 +167,7 @@ def usage_infer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def usage_validate(spark: SparkSession, d: str) -> DataFrame:
-    s = usage_infer(spark, d)
-    rule = inferred_usage(F.lit(None).cast("string"), F.col("seats"), F.col("payload"))
-    label = F.nullif("usage", F.lit(""))
-    freight = label == "Freight / Cargo"
-    count = lambda c: F.count(F.when(c, 1))
-    return s.agg(F.count("*").alias("tails"), F.count(label).alias("labelled"), count(label == rule).alias("correct"), count(freight).alias("freighters"), count(freight & (rule == label)).alias("freighters_found"), count(label.isNull() & (rule == "Passenger")).alias("null_passenger"), count(label.isNull() & (rule != "Passenger")).alias("null_freight"))
+    return L.usage_check(usage_infer(spark, d))
 
 
 AS_OF_SQL = "DATE '2001-06-15'"
@@ -147,13 +197,32 @@ ACTUALS_SQL = (
 BAD = "({h} IS NULL OR {h} < {k} / 1100.0 OR {h} > {k} / 550.0 + 2)"
 LIVE_SQL = "('In Service', 'Storage')"
 
-QUERIES = {f.__name__: f for f in (contract_year_rollup, authoritative_snapshot, latest_revision, snapshot_delta, collapse_revisions, roster_sync, geo_pick, great_circle_routes, assemble_actuals, route_impute, future_aircraft, fleet_presence, value_fill, value_slope, type_benchmark, merge_panel, grouped_panel, cy_weighted_value, usage_infer, usage_validate)}
+QUERIES = {f.__name__: f for f in (contract_year_rollup, authoritative_snapshot, latest_revision, snapshot_delta, collapse_revisions, roster_sync, geo_pick, great_circle_routes, assemble_actuals, route_impute, future_aircraft, fleet_presence, value_fill, value_slope, type_benchmark, merge_panel, grouped_panel, cy_weighted_value, usage_infer, usage_validate, geo_attach, airport_lookups, grouped_registration, aircraft_information, report_dates, restamp, scope_registrations, scope_filter, fetch_starts, snapshot_views, shown_registrations)}
 
 _GEO = "SELECT n_nationkey AS code, {p} AS prio, CASE WHEN n_nationkey % {m} <> 0 THEN n_name || ' {p}' END AS city, CASE WHEN n_nationkey % ({m} + 1) <> 0 THEN 'R' || n_regionkey || ' {p}' END AS country, 'A{p} ' || n_name AS airport_name, CASE WHEN n_nationkey % {m} <> 0 THEN n_nationkey * 1.5 END AS lat, CASE WHEN n_nationkey % ({m} + 2) <> 0 THEN n_nationkey * 2.5 END AS lon FROM nation"
 _USAGE = "(SELECT reg, usage, CAST(CASE WHEN reg % 5 = 0 THEN reg % 30 ELSE seats END AS BIGINT) AS seats, payload FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1)"
 _RULE = "CASE WHEN seats >= 40 THEN 'Passenger' WHEN coalesce(seats, 0) < 10 AND coalesce(payload, 0) >= 20000 THEN 'Freight / Cargo' ELSE 'Passenger' END"
 
+_FIELDS = ("city", "country", "airport_name", "lat", "lon")
+_PICK = "SELECT code, " + ", ".join(f"arg_min({c}, prio) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _FIELDS)
+_PICKED = f"{_PICK} FROM ({_GEO.format(p=1, m=2)} UNION ALL {_GEO.format(p=2, m=3)} UNION ALL {_GEO.format(p=3, m=5)}) GROUP BY code"
+_NEWEST = "SELECT plan_type, revision_id FROM (SELECT plan_type, revision_id, row_number() OVER (PARTITION BY plan_type ORDER BY period DESC NULLS FIRST, revision_id DESC) AS k FROM (SELECT DISTINCT plan_type, revision_id, period FROM snapshots)) WHERE k = 1"
 SQL = {
+    "geo_attach": f"""WITH {ACTUALS_SQL}, i AS ({_PICK} FROM ({_GEO.format(p=1, m=2)} UNION ALL {_GEO.format(p=2, m=3)}) GROUP BY code), c AS ({_PICK} FROM ({_GEO.format(p=3, m=5)}) GROUP BY code)
+SELECT flight_id, """
+    + ", ".join(f"coalesce({e[0]}i.{c}, {e[0]}c.{c}) AS {e}_{c}" for e in ("origin", "dest") for c in _FIELDS)
+    + " FROM actuals LEFT JOIN i oi ON oi.code = origin LEFT JOIN c oc ON oc.code = origin LEFT JOIN i di ON di.code = dest LEFT JOIN c dc ON dc.code = dest",
+    "airport_lookups": f"WITH {ACTUALS_SQL}, p AS ({_PICKED}) SELECT p.*, 'origin' AS at FROM p WHERE code IN (SELECT origin FROM actuals) UNION ALL SELECT p.*, 'dest' FROM p WHERE code IN (SELECT dest FROM actuals)",
+    "grouped_registration": f"WITH {ACTUALS_SQL} SELECT reg, CAST(date_trunc('month', date) AS DATE) AS mon, count(date) AS flights, round(sum(km), 3) AS km, round(sum(hours), 3) AS hours, round(CAST(sum(pax) AS DOUBLE), 3) AS pax FROM actuals GROUP BY ALL",
+    "aircraft_information": f"WITH {ACTUALS_SQL} SELECT reg, operator, sub_series, master_series, seats, payload, usage, round(value, 6) AS value, delivery_date, lease FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY date DESC, flight_id DESC) AS k FROM actuals) WHERE k = 1",
+    "report_dates": f"WITH {ACTUALS_SQL} SELECT CAST(unnest(generate_series(date_trunc('month', min(date))::TIMESTAMP, date_trunc('month', max(date))::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS mon FROM actuals",
+    "restamp": f"WITH {ACTUALS_SQL} SELECT operator, 'CY' || (year(date) - CASE WHEN month(date) < 2 OR (month(date) = 2 AND day(date) <= 28) THEN 1 ELSE 0 END) AS cy, count(*) AS flights FROM actuals GROUP BY ALL",
+    "scope_registrations": f"WITH {SNAPSHOTS_SQL} SELECT DISTINCT reg FROM snapshots WHERE operator IN ('ASIA', 'EUROPE B') AND period >= DATE '1997-01-01'",
+    "scope_filter": f"WITH {ACTUALS_SQL} SELECT flight_id, reg, date, operator FROM actuals WHERE operator IN ('ASIA', 'EUROPE B') AND date > DATE '1996-06-15'",
+    "fetch_starts": f"WITH {SNAPSHOTS_SQL} SELECT reg, min(delivery_date) AS delivered, CAST(min(delivery_date) - INTERVAL 1 MONTH AS DATE) AS start FROM snapshots GROUP BY reg",
+    "snapshot_views": f"""WITH {SNAPSHOTS_SQL}, n AS ({_NEWEST}), s AS (SELECT id, plan_type, (plan_type, revision_id) IN (SELECT (plan_type, revision_id) FROM n) AS last FROM snapshots)
+SELECT id, 'Business' AS plan, 'latest' AS mode FROM s WHERE last AND plan_type = 'Business' UNION ALL SELECT id, 'Commercial', 'historical' FROM s WHERE NOT last AND plan_type = 'Commercial' UNION ALL SELECT id, 'full', 'latest' FROM s WHERE last""",
+    "shown_registrations": f"WITH {SNAPSHOTS_SQL} SELECT reg, CASE WHEN reg % 5 = 0 THEN 'A6-' || split_part(serial, '-', -1) ELSE 'A6-' || reg END AS shown FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1",
     "contract_year_rollup": f"WITH {ACTIVITY_SQL} SELECT operator, {CY.format(d='date')} AS cy, count(*) AS flights, count(DISTINCT reg) AS tails FROM activity GROUP BY ALL",
     "authoritative_snapshot": f"WITH {AUTH_SQL} SELECT id, reg, period, operator, status FROM owned",
     "latest_revision": f"WITH {SNAPSHOTS_SQL} SELECT operator, plan_type, max(revision_id) AS revision_id, max(period) AS period FROM snapshots GROUP BY ALL",
@@ -162,7 +231,7 @@ SELECT id, reg, serial, status, operator, k = 1 AS is_latest FROM c WHERE k = 1
     "collapse_revisions": f"WITH {SNAPSHOTS_SQL} SELECT id, reg, period, operator FROM (SELECT *, row_number() OVER (PARTITION BY plan_type, period, reg, serial ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1 OR period >= DATE '2001-06-01'",
     "roster_sync": f"""WITH {SNAPSHOTS_SQL}, a AS (SELECT reg FROM (SELECT reg, status, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1 AND status IN {LIVE_SQL}), n AS (SELECT s_suppkey AS reg FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT reg, 'add' AS change FROM a WHERE reg NOT IN (SELECT reg FROM n) UNION ALL SELECT reg, 'drop' FROM n WHERE reg NOT IN (SELECT reg FROM a)""",
-    "geo_pick": "SELECT code, " + ", ".join(f"arg_min({c}, prio) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("city", "country", "airport_name", "lat", "lon")) + f" FROM ({_GEO.format(p=1, m=2)} UNION ALL {_GEO.format(p=2, m=3)} UNION ALL {_GEO.format(p=3, m=5)}) GROUP BY code",
+    "geo_pick": _PICKED,
     "great_circle_routes": f"WITH {ACTIVITY_SQL} SELECT origin, dest, round(max(km), 4) AS km, count(*) AS flights FROM activity GROUP BY ALL",
     "assemble_actuals": f"WITH {ACTUALS_SQL} SELECT flight_id, reg, date, operator, cy, round(km, 4) AS km, round(hours, 4) AS hours, round(CAST(pax AS DOUBLE), 4) AS pax, round(value, 4) AS value FROM actuals",
     "route_impute": f"""WITH {ACTUALS_SQL}, m AS (SELECT operator, origin, dest, avg(hours) AS mean FROM actuals WHERE km > 0 AND NOT {BAD.format(h="hours", k="km")} GROUP BY ALL),
@@ -181,7 +250,7 @@ SELECT reg, mon, cy, operator, delivery_date FROM dated c WHERE cell >= life_sta
 SELECT reg, ord, round(coalesce((SELECT max_by(av, v.ord) FROM vals v WHERE v.reg = c.reg AND v.ord <= c.ord), (SELECT min_by(av, v.ord) FROM vals v WHERE v.reg = c.reg)), 6) AS filled FROM cells c""",
     "value_slope": f"WITH {ACTUALS_SQL} SELECT reg, round(last_av, 6) AS last_av, last_ord, round(slope, 6) + 0.0 AS slope FROM stats",
     "type_benchmark": f"WITH {ACTUALS_SQL} SELECT sub_series, round(benchmark, 6) AS benchmark FROM bench",
-    "merge_panel": f"""WITH {ACTUALS_SQL}, both_ AS (SELECT *, 'Actual' AS data_type FROM actuals UNION ALL SELECT * REPLACE (CAST(date + INTERVAL 24 MONTH AS DATE) AS date), 'Forecast' FROM actuals WHERE reg % 3 <> 1),
+    "merge_panel": f"""WITH {ACTUALS_SQL}, both_ AS (SELECT *, 'Actual' AS data_type FROM actuals UNION ALL SELECT * REPLACE (CAST(date + INTERVAL 24 MONTH AS DATE) AS date), 'Forecast' FROM actuals),
 o AS (SELECT *, year(date) * 12 + month(date) AS ord FROM both_),
 f AS (SELECT DISTINCT reg, ord, data_type FROM o), g AS (SELECT f.*, CASE WHEN data_type = 'Actual' THEN coalesce((SELECT max_by(av, v.ord) FROM vals v WHERE v.reg = f.reg AND v.ord <= f.ord), (SELECT min_by(av, v.ord) FROM vals v WHERE v.reg = f.reg))
   ELSE (SELECT CASE WHEN last_av + slope * (f.ord - last_ord) < 0 THEN 0.0 ELSE last_av + slope * (f.ord - last_ord) END FROM stats s WHERE s.reg = f.reg) END AS filled FROM f)

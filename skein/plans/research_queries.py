@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import research as R
-from .adaptors import ACTIVITY_SQL, activity
+from ..session import stored
+from .adaptors import ACTIVITY_SQL, AS_OF, SNAPSHOTS_SQL, activity, snapshots
 from .panel_queries import rounded
 
 CUT, SINCE = dt.date(2000, 6, 1), dt.date(1997, 1, 1)
 
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
-    return R.anchor_panel(activity(spark, d))
+    return stored(R.anchor_panel(activity(spark, d)))
 
 
 def _deliveries(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +53,14 @@ def backtest_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.backtest_metrics(R.backtest(p, CUT, _deliveries(spark, d)), p, CUT), 5)
 
 
+def forward_forecast(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.forward(_panel(spark, d), CUT, AS_OF), 4)
+
+
+def forward_damped(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.forward(_panel(spark, d), CUT, AS_OF, phi=0.9), 4)
+
+
 def growth_read(spark: SparkSession, d: str) -> DataFrame:
     p = _panel(spark, d)
     return rounded(R.growth_read(R.backtest_metrics(R.backtest(p, CUT, _deliveries(spark, d)), p, CUT)), 5)
@@ -69,16 +78,32 @@ def loco_reliability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.reliability(R.loco(_panel(spark, d), CUT)))
 
 
+def loco_carriers(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.carrier_reliability(R.loco(_panel(spark, d), CUT)), 5)
+
+
+def _buckets(spark: SparkSession, d: str) -> DataFrame:
+    return R.archetype(R.archetype_features(activity(spark, d), 100, 12))
+
+
+def ondemand_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.ondemand_reliability(_panel(spark, d), stored(_buckets(spark, d)), CUT), 5)
+
+
 def archetype_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.archetype_features(activity(spark, d), 100, 12))
 
 
 def archetype_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.archetype(R.archetype_features(activity(spark, d), 100, 12)))
+    return rounded(_buckets(spark, d))
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
-    return _panel(spark, d).groupBy("carrier", "mon").agg(F.sum("cycles").alias("flights"))
+    return R.monthly_series(snapshots(spark, d), activity(spark, d), dt.date(1990, 1, 1))
+
+
+def monthly_series(spark: SparkSession, d: str) -> DataFrame:
+    return R.monthly_series(snapshots(spark, d), activity(spark, d), SINCE)
 
 
 def exog_forecast(spark: SparkSession, d: str) -> DataFrame:
@@ -90,11 +115,25 @@ def exog_evaluate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.evaluate_recent(_series(spark, d), R.backtest(p, CUT, _deliveries(spark, d)), CUT, 0.8, 0.6), 5)
 
 
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    p = _panel(spark, d)
+    detail = stored(R.backtest(p, CUT, _deliveries(spark, d)))
+    return R.evaluate_settings(stored(_series(spark, d)), detail, R.backtest_metrics(detail, p, CUT), _buckets(spark, d), CUT)
+
+
+def exog_settings(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_settings(spark, d), 5)
+
+
+def exog_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.settings_summary(_settings(spark, d)), 5)
+
+
 def metric_conversion(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.convert_metrics(_panel(spark, d), CUT), 3)
 
 
-QUERIES = {f.__name__: f for f in (anchor_panel, plateau, forward_deliveries, candidate_carriers, subfleet_fit, backtest, backtest_metrics, growth_read, loco_prior, loco, loco_reliability, archetype_features, archetype_bucket, exog_forecast, exog_evaluate, metric_conversion)}
+QUERIES = {f.__name__: f for f in (anchor_panel, plateau, forward_deliveries, candidate_carriers, subfleet_fit, backtest, backtest_metrics, growth_read, loco_prior, loco, loco_reliability, archetype_features, archetype_bucket, exog_forecast, exog_evaluate, metric_conversion, forward_forecast, forward_damped, loco_carriers, ondemand_reliability, monthly_series, exog_settings, exog_summary)}
 
 
 def seasonal_sql(name: str, source: str, keys: str, value: str) -> str:
@@ -110,7 +149,7 @@ def fit_sql(name: str, source: str, keys: str) -> str:
     return f"""{seasonal_sql(name, source, keys, "cycles")},
 {name}_d AS (SELECT p.*, cycles / seas AS des, row_number() OVER (PARTITION BY {", ".join(f"p.{k.strip()}" for k in keys.split(","))} ORDER BY mon DESC) AS k FROM {source} p JOIN {name}_seas b ON {" AND ".join(f"b.{k.strip()} = p.{k.strip()}" for k in keys.split(","))} AND cal = month(mon)),
 {name}_level AS (SELECT {keys}, median(des) FILTER (WHERE k <= 3) AS level, CASE WHEN count(*) >= 6 THEN (median(des) FILTER (WHERE k <= 3) - median(des) FILTER (WHERE k BETWEEN 4 AND 6)) / 3.0 ELSE 0.0 END AS slope, count(*) AS months,
-  avg(sum_km / cycles) FILTER (WHERE sum_km <> 0) AS km_per_flight, median(seats_med) AS seats, CAST(median(flown) FILTER (WHERE k <= 3) AS DOUBLE) AS base_fleet FROM {name}_d GROUP BY ALL)"""
+  avg(sum_km / cycles) FILTER (WHERE sum_km <> 0) AS km_per_flight, median(seats_med) AS seats, CAST(median(flown) FILTER (WHERE k <= 3) AS DOUBLE) AS base_fleet, max(mon) AS as_of FROM {name}_d GROUP BY ALL)"""
 
 
 PANEL_SQL = (
@@ -150,12 +189,46 @@ RECENT = f"""series AS (SELECT carrier, mon, CAST(sum(cycles) AS BIGINT) AS flig
 er AS (SELECT s.carrier, flights, flights / seas AS des, year(mon) * 12 + month(mon) AS i, ln(greatest(flights / seas, 0.5)) AS l, row_number() OVER (PARTITION BY s.carrier ORDER BY mon DESC) AS k FROM series s JOIN e_seas e ON e.carrier = s.carrier AND e.cal = month(mon)),
 en AS (SELECT *, (24006 - i <= 6 AND k <= 3) OR (k = 1 AND NOT bool_or(24006 - i <= 6 AND k <= 3) OVER (PARTITION BY carrier)) AS near, abs(l - median(l) OVER (PARTITION BY carrier)) AS d FROM er),
 recent AS (SELECT carrier, CAST(median(flights) FILTER (WHERE near) AS DOUBLE) AS flat_level, median(des) FILTER (WHERE near) AS recent_level, max(i) - min(i) + 1 AS span, CASE WHEN count(*) >= 3 THEN least(greatest(1.4826 * median(d), 0.30), 1.10) ELSE 0.30 END AS sigma FROM en GROUP BY carrier)"""
+BUCKETS = f"""{FEATURES}, scored AS (SELECT carrier, tails, (ln(per_pair) - avg(ln(per_pair)) OVER ()) / stddev_pop(ln(per_pair)) OVER () + (top10_share - avg(top10_share) OVER ()) / stddev_pop(top10_share) OVER () + (ln(per_tail_month) - avg(ln(per_tail_month)) OVER ()) / stddev_pop(ln(per_tail_month)) OVER () AS score FROM features),
+steps AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, lead(score) OVER (ORDER BY score) AS nxt, count(*) OVER () AS n FROM scored),
+cutoff AS (SELECT (score + nxt) / 2 AS threshold FROM steps WHERE i >= greatest(1, floor(n * 0.15)) AND i < least(n - 1, floor(n * 0.7)) AND nxt IS NOT NULL ORDER BY nxt - score DESC, i LIMIT 1),
+buckets AS (SELECT carrier, tails, score, CASE WHEN score < threshold THEN 'ondemand' ELSE 'schedule' END AS bucket, CASE WHEN tails < 40 THEN 'small' ELSE 'large' END AS size FROM scored, cutoff)"""
+#: The panel of the carriers that fly on demand alone, with all that follows from it.
+ONDEMAND_SQL = LOCO_SQL.replace("panel AS (SELECT operator", "all_panel AS (SELECT operator", 1).replace("\ndeliveries AS", f"\n{BUCKETS},\npanel AS (SELECT * FROM all_panel WHERE carrier IN (SELECT carrier FROM buckets WHERE bucket = 'ondemand')),\ndeliveries AS", 1)
+SETTINGS_SQL = f"""{BACKTEST_SQL}, {BUCKETS}, {RECENT}, v AS (SELECT carrier, mon, actual, hat, row_number() OVER w AS h, first_value(hat) OVER w AS anchor FROM bt WHERE valid WINDOW w AS (PARTITION BY carrier ORDER BY mon)),
+o AS (SELECT v.*, sigma, CASE WHEN span < 24 THEN flat_level ELSE recent_level * seas END AS own FROM v JOIN recent r ON r.carrier = v.carrier JOIN e_seas e ON e.carrier = v.carrier AND e.cal = month(mon)),
+y AS (SELECT *, w0 * exp(-g * abs(ln(own / anchor))) * own + (1 - w0 * exp(-g * abs(ln(own / anchor)))) * hat AS yhat, 1.2815515594 * sigma * sqrt(h) AS width FROM o, (VALUES ('pure', 1.0, 0.0), ('gated', 0.8, 0.6)) c(setting, w0, g)),
+set_ AS (SELECT setting, y.carrier, any_value(b.tails) AS tails, any_value(b.size) AS size, avg(abs(yhat - actual) / actual * 100) AS mape, any_value(m.mape) AS anchor_mape, avg(CAST(actual BETWEEN yhat * exp(-width) AND yhat * exp(width) AS INT)) AS cov80, bool_or(sigma > 0.60) AS low_confidence
+  FROM y JOIN buckets b ON b.carrier = y.carrier AND bucket = 'ondemand' JOIN metrics m ON m.carrier = y.carrier AND validatable GROUP BY setting, y.carrier)"""
+
+
+def forward_sql(phi: float) -> str:
+    level = f"greatest(level + {f'slope * (1 - pow({phi}, greatest((year(mon) - year(as_of)) * 12 + month(mon) - month(as_of), 0))) / (1 - {phi})' if phi else '0.0'}, 0.0)"
+    return f"""WITH {PANEL_SQL}, {fit_sql('f', 'train', 'carrier, sf')},
+past AS (SELECT carrier, mon, sum({level} * seas) AS hat FROM (SELECT DISTINCT carrier, mon FROM train) m JOIN f_level l USING (carrier) JOIN f_seas s USING (carrier, sf) WHERE s.cal = month(mon) GROUP BY ALL),
+stats AS (SELECT carrier, CASE WHEN count(*) >= 2 THEN avg(ln(actual / hat)) ELSE 0.0 END AS mu, CASE WHEN count(*) >= 2 THEN greatest(stddev_pop(ln(actual / hat)), 0.05) ELSE 0.20 END AS sigma FROM past JOIN actual USING (carrier, mon) WHERE hat > 0 AND actual > 0 GROUP BY carrier),
+ahead AS (SELECT *, CAST(unnest(generate_series(TIMESTAMP '2000-07-01', TIMESTAMP '2003-06-01', INTERVAL 1 MONTH)) AS DATE) AS mon FROM f_level),
+each AS (SELECT carrier, mon, {level} * seas AS f, coalesce(km_per_flight, 0.0) AS per, coalesce(seats, 0.0) AS seats FROM ahead JOIN f_seas s USING (carrier, sf) WHERE s.cal = month(mon)),
+t AS (SELECT carrier, mon, sum(f) AS flights, sum(f * per) AS km, sum(f * (0.411 + per / 868.0)) AS hours, sum(f * seats * 0.8) AS pax FROM each GROUP BY ALL)
+SELECT carrier, mon, round(flights, 4) AS flights, round(flights * exp(mu - 1.2815515594 * sigma * sqrt({HORIZON})), 4) AS lo, round(flights * exp(mu + 1.2815515594 * sigma * sqrt({HORIZON})), 4) AS hi, round(km, 4) AS km, round(hours, 4) AS hours, round(pax, 4) AS pax FROM t JOIN stats USING (carrier)"""
+
+
 SQL = {
+    "forward_forecast": forward_sql(0.0),
+    "forward_damped": forward_sql(0.9),
+    "loco_carriers": f"WITH {LOCO_SQL} SELECT carrier, count(*) AS months, round(avg(abs(err)), 5) AS mape, round(avg(err), 5) + 0.0 AS bias, round(avg(CAST(z <= 1.2816 AS INT)), 5) AS cov80 FROM lc GROUP BY carrier",
+    "ondemand_reliability": f"""WITH {ONDEMAND_SQL}, c AS (SELECT carrier, avg(abs(err)) AS mape, avg(CAST(z <= 1.2816 AS INT)) AS cov80 FROM lc GROUP BY carrier)
+SELECT size, count(*) AS carriers, round(median(mape), 5) AS mape, round(median(cov80), 5) AS cov80 FROM c JOIN buckets USING (carrier) GROUP BY size""",
+    "monthly_series": f"""WITH {SNAPSHOTS_SQL}, i AS (SELECT operator AS carrier, period AS mon, count(*) AS in_service FROM (SELECT *, row_number() OVER (PARTITION BY operator, reg, period ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1 AND status = 'In Service' AND period >= DATE '1997-01-01' GROUP BY ALL),
+f AS (SELECT operator AS carrier, mon, count(*) AS flights FROM activity WHERE mon >= DATE '1997-01-01' GROUP BY ALL) SELECT carrier, mon, in_service, flights FROM i FULL JOIN f USING (carrier, mon)""",
+    "exog_settings": f"WITH {SETTINGS_SQL} SELECT setting, carrier, tails, size, round(mape, 5) AS mape, round(anchor_mape, 5) AS anchor_mape, round(cov80, 5) AS cov80, low_confidence FROM set_",
+    "exog_summary": f"""WITH {SETTINGS_SQL} SELECT setting, count(*) AS carriers, count(*) FILTER (WHERE mape < anchor_mape) AS beats, round(median(mape) FILTER (WHERE size = 'small'), 5) AS mape,
+  round(median(anchor_mape) FILTER (WHERE size = 'small'), 5) AS anchor_mape, round(avg(cov80) FILTER (WHERE size = 'small'), 5) AS cov80 FROM set_ GROUP BY setting""",
     "anchor_panel": f"WITH {PANEL_SQL} SELECT carrier, sf, mon, flown, tail_days, cycles, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("block_hours", "sum_km", "med_haul", "seats_med", "days_per_tail", "cycles_per_day", "hours_per_day")) + " FROM panel",
     "plateau": f"WITH {PANEL_SQL} SELECT carrier, sf, round(avg(cycles), 6) AS cycles, round(avg(flown), 6) AS flown, round(avg(med_haul), 6) AS haul, round(avg(cycles_per_day), 6) AS cycles_per_day, round(avg(hours_per_day), 6) AS hours_per_day, CASE WHEN avg(med_haul) < 2500 THEN 'short' ELSE 'long' END AS leg FROM (SELECT *, row_number() OVER (PARTITION BY carrier, sf ORDER BY mon DESC) AS k FROM panel) WHERE k <= 12 GROUP BY carrier, sf",
     "forward_deliveries": f"WITH {PANEL_SQL} SELECT * FROM deliveries",
     "candidate_carriers": f"WITH {ACTIVITY_SQL} SELECT operator AS carrier, count(*) AS flights, count(DISTINCT mon) AS months, count(DISTINCT mon) FILTER (WHERE mon > DATE '2000-06-01') AS held_out FROM activity WHERE mon >= DATE '1997-01-01' GROUP BY operator HAVING count(DISTINCT mon) >= 24 AND count(DISTINCT mon) FILTER (WHERE mon > DATE '2000-06-01') >= 4 ORDER BY flights DESC, carrier LIMIT 4",
-    "subfleet_fit": f"WITH {PANEL_SQL}, {fit_sql('f', 'train', 'carrier, sf')} SELECT carrier, sf, months, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("level", "slope", "km_per_flight", "seats", "base_fleet")) + " FROM f_level",
+    "subfleet_fit": f"WITH {PANEL_SQL}, {fit_sql('f', 'train', 'carrier, sf')} SELECT carrier, sf, months, as_of, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("level", "slope", "km_per_flight", "seats", "base_fleet")) + " FROM f_level",
     "backtest": f"WITH {BACKTEST_SQL} SELECT carrier, mon, actual, flown, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("hat", "err", "lo", "hi")) + ", actual BETWEEN lo AND hi AS inside, valid FROM bt",
     "backtest_metrics": f"WITH {BACKTEST_SQL} SELECT carrier, n_holdout, n_excluded, validatable, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("mape", "bias", "coverage", "n_growth")) + " FROM metrics",
     "growth_read": f"WITH {BACKTEST_SQL} SELECT CASE WHEN count(*) >= 3 AND stddev_pop(n_growth) * stddev_pop(bias) > 0 THEN round(corr(n_growth, bias), 5) + 0.0 END AS r, round(avg(bias) FILTER (WHERE n_growth > 1.1), 5) + 0.0 AS grew, round(avg(bias) FILTER (WHERE n_growth BETWEEN 0.9 AND 1.1), 5) + 0.0 AS stable, round(avg(bias) FILTER (WHERE n_growth < 0.9), 5) + 0.0 AS shrank FROM metrics WHERE n_growth IS NOT NULL AND bias IS NOT NULL",
@@ -163,10 +236,7 @@ SQL = {
     "loco": f"WITH {LOCO_SQL} SELECT carrier, mon, actual, round(hat, 5) AS hat, round(err, 5) + 0.0 AS err, z <= 0.6745 AS in50, z <= 1.2816 AS in80, z <= 1.6449 AS in90 FROM lc",
     "loco_reliability": f"WITH {LOCO_SQL} SELECT n AS nominal, round(avg(CAST(z <= q AS INT)), 6) AS empirical, count(*) AS months FROM lc, (VALUES (50, 0.6745), (80, 1.2816), (90, 1.6449)) v(n, q) GROUP BY n",
     "archetype_features": f"WITH {ACTIVITY_SQL}, {FEATURES} SELECT carrier, tails, round(per_pair, 6) AS per_pair, round(top10_share, 6) AS top10_share, round(per_tail_month, 6) AS per_tail_month FROM features",
-    "archetype_bucket": f"""WITH {ACTIVITY_SQL}, {FEATURES}, scored AS (SELECT carrier, tails, (ln(per_pair) - avg(ln(per_pair)) OVER ()) / stddev_pop(ln(per_pair)) OVER () + (top10_share - avg(top10_share) OVER ()) / stddev_pop(top10_share) OVER () + (ln(per_tail_month) - avg(ln(per_tail_month)) OVER ()) / stddev_pop(ln(per_tail_month)) OVER () AS score FROM features),
-steps AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, lead(score) OVER (ORDER BY score) AS nxt, count(*) OVER () AS n FROM scored),
-v AS (SELECT (score + nxt) / 2 AS threshold FROM steps WHERE i >= greatest(1, floor(n * 0.15)) AND i < least(n - 1, floor(n * 0.7)) AND nxt IS NOT NULL ORDER BY nxt - score DESC, i LIMIT 1)
-SELECT carrier, tails, round(score, 6) + 0.0 AS score, CASE WHEN score < threshold THEN 'ondemand' ELSE 'schedule' END AS bucket, CASE WHEN tails < 40 THEN 'small' ELSE 'large' END AS size FROM scored, v""",
+    "archetype_bucket": f"WITH {ACTIVITY_SQL}, {BUCKETS} SELECT carrier, tails, round(score, 6) + 0.0 AS score, bucket, size FROM buckets",
     "exog_forecast": f"WITH {PANEL_SQL}, {RECENT} SELECT carrier, round(flat_level, 6) AS flat_level, round(recent_level, 6) AS recent_level, span, round(sigma, 6) AS sigma, sigma > 0.60 AS low_confidence FROM recent",
     "exog_evaluate": f"""WITH {BACKTEST_SQL}, {RECENT}, v AS (SELECT carrier, mon, actual, hat, row_number() OVER w AS h, first_value(hat) OVER w AS anchor FROM bt WHERE valid WINDOW w AS (PARTITION BY carrier ORDER BY mon)),
 o AS (SELECT v.*, sigma, CASE WHEN span < 24 THEN flat_level ELSE recent_level * seas END AS own FROM v JOIN recent r ON r.carrier = v.carrier JOIN e_seas e ON e.carrier = v.carrier AND e.cal = month(mon)),

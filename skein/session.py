@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -29,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for plans that read it many times."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package, once an application, wherever the driver found it."""
     context = spark.sparkContext

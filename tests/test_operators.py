@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import calendar, places, scalars
-from skein.operators import coverage, fit, fleet, panel, positions, project, snapshots
+from skein.operators import coverage, fit, fleet, panel, positions, project, research, snapshots
 from skein.sources import readers, sinks
+from skein.streaming import live
 
 D = dt.date
 
@@ -183,3 +184,76 @@ def test_routes_with_null_ends_stay_in_the_pool(spark):
     actuals = spark.createDataFrame(rows, "flight_id string, operator string, sub_series string, date date, origin string, dest string, dest_actual string, km double, hours double")
     assert {(r.origin, r.dest) for r in project.robust_pool(actuals).collect()} == {("X", "Y"), ("X", None)}
     assert {(r.dest, r.dest_actual) for r in project.robust_pool(actuals, ["origin", "dest", "dest_actual"]).collect()} == {("Y", None), (None, None), ("Y", "Z")}
+
+
+def test_fetch_starts_restamped_years_and_scoped_registrations(spark):
+    snap = snapshot(spark, [(1, 1, D(2001, 1, 1), "R1", "S1", "In Service", "A", D(2004, 3, 31)), (2, 2, D(2001, 2, 1), "R1", "S1", "In Service", "A", D(2005, 1, 1)), (3, 1, D(2001, 1, 1), "R2", "S2", "In Service", "A", None), (4, 1, D(2000, 1, 1), "", "S3", "In Service", "A", None)])
+    assert [(r.reg, r.start) for r in panel.fetch_starts(snap).collect()] == [("R1", D(2004, 2, 29))]
+    assert [r.reg for r in panel.scoped_registrations(snap, D(2001, 2, 1), ["A"]).collect()] == ["R1"]
+    assert sorted(r.reg for r in panel.scoped_registrations(snap, D(2000, 1, 1), ["A"]).collect()) == ["R1", "R2"]
+    rows = spark.createDataFrame([(D(2001, 6, 16), "CY2001"), (None, "CY1999")], "date date, cy string")
+    assert [r.cy for r in panel.restamp(rows, D(2020, 6, 16)).collect()] == ["CY2000", "CY1999"]
+
+
+def test_months_of_either_side_stay_in_the_series(spark):
+    snap = snapshot(spark, [(1, 1, D(2001, 1, 1), "R1", "S1", "In Service", "A", None), (2, 2, D(2001, 1, 1), "R1", "S1", "Retired", "A", None), (3, 3, D(2001, 2, 1), "R1", "S1", "In Service", "A", None)])
+    flown = spark.createDataFrame([("A", D(2001, 3, 1))], "operator string, mon date")
+    got = research.monthly_series(snap, flown, D(2001, 1, 1)).orderBy("mon").collect()
+    assert [(r.mon, r.in_service, r.flights) for r in got] == [(D(2001, 2, 1), 1, None), (D(2001, 3, 1), None, 1)]
+
+
+def test_forward_runs_two_years_beyond_launch_and_needs_a_horizon(spark):
+    rows = [("A", "M", D(2000 + k // 12, k % 12 + 1, 1), 2, 10 + k % 3, 9000.0, 100.0) for k in range(18)]
+    months = spark.createDataFrame(rows, "carrier string, sf string, mon date, flown int, cycles int, sum_km double, seats_med double")
+    got = research.forward(months, D(2001, 6, 1), D(2001, 8, 20)).orderBy("mon").collect()
+    assert (got[0].mon, got[-1].mon, len(got)) == (D(2001, 7, 1), D(2003, 8, 1), 26)
+    assert all(r.lo < r.flights < r.hi and r.pax == pytest.approx(r.flights * 80) for r in got) and got[0].hi / got[0].lo < got[-1].hi / got[-1].lo
+    with pytest.raises(ValueError):
+        research.forward(months, D(2001, 6, 1), D(1999, 6, 20))
+    with pytest.raises(ValueError):
+        research.backtest(months, D(2001, 6, 1), phi=1.0)
+
+
+def test_derived_tables_read_what_was_written(spark, tmp_path):
+    one = spark.createDataFrame([(1,), (2,)], "v int")
+    made = sinks.write_in_order(spark, {"a": lambda t: one, "b": lambda t: t["a"].where("v > 1")}, str(tmp_path))
+    assert [r.v for r in made["b"].collect()] == [2] and spark.read.parquet(str(tmp_path / "a")).count() == 2
+
+
+def test_plain_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 5)), (2, dt.datetime(2024, 2, 5)), (None, dt.datetime(2024, 2, 6))], "v int, timestamp timestamp")
+    sinks.append_by_month(rows, str(tmp_path / "m"))
+    sinks.append_by_month(rows, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).where("month = '2024-02'").count() == 4
+    sinks.write_csv(rows, str(tmp_path / "c"))
+    sinks.write_json(rows.select("v"), str(tmp_path / "j"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == spark.read.schema("v int").json(str(tmp_path / "j")).count() == 3
+    new = spark.createDataFrame([(9, dt.datetime(2024, 3, 1))], rows.schema)
+    assert sorted(r.v or 0 for r in sinks.replace_scope(rows, new, F.col("v") > 1).collect()) == [0, 1, 9]
+
+
+def test_airport_sources(spark):
+    known = spark.createDataFrame([("AAAA", "AAA"), (None, "BBB"), ("CCCC", None)], "icao string, iata string")
+    found = spark.createDataFrame([("AAAA", "XXX"), ("BBBB", "BBB"), ("CCCC", "CCC"), ("DDDD", "DDD"), (None, None)], "icao string, iata string")
+    assert sorted(str(r.icao) for r in readers.new_airports(found, known).collect()) == ["DDDD", "None"]
+    places_ = spark.createDataFrame([("AAA", "old", "X"), ("BBB", "b", "Y")], "iata string, city string, country string")
+    names = spark.createDataFrame([("AAA", "new", None)], "iata string, city string, country string")
+    assert {(r.iata, r.city, r.country) for r in readers.apply_overrides(places_, names).collect()} == {("AAA", "new", "X"), ("BBB", "b", "Y")}
+    strips = spark.createDataFrame([("AAAA", [("09", 90.0, 1000, [1.0, 2.0]), ("27", 270.0, 1000, [1.0])])], "icao string, runways array<struct<designator string, heading double, length int, thr_coordinates array<double>>>")
+    assert [(r.designator, r.lat, r.lon) for r in readers.explode_runways(strips).collect()] == [("09", 1.0, 2.0), ("27", 0.0, 0.0)]
+    plan = spark.createDataFrame([("departure", None, "A", "B", "1"), ("departure", None, "A", "B", "1"), ("arrival", None, "A", "B", "1")], "type string, dep_scheduled timestamp, dep_iata string, arr_iata string, flight_number string")
+    assert [r.type for r in readers.dedup_schedules(plan, plan.where("type = 'departure'")).collect()] == ["arrival"]
+
+
+def test_latest_states_and_a_repeated_batch(spark, tmp_path):
+    t = lambda k: dt.datetime(2024, 1, 1, k)
+    rows = spark.createDataFrame([(1, 10, t(1), 0.0, 0.0, 1.0, 1.0), (2, 10, t(2), 0.0, 0.0, 2.0, 1.0)], "fr24_id long, reg long, timestamp timestamp, lat double, lon double, alt double, gspeed double")
+    assert [(r.reg, r.fr24_id, r.alt) for r in live.latest_state(rows).collect()] == [(10, 2, 2.0)]
+    name = lambda k: str(tmp_path / f"s{k}")
+    rows.where("fr24_id = 1").select("reg", "timestamp").write.parquet(name(0))
+    merge = lambda old, new: old.unionByName(new).groupBy("reg").agg(F.max("timestamp").alias("timestamp"))
+    run = live.upsert_state(name, merge)
+    for _ in range(2):
+        run(rows.select("reg", "timestamp"), 0)
+    assert [(r.reg, r.timestamp) for r in spark.read.parquet(name(1)).collect()] == [(10, t(2))]
+    assert [r[0] for r in spark.createDataFrame([("",), (None,), ("x",)], "k string").select(scalars.key_or_na(F.col("k"))).collect()] == ["NA", "NA", "x"]
