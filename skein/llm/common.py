@@ -6,12 +6,14 @@ import ctypes
 import math
 import sys
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship  # noqa: F401
+from .. import session
+from ..session import shared_dir  # noqa: F401
 
 #: White space of the word contracts: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
@@ -22,6 +24,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROW_GROUP_BYTES = 32 << 20
 
 
+#: Rows that go to a Python worker at once. Both ends of the pipe hold a batch of whole texts, and so does the function.
+BATCH_ROWS = 1000
+#: What an operator keeps in a worker from task to task, as functions that drop it.
+KEPT: list[Callable[[], None]] = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, and sees to it that the session sends them batches of BATCH_ROWS rows at most."""
+    session.ship(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,8 +102,11 @@ def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
 
 
-def release() -> None:
-    """Gives back the memory that a Python worker holds no longer but keeps, as workers outlive their tasks."""
+def release(keep: bool = False) -> None:
+    """Gives back the memory that a Python worker holds no longer, as workers outlive their tasks and go from operator to
+    operator; what others left there goes as well unless keep."""
+    for drop in [] if keep else KEPT:
+        drop()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -95,14 +114,14 @@ def release() -> None:
             trim(0)
 
 
-def tidy(run):
-    """A function for mapInArrow that gives memory back at the end of its task."""
+def tidy(run, keep: bool = False):
+    """A function for mapInArrow that gives memory back at the end of its task. keep: see release()."""
 
     def tidied(batches):
         try:
             yield from run(batches)
         finally:
-            release()
+            release(keep)
 
     return tidied
 

@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, text_col: str, path: str | None, capacity: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return numbered.mapInArrow(tidy(cut_up), PIECE_SCHEMA)
+    return numbered.mapInArrow(tidy(cut_up, keep=True), PIECE_SCHEMA)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

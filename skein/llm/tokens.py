@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import KEPT
+
 #: The characters that \s stands for.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
@@ -245,3 +247,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def encoder(path: str) -> Encoder:
     """One for each worker process, which keeps its pieces from task to task."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Drops the encoder with its pieces, and the tables beside it, from this process."""
+    for kept in (encoder, _weights):
+        kept.cache_clear()
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+KEPT.append(forget)

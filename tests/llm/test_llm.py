@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import chat, exact_dedup, fingerprints, language_id, license_scan, mixing, ngram_join, packing, surrogates, warc_zip
+from skein.llm import chat, common, exact_dedup, fingerprints, language_id, license_scan, mixing, ngram_join, packing, surrogates, tokens, warc_zip
 from skein.llm.common import many_to_one
 from skein.llm.components import components
 
@@ -503,3 +503,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in whole:
         per[r.sequence_id] += r.length
     assert max(per.values()) <= 2048
+
+
+def test_workers_drop_what_another_operator_left(spark):
+    common.ship(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= common.BATCH_ROWS
+    tokens._powers(1000)
+    common.release(keep=True)
+    assert len(tokens._POWERS[0]) >= 1000
+    common.release()
+    assert len(tokens._POWERS[0]) == 1 and tokens.encoder.cache_info().currsize == 0
+    assert (tokens._powers(3)[0] * tokens._powers(3)[1] == 1).all()
