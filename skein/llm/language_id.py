@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -191,16 +191,17 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
 def predictor(model: Model):
     """A vectorised function from texts to (lang_pred, score)."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         known = [k for k, t in enumerate(texts) if has_letter(t)] if model.languages else []
         for at in range(0, len(known), 256):
             part = known[at : at + 256]
-            for k, name, score in zip(part, *model.predict([texts.iloc[k] for k in part]), strict=True):
+            for k, name, score in zip(part, *model.predict([texts[k] for k in part]), strict=True):
                 names[k], scores[k] = name, score
         release()
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict
 
@@ -218,9 +219,9 @@ def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mo
 
 
 def _letters():
-    @F.pandas_udf("boolean")
-    def letters(texts: pd.Series) -> pd.Series:
-        return texts.map(has_letter).astype(bool)
+    @F.arrow_udf("boolean")
+    def letters(texts: pa.Array) -> pa.Array:
+        return pa.array(map(has_letter, texts.to_pylist()), pa.bool_())
 
     return letters
 

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,19 +121,18 @@ def _pack_groups(items: DataFrame, capacity: int, label: int) -> DataFrame:
     """items (with ``dealt``) packed in their groups: sequence (a string), offset, and certified: the group meets its
     bound. Of the other groups the sequences that are not full are ``open``."""
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable")
-        lengths = frame["length"].to_numpy()
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("row", "ascending"), ("piece", "ascending")])
+        lengths = rows.column("length").to_numpy()
         bins, offsets, rooms = best_fit_decreasing(lengths, capacity)
-        group = int(frame["dealt"].iloc[0])
-        out = frame[["row", "piece", "length"]].copy()
-        out["sequence"] = [f"{label}-{group}-{b}" for b in bins.tolist()]
-        out["offset"] = offsets
-        out["certified"] = len(rooms) <= lower_bound(lengths, capacity)
-        out["open"] = ~out["certified"] & (rooms > 0)[bins]
-        return out
-
-    return items.groupBy("dealt").applyInPandas(pack, ITEM + ", sequence string, offset long, certified boolean, open boolean")
+        group = rows.column("dealt")[0].as_py()
+        certified = bool(len(rooms) <= lower_bound(lengths, capacity))
+        return pa.table({
+            "row": rows.column("row"), "piece": rows.column("piece"), "length": rows.column("length"), "sequence": pa.array([f"{label}-{group}-{b}" for b in bins.tolist()], pa.string()),
+            "offset": pa.array(offsets, pa.int64()), "certified": pa.array([certified] * len(bins), pa.bool_()), "open": pa.array((rooms > 0)[bins] & (not certified), pa.bool_()),
+        })
+
+    return items.groupBy("dealt").applyInArrow(pack, ITEM + ", sequence string, offset long, certified boolean, open boolean")
 
 
 def pack(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -20,8 +20,8 @@ from .common import KEPT
 #: The characters that \s stands for.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
-SLICE_CHARS = 1 << 19
-TABLE_BITS = 20
+SLICE_CHARS = 1 << 17
+TABLE_BITS = 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,7 +158,7 @@ class Encoder:
     @staticmethod
     def _hash(chars, begin, stop, powers, inverse, seed):
         sums = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(_weights(seed)[chars] * powers[: len(chars)], out=sums[1:])
+        np.cumsum(_weights(chars, seed) * powers[: len(chars)], out=sums[1:])
         return _mixed((sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64)) | np.uint64(1)
 
     def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -224,9 +224,8 @@ def _text(chars: np.ndarray, begin: int, stop: int) -> str:
     return chars[begin:stop].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-@lru_cache(2)
-def _weights(seed: int) -> np.ndarray:
-    return _mixed(np.arange(0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64((1 + seed) * int(MULTIPLIER) & 0xFFFFFFFFFFFFFFFF))
+def _weights(chars: np.ndarray, seed: int) -> np.ndarray:
+    return _mixed(chars.astype(np.uint64) * np.uint64(2) + np.uint64((1 + seed) * int(MULTIPLIER) & 0xFFFFFFFFFFFFFFFF))
 
 
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -250,9 +249,8 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Drops the encoder with its pieces, and the tables beside it, from this process."""
-    for kept in (encoder, _weights):
-        kept.cache_clear()
+    """Drops the encoder with its pieces, and the powers beside it, from this process."""
+    encoder.cache_clear()
     _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
