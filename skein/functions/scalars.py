@@ -20,10 +20,10 @@ def key_or_na(name: Column) -> Column:
 
 
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, form: str = "asin") -> Column:
-    """Kilometres by the haversine formula; the asin form for routes, the atan2 form for hops."""
+    """Kilometres by the haversine formula, null where a place is unknown; the asin form for routes, the atan2 form for hops."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     if form == "asin":
-        return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+        return F.when(a.isNotNull(), 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a))))  # least() alone would turn null into 1
     return 2 * EARTH_KM * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))
 
 
@@ -71,13 +71,17 @@ def grounded(alt: Column, gspeed: Column, vspeed: Column, seen: Column, now: Col
 
 
 def airframe(serial: Column, sub_series: Column, reg: Column) -> Column:
-    return F.when(empty_as_null(serial).isNotNull(), F.concat(F.lit("SN:"), serial, F.lit("|"), sub_series)).otherwise(F.concat(F.lit("REG:"), reg))
+    """The serial within its sub-series where there is one, else the registration; never null."""
+    by_serial = F.concat(F.lit("SN:"), serial, F.lit("|"), key_or_na(sub_series))
+    return F.when(empty_as_null(serial).isNotNull(), by_serial).otherwise(F.concat(F.lit("REG:"), F.coalesce(reg, F.lit(""))))
 
 
 def short_serial(serial: Column) -> Column:
     return F.regexp_replace(serial, "^.*-", "")
 
 
-def shown_registration(reg: Column, serial: Column) -> Column:
-    """Placeholders end in a dash; they get the serial's last part."""
-    return F.when(reg.rlike("-$"), F.concat(reg, short_serial(serial))).otherwise(reg)
+def shown_registration(reg: Column, serial: Column, sub_series: Column) -> Column:
+    """Placeholders are empty or end in a dash; they get the sub-series and the serial's last part."""
+    blank = F.lit("")
+    own = F.concat(F.coalesce(reg, blank), F.coalesce(sub_series, blank), F.lit("-"), short_serial(F.coalesce(serial, blank)))
+    return F.when((F.coalesce(reg, blank) == "") | reg.rlike("-$"), own).otherwise(reg)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import days_in_month
+from ..functions.scalars import key_or_na
 
 
 @dataclass(frozen=True)
@@ -24,9 +25,13 @@ class Params:
     min_route_pool: int = 5
     horizon_years: int = 2
     pax_load_factor: float = 0.8
+    history_start: dt.date | None = None  # flights before it are no history
 
     def check(self) -> Params:
-        ranges = {"level_window": (3, 36), "level_complete_frac": (0.1, 1.0), "level_l": (1, 12), "seas_k": (0, 24), "frontier_frac": (0.1, 1.0), "frontier_window": (3, 36), "min_route_pool": (1, 100), "horizon_years": (1, 10), "pax_load_factor": (0.1, 1.0)}
+        ranges = {
+            "level_window": (3, 36), "level_complete_frac": (0.1, 1.0), "level_l": (1, 12), "seas_k": (0, 24), "frontier_frac": (0.1, 1.0), "frontier_window": (3, 36),
+            "min_route_pool": (1, 100), "horizon_years": (1, 10), "pax_load_factor": (0.1, 1.0),
+        }
         for name, (low, high) in ranges.items():
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must be from {low} to {high}")
@@ -61,7 +66,7 @@ def seasonal_fit(history: DataFrame, keys: list[str], k: float, value: str = "fl
     grid = base.withColumn("cal", F.explode(F.sequence(F.lit(1), F.lit(12))))
     w = F.col("n") / (F.col("n") + F.lit(float(k)))
     seas = F.greatest(w * F.col("med") / F.col("base") + 1 - w, F.lit(0.10))
-    return grid.join(per, [*keys, "cal"], "left").select(*keys, "cal", F.coalesce(seas, F.lit(1.0)).alias("seas"), F.coalesce("n", F.lit(0)).alias("n"))
+    return grid.join(per, [*keys, "cal"], "left").select(*keys, "cal", F.when(F.col("n").isNull(), 1.0).otherwise(seas).alias("seas"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def robust_level(history: DataFrame, seas: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:
@@ -81,26 +86,38 @@ def robust_level(history: DataFrame, seas: DataFrame, keys: list[str], p: Params
     return out.withColumn("base_fleet", F.when(F.col("base_fleet") == 0, 1.0).otherwise(F.col("base_fleet")))
 
 
+GRAINS = ("sub_series", "master_series")
+
+
+def keyed(actuals: DataFrame, p: Params = Params()) -> DataFrame:
+    """Flights (rows with a date, from history_start on) with NA for unknown sub-series and master series."""
+    rows = actuals.where(F.col("date").isNotNull() if p.history_start is None else F.col("date") >= F.lit(p.history_start))
+    return rows.withColumns({c: key_or_na(F.col(c)) for c in GRAINS})
+
+
+def history_to_frontier(actuals: DataFrame, key: str, p: Params = Params()) -> DataFrame:
+    return monthly_history(actuals, key).join(operator_frontier(actuals, p), "operator").where("mon <= frontier AND flights > 0")
+
+
 def fits(actuals: DataFrame, key: str, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(seasonal, level) of one grain, on the months up to each operator's frontier."""
-    history = monthly_history(actuals, key).join(operator_frontier(actuals, p), "operator").where("mon <= frontier AND flights > 0")
+    history = history_to_frontier(actuals, key, p)
     seas = seasonal_fit(history, ["operator", key], p.seas_k)
     return seas, robust_level(history, seas, ["operator", key], p)
 
 
-def fit_two_grains(actuals: DataFrame, p: Params = Params()) -> DataFrame:
-    """Per operator and sub-series, twelve rows (cal, seas, level, base_fleet, history_key): the fit of the sub-series,
-    else of its master series."""
-    subs = actuals.select("operator", "sub_series", "master_series").distinct()
+def fit_two_grains(types: DataFrame, actuals: DataFrame, p: Params = Params()) -> DataFrame:
+    """types: (operator, sub_series, master_series) of the fleet. Twelve rows each (grain, history_key, cal, seas, level,
+    base_fleet): the fit of the sub-series, else, as for a type that was never flown, of its master series; none where
+    neither has a history."""
     parts = []
-    for key in ("sub_series", "master_series"):
+    for key in GRAINS:
         seas, level = fits(actuals, key, p)
         rows = seas.join(level, ["operator", key])
-        parts.append(rows.select("operator", F.col(key).alias("history_key"), "cal", "seas", "level", "base_fleet"))
-    own = subs.withColumn("history_key", F.col("sub_series")).join(parts[0], ["operator", "history_key"])
-    rest = subs.join(own.select("operator", "sub_series").distinct(), ["operator", "sub_series"], "left_anti")
-    other = rest.withColumn("history_key", F.col("master_series")).join(parts[1], ["operator", "history_key"])
-    return own.unionByName(other).drop("master_series")
+        parts.append(rows.select("operator", F.lit(key).alias("grain"), F.col(key).alias("history_key"), "cal", "seas", "level", "base_fleet"))
+    own = types.withColumn("history_key", F.col("sub_series")).join(parts[0], ["operator", "history_key"])
+    rest = types.join(own.select("operator", "sub_series").distinct(), ["operator", "sub_series"], "left_anti")
+    return own.unionByName(rest.withColumn("history_key", F.col("master_series")).join(parts[1], ["operator", "history_key"]))
 
 
 def spans(last_facts: DataFrame, as_of: dt.date, p: Params = Params()) -> DataFrame:
@@ -121,8 +138,9 @@ def flights_each(level: Column, seas: Column, base_fleet: Column, span: Column,
 
 
 def month_plan(fit: DataFrame, months: DataFrame) -> DataFrame:
-    """Per operator, sub-series and month: k, with the span's days."""
-    rows = months.withColumn("cal", F.month("mon")).join(fit, ["operator", "cal"])
+    """fit: of the fleet's types. Per operator, sub-series and month: k, with the span's days and the share that they are
+    of the month."""
+    rows = months.withColumn("cal", F.month("mon")).join(fit, ["operator", "cal"]).withColumn("proration", F.col("span") / F.col("dim"))
     return rows.withColumn("k", flights_each(F.col("level"), F.col("seas"), F.col("base_fleet"), F.col("span"), F.col("dim")))
 
 

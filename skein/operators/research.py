@@ -176,11 +176,15 @@ def forward(panel: DataFrame, cut: dt.date, launch: dt.date, load_factor: float
 
 
 def growth_read(metrics: DataFrame) -> DataFrame:
-    """One row: the correlation of growth and bias over carriers (null below three or without variance) and the mean bias by growth."""
+    """One row over the carriers that can be validated: their number, the correlation of growth and bias (null below three
+    or without variance), and for those that grew, stayed (within 5 %) and shrank the number and the means of bias, MAPE
+    and coverage."""
     g = F.col("n_growth")
-    return metrics.where("n_growth IS NOT NULL AND bias IS NOT NULL").agg(
-        F.when(F.count("*") >= 3, F.try_divide(F.covar_pop("n_growth", "bias"), F.stddev_pop("n_growth") * F.stddev_pop("bias"))).alias("r"), F.avg(F.when(g > 1.1, F.col("bias"))).alias("grew"), F.avg(F.when(g.between(0.9, 1.1), F.col("bias"))).alias("stable"), F.avg(F.when(g < 0.9, F.col("bias"))).alias("shrank")
-    )
+    groups = {"grew": g > 1.05, "stable": g.between(0.95, 1.05), "shrank": g < 0.95}
+    spread = F.stddev_pop("n_growth") * F.stddev_pop("bias")
+    r = F.when(F.count("*") >= 3, F.try_divide(F.covar_pop("n_growth", "bias"), spread)).alias("r")
+    means = [F.avg(F.when(c, F.col(m))).alias(f"{name}_{m}") for name, c in groups.items() for m in ("bias", "mape", "coverage")]
+    return metrics.where("validatable AND n_growth IS NOT NULL").agg(F.count("*").alias("carriers"), r, *[F.count(F.when(c, 1)).alias(name) for name, c in groups.items()], *means)
 
 
 def seasonal_prior(seas: DataFrame, level: DataFrame) -> DataFrame:
@@ -239,12 +243,13 @@ def ondemand_reliability(panel: DataFrame, buckets: DataFrame, cut: dt.date) ->
 
 
 def archetype_features(actuals: DataFrame, least_flights: int = 1500, least_months: int = 12) -> DataFrame:
-    """Per carrier: flights per route, the share of its ten largest routes, flights per aircraft-month, aircraft."""
+    """Per carrier: flights per route, the share of its ten largest routes, flights per aircraft and month (all aircraft
+    times all months), aircraft."""
     routes = actuals.groupBy(F.col("operator").alias("carrier"), "origin", "dest").agg(F.count("*").alias("f"))
     top = routes.withColumn("k", F.row_number().over(Window.partitionBy("carrier").orderBy(F.col("f").desc(), "origin", "dest"))).groupBy("carrier").agg(F.count("*").alias("pairs"), F.sum(F.when(F.col("k") <= 10, F.col("f"))).alias("top10"))
-    all_ = actuals.groupBy(F.col("operator").alias("carrier")).agg(F.count("*").alias("flights"), F.count_distinct("mon").alias("months"), F.count_distinct(F.struct("reg", "mon")).alias("tail_months"), F.count_distinct("reg").alias("tails"))
+    all_ = actuals.groupBy(F.col("operator").alias("carrier")).agg(F.count("*").alias("flights"), F.count_distinct("mon").alias("months"), F.count_distinct("reg").alias("tails"))
     rows = all_.where((F.col("flights") >= least_flights) & (F.col("months") >= least_months)).join(top, "carrier")
-    return rows.select("carrier", "tails", (F.col("flights") / F.col("pairs")).alias("per_pair"), (F.col("top10") / F.col("flights")).alias("top10_share"), (F.col("flights") / F.col("tail_months")).alias("per_tail_month"))
+    return rows.select("carrier", "tails", (F.col("flights") / F.col("pairs")).alias("per_pair"), (F.col("top10") / F.col("flights")).alias("top10_share"), (F.col("flights") / (F.col("tails") * F.col("months"))).alias("per_tail_month"))
 
 
 def archetype(features: DataFrame) -> DataFrame:
@@ -259,11 +264,11 @@ def archetype(features: DataFrame) -> DataFrame:
 
 def valley(scored: DataFrame) -> DataFrame:
     """One row: the middle of the widest step between neighbours, from 15 to 70 per cent of the sorted scores; the first
-    of equal ones."""
+    of equal ones. 0 where there is no step."""
     w = Window.partitionBy(F.lit(0)).orderBy("score", "carrier")
     rows = scored.select("score", (F.row_number().over(w) - 1).alias("i"), F.lead("score").over(w).alias("next"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
     inside = rows.where((F.col("i") >= F.greatest(F.lit(1), F.floor(F.col("n") * 0.15))) & (F.col("i") < F.least(F.col("n") - 1, F.floor(F.col("n") * 0.7))) & F.col("next").isNotNull())
-    return inside.agg(F.max(F.struct((F.col("next") - F.col("score")).alias("gap"), (-F.col("i")).alias("first"), ((F.col("next") + F.col("score")) / 2).alias("threshold"))).alias("m")).select("m.threshold")
+    return inside.agg(F.max(F.struct((F.col("next") - F.col("score")).alias("gap"), (-F.col("i")).alias("first"), ((F.col("next") + F.col("score")) / 2).alias("threshold"))).alias("m")).select(F.coalesce("m.threshold", F.lit(0.0)).alias("threshold"))
 
 
 def monthly_series(snapshots: DataFrame, actuals: DataFrame, since: dt.date) -> DataFrame:
@@ -348,3 +353,12 @@ def convert_metrics(panel: DataFrame, cut: dt.date, load_factor: float = 0.8) ->
     rows = cells.withColumn("f", hat).withColumn("km1", km).groupBy("carrier", "mon").agg(F.sum("f").alias("flights_hat"), F.sum(F.col("f") * F.col("km1")).alias("km_hat"), F.sum(F.col("f") * flat).alias("km_hat_flat"), F.sum(F.col("f") * block_hours(F.col("km1"))).alias("hours_hat"), F.sum(F.col("f") * F.coalesce("seats", F.lit(0.0)) * load_factor).alias("pax_hat"))
     actual = panel.groupBy("carrier", "mon").agg(F.sum("sum_km").alias("km_actual"))
     return _gate(_actual(panel), cut).where("valid").join(rows, ["carrier", "mon"]).join(actual, ["carrier", "mon"]).where("flights_hat > 0").select("carrier", "mon", "flights_hat", "km_hat", "km_hat_flat", "hours_hat", "pax_hat", F.col("actual").alias("flights_actual"), "km_actual")
+
+
+def conversion_errors(rows: DataFrame) -> DataFrame:
+    """rows: see convert_metrics. Per carrier the months and the mean absolute error in per cent of flights, of km, and of km
+    by the flat mean; months without an actual value don't count."""
+    error = lambda hat, actual: F.avg(F.when(F.col(actual) != 0, F.abs(F.col(hat) - F.col(actual)) / F.col(actual) * 100))
+    return rows.groupBy("carrier").agg(
+        F.count("*").alias("months"), error("flights_hat", "flights_actual").alias("flights_mape"), error("km_hat", "km_actual").alias("km_mape"), error("km_hat_flat", "km_actual").alias("km_mape_flat")
+    )

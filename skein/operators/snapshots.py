@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Statuses as the snapshots have them. Any other (cancelled, planned, unknown) is no aircraft.
 LIVE = ["In Service", "Storage"]
-ORDER = ["On order", "On option", "LOI to order", "LOI to option", "Type swap", "Planned"]
+ORDER = ["On order", "On option", "LOI to Order", "LOI to Option", "Type swap", "Reengineered"]
 DEAD = ["Retired", "Written off"]
 
 

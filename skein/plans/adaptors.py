@@ -62,40 +62,65 @@ activity AS (
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly rows of each aircraft, with gaps, changes of operator and months that two operators list."""
+    """Monthly rows of each aircraft, with gaps, changes of operator, months that two operators list, all statuses, and
+    serials, sub-series and leases that are null or empty; and orders of types, some of which nobody has flown."""
     a = activity(spark, sf_dir)
     rows = a.groupBy("reg", "mon", "operator", "sub_series", "master_series", "seats").agg((F.sum(F.round(F.col("price") * 100000).cast("long")) / F.count("*") / 100003).alias("value"))
-    n = month_ordinal(F.col("mon"))
-    rows = rows.withColumn("n", n).where((F.col("reg") + F.col("n")) % 7 != 0)
-    twice = rows.withColumn("copy", F.explode(F.when((F.col("reg") + F.col("n")) % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    turn = (F.col("reg") + F.col("n")) % 11
-    return twice.select(
-        (F.col("reg") * 1000000 + F.col("n") * 10 + F.col("copy")).alias("id"), F.col("n").cast("long").alias("revision_id"), F.col("mon").alias("period"), "reg",
-        F.concat(F.lit("X-"), F.col("reg") % 90).alias("serial"),
-        F.when(turn == 0, "Retired").when(turn == 1, "On order").when(turn == 2, "Storage").otherwise("In Service").alias("status"),
+    n, reg = month_ordinal(F.col("mon")), F.col("reg")
+    rows = rows.withColumn("n", n).where((reg + F.col("n")) % 7 != 0)
+    twice = rows.withColumn("copy", F.explode(F.when((reg + F.col("n")) % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    turn = (reg + F.col("n")) % 23
+    status = F.lit("In Service")
+    for k, name in enumerate(OTHER_STATUSES):
+        status = F.when(turn == k, name).otherwise(status)
+    flown = twice.select(
+        (reg * 1000000 + F.col("n") * 10 + F.col("copy")).alias("id"), F.col("n").cast("long").alias("revision_id"), F.col("mon").alias("period"), "reg",
+        F.when(reg % 17 == 3, "").when(reg % 17 != 4, F.concat(F.lit("X-"), reg % 90)).alias("serial"), status.alias("status"),
         F.when(F.col("copy") == 1, F.concat(F.col("operator"), F.lit(" B"))).otherwise(F.col("operator")).alias("operator"),
-        "sub_series", "master_series", "seats", ((F.col("reg") * 997) % 40000).alias("payload"),
-        F.when(F.col("reg") % 4 == 0, "").when(F.col("reg") % 4 == 1, "Freight / Cargo").otherwise("Passenger").alias("usage"), "value",
-        F.date_add(F.lit("1994-01-01").cast("date"), ((F.col("reg") * 37) % 3000).cast("int")).alias("delivery_date"),
-        F.when(F.col("reg") % 9 == 0, "Wet").otherwise("Dry").alias("lease"), F.when(F.col("reg") % 3 == 0, "Business").otherwise("Commercial").alias("plan_type"),
+        F.when(reg % 13 == 5, "").when(reg % 13 != 6, F.col("sub_series")).alias("sub_series"), "master_series", "seats", ((reg * 997) % 40000).alias("payload"),
+        F.when(reg % 4 == 0, "").when(reg % 4 == 1, "Freight / Cargo").when(reg % 8 == 3, "Combi Cargo").when(reg % 8 == 7, "Utility").otherwise("Passenger").alias("usage"), "value",
+        F.date_add(F.lit("1994-01-01").cast("date"), ((reg * 37) % 3000).cast("int")).alias("delivery_date"),
+        F.when(reg % 9 == 0, "Wet").when(reg % 9 != 1, "Dry").alias("lease"), F.when(reg % 3 == 0, "Business").otherwise("Commercial").alias("plan_type"),
     )
+    newest = rows.agg(F.max("n").cast("long").alias("revision_id"), F.max("mon").alias("period"))
+    parts = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select((F.col("p_partkey") / 40).cast("long").alias("j"))
+    j = F.col("j")
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("_r"), F.col("r_name").alias("operator"))
+    ordered = parts.join(regions, j % 5 == F.col("_r")).crossJoin(F.broadcast(newest)).select(  # one row
+        (F.lit(9000000000) + j).alias("id"), "revision_id", "period", F.lit(None).cast("long").alias("reg"), F.concat(F.lit("ORD-"), "operator", F.lit("-"), j).alias("serial"),
+        F.when(j % 4 == 0, "On order").when(j % 4 == 1, "LOI to Order").when(j % 4 == 2, "Reengineered").otherwise("Planned").alias("status"), "operator",
+        F.concat(F.lit("N"), j % 3).alias("sub_series"), F.when(j % 7 == 0, "MX").otherwise(F.concat(F.lit("M"), j % 3)).alias("master_series"),
+        (F.lit(100) + j % 50).cast("int").alias("seats"), F.lit(0).cast("long").alias("payload"), F.lit(None).cast("string").alias("usage"), F.lit(None).cast("double").alias("value"),
+        F.when(j % 11 != 0, F.date_add(F.lit("1998-06-01").cast("date"), ((j * 37) % 1800).cast("int"))).alias("delivery_date"), F.lit(None).cast("string").alias("lease"), F.lit("Commercial").alias("plan_type"),
+    )
+    return flown.unionByName(ordered)
 
 
+#: Statuses by (reg + month) % 23; in service beyond them.
+OTHER_STATUSES = ["Retired", "On order", "Storage", "On option", "LOI to Order", "LOI to Option", "Type swap", "Reengineered", "Written off", "Cancelled", "Planned"]
 SNAPSHOTS_SQL = (
     ACTIVITY_SQL
-    + """,
+    + f""",
 monthly AS (
   SELECT reg, mon, operator, sub_series, master_series, seats, sum(CAST(round(price * 100000) AS BIGINT)) / count(*) / 100003 AS value, year(mon) * 12 + month(mon) AS n
   FROM activity GROUP BY ALL
 ),
+orders_ AS (SELECT p_partkey // 40 AS j, r_name AS operator FROM part JOIN region ON (p_partkey // 40) % 5 = r_regionkey WHERE p_partkey % 40 = 0),
 snapshots AS (
-  SELECT reg * 1000000 + n * 10 + copy AS id, CAST(n AS BIGINT) AS revision_id, mon AS period, reg, 'X-' || (reg % 90) AS serial,
-         CASE (reg + n) % 11 WHEN 0 THEN 'Retired' WHEN 1 THEN 'On order' WHEN 2 THEN 'Storage' ELSE 'In Service' END AS status,
-         CASE WHEN copy = 1 THEN operator || ' B' ELSE operator END AS operator, sub_series, master_series, seats, (reg * 997) % 40000 AS payload,
-         CASE reg % 4 WHEN 0 THEN '' WHEN 1 THEN 'Freight / Cargo' ELSE 'Passenger' END AS usage, value,
-         CAST(DATE '1994-01-01' + CAST((reg * 37) % 3000 AS INTEGER) AS DATE) AS delivery_date, CASE WHEN reg % 9 = 0 THEN 'Wet' ELSE 'Dry' END AS lease,
+  SELECT reg * 1000000 + n * 10 + copy AS id, CAST(n AS BIGINT) AS revision_id, mon AS period, reg,
+         CASE reg % 17 WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'X-' || (reg % 90) END AS serial,
+         coalesce({OTHER_STATUSES}[(reg + n) % 23 + 1], 'In Service') AS status,
+         CASE WHEN copy = 1 THEN operator || ' B' ELSE operator END AS operator, CASE reg % 13 WHEN 5 THEN '' WHEN 6 THEN NULL ELSE sub_series END AS sub_series, master_series,
+         seats, (reg * 997) % 40000 AS payload,
+         CASE WHEN reg % 4 = 0 THEN '' WHEN reg % 4 = 1 THEN 'Freight / Cargo' WHEN reg % 8 = 3 THEN 'Combi Cargo' WHEN reg % 8 = 7 THEN 'Utility' ELSE 'Passenger' END AS usage, value,
+         CAST(DATE '1994-01-01' + CAST((reg * 37) % 3000 AS INTEGER) AS DATE) AS delivery_date, CASE reg % 9 WHEN 0 THEN 'Wet' WHEN 1 THEN NULL ELSE 'Dry' END AS lease,
          CASE WHEN reg % 3 = 0 THEN 'Business' ELSE 'Commercial' END AS plan_type
   FROM monthly, (VALUES (0), (1)) c(copy) WHERE (reg + n) % 7 <> 0 AND (copy = 0 OR (reg + n) % 5 = 0)
+  UNION ALL
+  SELECT 9000000000 + j, (SELECT max(n) FROM monthly WHERE (reg + n) % 7 <> 0), (SELECT max(mon) FROM monthly WHERE (reg + n) % 7 <> 0), NULL, 'ORD-' || operator || '-' || j,
+         ['On order', 'LOI to Order', 'Reengineered', 'Planned'][j % 4 + 1], operator, 'N' || (j % 3), CASE WHEN j % 7 = 0 THEN 'MX' ELSE 'M' || (j % 3) END,
+         CAST(100 + j % 50 AS INTEGER), 0, NULL, NULL, CASE WHEN j % 11 <> 0 THEN CAST(DATE '1998-06-01' + CAST((j * 37) % 1800 AS INTEGER) AS DATE) END, NULL, 'Commercial'
+  FROM orders_
 )"""
 )
 

@@ -75,8 +75,9 @@ def aircraft_state(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("reg"), "event_type", F.col("ts").cast("timestamp").alias("last_update"))
     rows = e.select("reg", F.col("event_type").alias("operator"), F.lit("en-route").alias("status"), "last_update")
     batch = rows.where("last_update >= '2024-01-30' AND operator <> 'error'")
-    roster = rows.where("last_update >= '2024-01-27' AND operator = 'purchase'").select("reg").distinct()
-    return Q.aircraft_state(rows.where("last_update < '2024-01-30'"), batch, roster)
+    known = rows.where("last_update >= '2024-01-27' AND operator = 'purchase'").select("reg")
+    unheard = table(spark, d, "customer").where("c_custkey % 50 = 0").select((F.col("c_custkey") + 10000000).alias("reg"))
+    return Q.aircraft_state(rows.where("last_update < '2024-01-30'"), batch, known.unionByName(unheard), F.lit("2024-02-01").cast("timestamp"))
 
 
 def schedule_flatten(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +99,30 @@ def airport_best(spark: SparkSession, d: str) -> DataFrame:
     return S.build_airports(airports, countries, strips).select("id", "iata", "country", "from_keyword", F.coalesce(F.size("runways"), F.lit(0)).alias("n_runways"))
 
 
-QUERIES = {f.__name__: f for f in (coverage_coalesce, coverage_complement, coverage_segments, coverage_plan, coverage_advance, positions_distance, current_positions, current_flow, aircraft_state, schedule_flatten, airport_best)}
+def airport_reference(spark: SparkSession, d: str) -> DataFrame:
+    """The airport table of source files that are made of suppliers: codes with blanks, odd numbers, codes in keywords."""
+    key, text = F.col("s_suppkey"), lambda c: c.cast("string")
+    letters = lambda *k: F.concat(*[F.chr(65 + x) for x in k])
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
+    s = table(spark, d, "supplier")
+    airports = s.select(
+        text(key).alias("id"), F.when(key % 3 == 0, letters(key % 26, key % 25, key % 24, key % 23)).otherwise(F.concat(F.lit("i-"), key)).alias("ident"), pick(("closed", "small_airport", "large_airport", "odd"), key).alias("type"),
+        F.when(key % 6 != 0, F.col("s_name")).otherwise("").alias("name"), F.when(key % 5 == 0, "x").otherwise(text(key / 10)).alias("latitude_deg"), text(key / -20).alias("longitude_deg"), F.when(key % 7 != 0, text(key * 3)).alias("elevation_ft"),
+        pick(("AF", "NA", "XX", ""), key).alias("continent"), text(F.col("s_nationkey")).alias("iso_country"), F.lit("").alias("iso_region"), F.concat(F.lit("city "), key).alias("municipality"), pick(("yes", "no"), key).alias("scheduled_service"),
+        F.when(key % 4 == 0, F.concat(F.lit(" K"), letters(key % 11, key % 12, key % 13))).otherwise(" ").alias("icao_code"), F.when(key % 2 == 0, F.concat(F.lit(" "), letters(key % 5, key % 6, key % 7))).otherwise("").alias("iata_code"),
+        F.when(key % 8 == 1, F.concat(F.lit("old name, abc , "), letters(key % 9, key % 8, key % 7), F.lit(","), letters(key % 9, key % 8, key % 7, key % 6))).alias("keywords"),
+    )
+    countries = table(spark, d, "nation").select(text(F.col("n_nationkey")).alias("code"), F.col("n_name").alias("name"))
+    strips = s.select(
+        F.concat(F.lit("i-"), key % 60).alias("airport_ident"), F.when(key % 5 == 0, "1").otherwise("0").alias("closed"), F.concat(F.lit("L"), key % 36).alias("le_ident"), F.lit("").alias("he_ident"),
+        F.when(key % 9 == 0, "long").otherwise(text(key * 10)).alias("length_ft"), F.lit("100").alias("width_ft"), F.lit("ASP").alias("surface"), text(key % 360).alias("le_heading_degT"), F.lit("").alias("he_heading_degT"),
+    )
+    out = S.airport_reference(airports, countries, strips)
+    heading, longest = F.transform("runways", lambda r: r["le_heading"]), F.array_max(F.transform("runways", lambda r: r["length_ft"]))
+    return rounded(out.withColumns({"headings": F.aggregate(heading, F.lit(0.0), lambda a, x: a + x), "longest_ft": longest, "open_runways": F.size("runways")}).withColumn("open_runways", F.when(F.col("runways").isNotNull(), F.col("open_runways"))).drop("runways"))
+
+
+QUERIES = {f.__name__: f for f in (coverage_coalesce, coverage_complement, coverage_segments, coverage_plan, coverage_advance, positions_distance, current_positions, current_flow, aircraft_state, schedule_flatten, airport_best, airport_reference)}
 
 
 def islands(name: str, source: str, gap: int) -> str:
@@ -122,9 +146,9 @@ gaps AS (SELECT reg, min(day) AS f, max(day) AS t FROM (SELECT *, day - CAST(row
 day_sets AS (SELECT day, string_agg(reg, ',' ORDER BY reg) AS regs, count(*) AS n FROM open_days GROUP BY day),
 segments AS (SELECT min(day) AS from_date, max(day) AS to_date, regs, n FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY regs ORDER BY day) AS INTEGER) AS g FROM day_sets) GROUP BY regs, n, g)"""
 )
-_TOTAL = """, s AS (SELECT p.*, lag(p.lat) OVER w AS plat, lag(p.lon) OVER w AS plon, lag(timestamp) OVER w AS pts, g.lat AS olat, g.lon AS olon FROM positions p LEFT JOIN geo g ON p.origin = g.code WINDOW w AS (PARTITION BY fr24_id ORDER BY timestamp)),
+_TOTAL = """, s AS (SELECT p.*, lag(p.lat) OVER w AS plat, lag(p.lon) OVER w AS plon, lag(timestamp) OVER w AS pts, g.lat AS olat, g.lon AS olon FROM positions p LEFT JOIN geo g ON p.origin = g.code WINDOW w AS (PARTITION BY fr24_id ORDER BY timestamp, p.lat NULLS FIRST, p.lon NULLS FIRST, gspeed, p.origin)),
 h AS (SELECT *, pow(sin(radians(lat - coalesce(plat, olat)) / 2), 2) + cos(radians(coalesce(plat, olat))) * cos(radians(lat)) * pow(sin(radians(lon - coalesce(plon, olon)) / 2), 2) AS a, lat IS NOT NULL AND plat IS NULL AS seeds FROM s),
-k AS (SELECT *, CASE WHEN lat IS NULL THEN 0.0 WHEN a IS NOT NULL THEN 2 * 6371.0 * atan2(sqrt(a), sqrt(greatest(0.0, 1 - a))) WHEN gspeed >= 120 THEN gspeed * 1.825 / 5 ELSE 0.0 END AS hop, sum(CAST(seeds AS INT)) OVER (PARTITION BY fr24_id ORDER BY timestamp) AS part FROM h)"""
+k AS (SELECT *, CASE WHEN lat IS NULL THEN 0.0 WHEN a IS NOT NULL THEN 2 * 6371.0 * atan2(sqrt(a), sqrt(greatest(0.0, 1 - a))) WHEN gspeed >= 120 THEN gspeed * 1.825 / 5 ELSE 0.0 END AS hop, sum(CAST(seeds AS INT)) OVER (PARTITION BY fr24_id ORDER BY timestamp, lat NULLS FIRST, lon NULLS FIRST, gspeed, origin ROWS UNBOUNDED PRECEDING) AS part FROM h)"""
 _GROUNDED = "(alt < 500 AND gspeed < 50) OR epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(timestamp)) > 7200 OR (epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(timestamp)) > 1800 AND alt < 10000 AND vspeed < -256)"
 SQL = {
     "coverage_coalesce": f"WITH {COVER} SELECT reg, f AS from_date, t AS to_date FROM covered",
@@ -133,13 +157,30 @@ SQL = {
     "coverage_plan": f"WITH {COVER} SELECT from_date, to_date, n AS aircraft, CAST(greatest(1, ceil((to_date - from_date + 1) / 14)) * ceil(n / 15) AS BIGINT) AS requests FROM segments",
     "coverage_advance": f"""WITH {COVER}, u AS (SELECT g.reg, g.f, least(greatest((SELECT max(date) FROM days d WHERE d.reg = g.reg AND d.date BETWEEN g.f AND g.t), least(g.t, DATE '2024-01-27')), g.t) AS t FROM gaps g),
 {islands("final", "SELECT * FROM ledger UNION ALL SELECT * FROM u WHERE t >= f", 1)} SELECT reg, f AS from_date, t AS to_date FROM final""",
-    "positions_distance": f"WITH {POSITIONS_SQL}{_TOTAL} SELECT fr24_id, timestamp, round(sum(hop) OVER (PARTITION BY fr24_id, part ORDER BY timestamp), 2) + 0.0 AS distance, round(greatest(0.0, coalesce((epoch_us(timestamp) - epoch_us(pts)) / 1e6, 0.0)), 6) AS time_delta FROM k",
+    "positions_distance": f"WITH {POSITIONS_SQL}{_TOTAL} SELECT fr24_id, timestamp, round(sum(hop) OVER (PARTITION BY fr24_id, part ORDER BY timestamp, lat NULLS FIRST, lon NULLS FIRST, gspeed, origin ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS distance, round(greatest(0.0, coalesce((epoch_us(timestamp) - epoch_us(pts)) / 1e6, 0.0)), 6) AS time_delta FROM k",
     "current_positions": f"WITH {POSITIONS_SQL} SELECT reg, timestamp, lat, lon, {_GROUNDED} AS is_grounded FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY timestamp DESC) AS k FROM positions) WHERE k = 1",
     "current_flow": f"WITH {POSITIONS_SQL} SELECT reg, fr24_id, timestamp, round(alt, 6) AS alt, {_GROUNDED} AS is_grounded FROM positions",
-    "aircraft_state": """WITH r AS (SELECT user_id AS reg, event_type AS operator, ts AS last_update FROM events), b AS (SELECT * FROM r WHERE last_update < TIMESTAMP '2024-01-30' OR operator <> 'error'),
-m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY last_update DESC) AS k FROM b) WHERE k = 1)
-SELECT reg, operator, CASE WHEN reg IN (SELECT reg FROM r WHERE last_update >= TIMESTAMP '2024-01-27' AND operator = 'purchase') AND reg NOT IN (SELECT reg FROM r WHERE last_update >= TIMESTAMP '2024-01-30' AND operator <> 'error') THEN 'landed' ELSE 'en-route' END AS status, last_update FROM m""",
+    "aircraft_state": """WITH r AS (SELECT user_id AS reg, event_type AS operator, ts AS last_update FROM events),
+batch AS (SELECT * FROM r WHERE last_update >= TIMESTAMP '2024-01-30' AND operator <> 'error'),
+state AS (SELECT reg, arg_max(operator, last_update) AS operator, max(last_update) AS last_update FROM (SELECT * FROM r WHERE last_update < TIMESTAMP '2024-01-30' UNION ALL SELECT * FROM batch) GROUP BY reg),
+roster AS (SELECT reg FROM r WHERE last_update >= TIMESTAMP '2024-01-27' AND operator = 'purchase' UNION SELECT c_custkey + 10000000 FROM customer WHERE c_custkey % 50 = 0),
+missing AS (SELECT reg FROM roster WHERE reg NOT IN (SELECT reg FROM batch))
+SELECT reg, operator, CASE WHEN m.reg IS NOT NULL THEN 'landed' ELSE 'en-route' END AS status, CASE WHEN m.reg IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE last_update END AS last_update
+FROM state FULL JOIN missing m USING (reg)""",
     "schedule_flatten": "SELECT 'departure' AS type, o_orderstatus AS status, 'A' || (o_custkey % 40) AS dep_iata, CAST(o_orderkey % 60 AS INTEGER) AS dep_delay, o_orderdate AS dep_scheduled, CASE WHEN o_orderkey % 6 <> 0 THEN 'B' || (o_custkey % 50) END AS arr_iata, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_custkey % 90 AS INTEGER) END AS arr_delay, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate END AS arr_scheduled, CAST(o_orderkey AS VARCHAR) AS flight_number, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS codeshared_airline_name FROM orders",
+    "airport_reference": """WITH a AS (SELECT s_suppkey AS k, s_name, s_nationkey FROM supplier),
+b AS (SELECT *, CASE WHEN k % 3 = 0 THEN chr(CAST(65 + k % 26 AS INT)) || chr(CAST(65 + k % 25 AS INT)) || chr(CAST(65 + k % 24 AS INT)) || chr(CAST(65 + k % 23 AS INT)) ELSE 'i-' || k END AS ident,
+    ['closed', 'small_airport', 'large_airport', 'odd'][k % 4 + 1] AS type, CASE WHEN k % 8 = 1 THEN chr(CAST(65 + k % 9 AS INT)) || chr(CAST(65 + k % 8 AS INT)) || chr(CAST(65 + k % 7 AS INT)) END AS kw,
+    CASE WHEN k % 2 = 0 THEN chr(CAST(65 + k % 5 AS INT)) || chr(CAST(65 + k % 6 AS INT)) || chr(CAST(65 + k % 7 AS INT)) END AS own FROM a),
+c AS (SELECT *, coalesce(own, kw) AS iata, own IS NULL AND kw IS NOT NULL AS from_keyword,
+    coalesce(CASE WHEN k % 4 = 0 THEN 'K' || chr(CAST(65 + k % 11 AS INT)) || chr(CAST(65 + k % 12 AS INT)) || chr(CAST(65 + k % 13 AS INT)) END, CASE WHEN k % 3 = 0 THEN ident END, kw || chr(CAST(65 + k % 6 AS INT))) AS icao FROM b),
+d AS (SELECT * FROM c QUALIFY iata IS NULL OR row_number() OVER (PARTITION BY iata ORDER BY from_keyword, type = 'closed', CASE type WHEN 'large_airport' THEN 1 WHEN 'small_airport' THEN 3 WHEN 'closed' THEN 7 ELSE 8 END, k % 2 = 1, k) = 1),
+r AS (SELECT 'i-' || (s_suppkey % 60) AS ident, count(*) AS n, sum(CAST(s_suppkey % 360 AS DOUBLE)) AS headings, max(CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey * 10 END) AS longest FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY ALL)
+SELECT CAST(k AS INTEGER) AS id, iata, d.ident, icao, CASE WHEN k % 6 <> 0 THEN s_name END AS name, 'city ' || k AS city, n_name AS country, CAST(s_nationkey AS VARCHAR) AS iso_country, round(k / -20, 6) AS lon,
+  CASE WHEN k % 5 <> 0 THEN round(k / 10, 6) END AS lat, type, CASE WHEN k % 7 <> 0 THEN CAST(k * 3 AS INTEGER) END AS elevation_ft, CAST(NULL AS VARCHAR) AS iso_region,
+  ['Africa', 'North America', NULL, NULL][k % 4 + 1] AS continent, ['AF', 'NA', 'XX', NULL][k % 4 + 1] AS continent_code, from_keyword,
+  CASE WHEN k % 8 = 1 THEN 'old name, abc , ' || kw || ',' || kw || chr(CAST(65 + k % 6 AS INT)) END AS keywords, headings, CAST(longest AS INTEGER) AS longest_ft, CAST(n AS INTEGER) AS open_runways
+FROM d JOIN nation ON s_nationkey = n_nationkey LEFT JOIN r ON r.ident = d.ident""",
     "airport_best": """WITH a AS (SELECT s_suppkey AS id, s_nationkey, ['closed', 'small_airport', 'large_airport', 'heliport'][s_suppkey % 4 + 1] AS type, s_suppkey % 3 = 0 AS sched, 'A' || chr(CAST(65 + s_suppkey % 7 AS INT)) || chr(CAST(65 + s_suppkey % 5 AS INT)) AS code FROM supplier),
 c AS (SELECT *, CASE WHEN id % 4 <> 1 OR id % 8 = 1 THEN code END AS iata, id % 8 = 1 AS kw FROM a),
 k AS (SELECT *, row_number() OVER (PARTITION BY iata ORDER BY kw, type = 'closed', list_position(['large_airport', 'medium_airport', 'small_airport', 'seaplane_base', 'heliport', 'balloonport', 'closed'], type), NOT sched, id) AS k FROM c)

@@ -13,6 +13,7 @@ from ..functions.scalars import inferred_usage, shown_registration
 from ..operators import fleet as L
 from ..operators import panel as P
 from ..operators import snapshots as S
+from ..operators.numbering import quantiles_within
 from ..session import stored
 from .adaptors import ACTIVITY_SQL, AS_OF, SNAPSHOTS_SQL, activity, snapshots, table
 
@@ -95,7 +96,7 @@ def fleet_presence(spark: SparkSession, d: str) -> DataFrame:
 
 def value_fill(spark: SparkSession, d: str) -> DataFrame:
     a = _actuals(spark, d)
-    cells = activity(spark, d).select("reg", month_ordinal(F.col("date")).alias("ord")).distinct()
+    cells = a.select("operator", "reg").distinct().join(activity(spark, d).select("reg", month_ordinal(F.col("date")).alias("ord")).distinct(), "reg")
     return rounded(P.value_fill(cells, P.value_table(a)))
 
 
@@ -153,7 +154,13 @@ def snapshot_views(spark: SparkSession, d: str) -> DataFrame:
 
 def shown_registrations(spark: SparkSession, d: str) -> DataFrame:
     tail = F.when(F.col("reg") % 5 == 0, "A6-").otherwise(F.concat(F.lit("A6-"), F.col("reg")))
-    return S.latest_by(snapshots(spark, d), ["reg"], S.newest()).select("reg", shown_registration(tail, F.col("serial")).alias("shown"))
+    tail = F.when(F.col("reg") % 7 == 0, "").when(F.col("reg") % 7 != 1, tail)
+    return snapshots(spark, d).select("id", shown_registration(tail, F.col("serial"), F.col("sub_series")).alias("shown"))
+
+
+def distance_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per operator, some of whom hold a large part of all rows: exact quantiles of distance."""
+    return rounded(quantiles_within(activity(spark, d), ["operator"], "km", {"low": 0.1, "half": 0.5, "high": 0.975}), 4)
 
 
 def cy_weighted_value(spark: SparkSession, d: str) -> DataFrame:
@@ -167,12 +174,13 @@ def usage_infer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def usage_validate(spark: SparkSession, d: str) -> DataFrame:
-    return L.usage_check(usage_infer(spark, d))
+    flown = _actuals(spark, d).select("reg").distinct()
+    return L.usage_check(usage_infer(spark, d).join(flown, "reg", "left_semi"))
 
 
 AS_OF_SQL = "DATE '2001-06-15'"
 CY = "'CY' || CAST(year({d}) - CASE WHEN month({d}) < 6 OR (month({d}) = 6 AND day({d}) <= 15) THEN 1 ELSE 0 END AS VARCHAR)"
-AUTH_SQL = SNAPSHOTS_SQL + ",\nowned AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY reg, period ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1)"
+AUTH_SQL = SNAPSHOTS_SQL + ",\nowned AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY reg, period ORDER BY revision_id DESC, id DESC) AS k FROM snapshots WHERE reg IS NOT NULL) WHERE k = 1)"
 ACTUALS_SQL = (
     AUTH_SQL
     + f"""
@@ -183,21 +191,22 @@ ACTUALS_SQL = (
   JOIN owned o ON o.reg = a.reg AND o.period = least(a.mon, m.last_month)
   WHERE a.date < {AS_OF_SQL} AND NOT (a.origin = a.dest OR a.km < 1)
 ), vals AS (
-  SELECT reg, year(date) * 12 + month(date) AS ord, max(value) AS av FROM actuals WHERE lease <> 'Wet' AND value > 0 GROUP BY ALL
+  SELECT operator, reg, year(date) * 12 + month(date) AS ord, max(value) AS av FROM actuals WHERE lease IS DISTINCT FROM 'Wet' AND value > 0 GROUP BY ALL
 ), stats AS (
-  SELECT reg, max_by(av, ord) AS last_av, max(ord) AS last_ord, least(0.0, CASE WHEN count(*) > 1 THEN coalesce(regr_slope(av, ord), 0.0) ELSE 0.0 END) AS slope FROM vals GROUP BY reg
+  SELECT operator, reg, max_by(av, ord) AS last_av, max(ord) AS last_ord, least(0.0, CASE WHEN count(*) > 1 THEN coalesce(regr_slope(av, ord), 0.0) ELSE 0.0 END) AS slope
+  FROM vals GROUP BY operator, reg
 ), bench AS (
-  SELECT sub_series, coalesce(avg(value) FILTER (WHERE period = mx), avg(value) FILTER (WHERE year(period) = year(mx))) AS benchmark
-  FROM snapshots, (SELECT max(period) AS mx FROM snapshots) WHERE value > 0 AND lease <> 'Wet' GROUP BY sub_series
+  SELECT coalesce(nullif(sub_series, ''), 'NA') AS sub_series, coalesce(avg(value) FILTER (WHERE period = mx), avg(value) FILTER (WHERE year(period) = year(mx))) AS benchmark
+  FROM snapshots, (SELECT max(period) AS mx FROM snapshots) WHERE value > 0 GROUP BY ALL
 ), newest AS (
   SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots s
-    WHERE revision_id = (SELECT t.revision_id FROM snapshots t WHERE t.plan_type = s.plan_type ORDER BY t.period DESC NULLS FIRST, t.revision_id DESC LIMIT 1)) WHERE k = 1
+    WHERE reg IS NOT NULL AND revision_id = (SELECT t.revision_id FROM snapshots t WHERE t.plan_type = s.plan_type ORDER BY t.period DESC NULLS FIRST, t.revision_id DESC LIMIT 1)) WHERE k = 1
 )"""
 )
 BAD = "({h} IS NULL OR {h} < {k} / 1100.0 OR {h} > {k} / 550.0 + 2)"
 LIVE_SQL = "('In Service', 'Storage')"
 
-QUERIES = {f.__name__: f for f in (contract_year_rollup, authoritative_snapshot, latest_revision, snapshot_delta, collapse_revisions, roster_sync, geo_pick, great_circle_routes, assemble_actuals, route_impute, future_aircraft, fleet_presence, value_fill, value_slope, type_benchmark, merge_panel, grouped_panel, cy_weighted_value, usage_infer, usage_validate, geo_attach, airport_lookups, grouped_registration, aircraft_information, report_dates, restamp, scope_registrations, scope_filter, fetch_starts, snapshot_views, shown_registrations)}
+QUERIES = {f.__name__: f for f in (contract_year_rollup, authoritative_snapshot, latest_revision, snapshot_delta, collapse_revisions, roster_sync, geo_pick, great_circle_routes, assemble_actuals, route_impute, future_aircraft, fleet_presence, value_fill, value_slope, type_benchmark, merge_panel, grouped_panel, cy_weighted_value, usage_infer, usage_validate, geo_attach, airport_lookups, grouped_registration, aircraft_information, report_dates, restamp, scope_registrations, scope_filter, fetch_starts, snapshot_views, shown_registrations, distance_quantiles)}
 
 _GEO = "SELECT n_nationkey AS code, {p} AS prio, CASE WHEN n_nationkey % {m} <> 0 THEN n_name || ' {p}' END AS city, CASE WHEN n_nationkey % ({m} + 1) <> 0 THEN 'R' || n_regionkey || ' {p}' END AS country, 'A{p} ' || n_name AS airport_name, CASE WHEN n_nationkey % {m} <> 0 THEN n_nationkey * 1.5 END AS lat, CASE WHEN n_nationkey % ({m} + 2) <> 0 THEN n_nationkey * 2.5 END AS lon FROM nation"
 _USAGE = "(SELECT reg, usage, CAST(CASE WHEN reg % 5 = 0 THEN reg % 30 ELSE seats END AS BIGINT) AS seats, payload FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1)"
@@ -217,21 +226,24 @@ SELECT flight_id, """
     "aircraft_information": f"WITH {ACTUALS_SQL} SELECT reg, operator, sub_series, master_series, seats, payload, usage, round(value, 6) AS value, delivery_date, lease FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY date DESC, flight_id DESC) AS k FROM actuals) WHERE k = 1",
     "report_dates": f"WITH {ACTUALS_SQL} SELECT CAST(unnest(generate_series(date_trunc('month', min(date))::TIMESTAMP, date_trunc('month', max(date))::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS mon FROM actuals",
     "restamp": f"WITH {ACTUALS_SQL} SELECT operator, 'CY' || (year(date) - CASE WHEN month(date) < 2 OR (month(date) = 2 AND day(date) <= 28) THEN 1 ELSE 0 END) AS cy, count(*) AS flights FROM actuals GROUP BY ALL",
-    "scope_registrations": f"WITH {SNAPSHOTS_SQL} SELECT DISTINCT reg FROM snapshots WHERE operator IN ('ASIA', 'EUROPE B') AND period >= DATE '1997-01-01'",
+    "scope_registrations": f"WITH {SNAPSHOTS_SQL} SELECT DISTINCT reg FROM snapshots WHERE reg IS NOT NULL AND operator IN ('ASIA', 'EUROPE B') AND period >= DATE '1997-01-01'",
     "scope_filter": f"WITH {ACTUALS_SQL} SELECT flight_id, reg, date, operator FROM actuals WHERE operator IN ('ASIA', 'EUROPE B') AND date > DATE '1996-06-15'",
-    "fetch_starts": f"WITH {SNAPSHOTS_SQL} SELECT reg, min(delivery_date) AS delivered, CAST(min(delivery_date) - INTERVAL 1 MONTH AS DATE) AS start FROM snapshots GROUP BY reg",
+    "fetch_starts": f"WITH {SNAPSHOTS_SQL} SELECT reg, min(delivery_date) AS delivered, CAST(min(delivery_date) - INTERVAL 1 MONTH AS DATE) AS start FROM snapshots WHERE reg IS NOT NULL AND delivery_date IS NOT NULL GROUP BY reg",
     "snapshot_views": f"""WITH {SNAPSHOTS_SQL}, n AS ({_NEWEST}), s AS (SELECT id, plan_type, (plan_type, revision_id) IN (SELECT (plan_type, revision_id) FROM n) AS last FROM snapshots)
 SELECT id, 'Business' AS plan, 'latest' AS mode FROM s WHERE last AND plan_type = 'Business' UNION ALL SELECT id, 'Commercial', 'historical' FROM s WHERE NOT last AND plan_type = 'Commercial' UNION ALL SELECT id, 'full', 'latest' FROM s WHERE last""",
-    "shown_registrations": f"WITH {SNAPSHOTS_SQL} SELECT reg, CASE WHEN reg % 5 = 0 THEN 'A6-' || split_part(serial, '-', -1) ELSE 'A6-' || reg END AS shown FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1",
+    "shown_registrations": f"""WITH {SNAPSHOTS_SQL}, t AS (SELECT *, CASE WHEN reg % 7 = 0 THEN '' WHEN reg % 7 = 1 THEN NULL WHEN reg % 5 = 0 THEN 'A6-' ELSE 'A6-' || reg END AS tail FROM snapshots)
+SELECT id, CASE WHEN coalesce(tail, '') = '' OR tail LIKE '%-' THEN coalesce(tail, '') || coalesce(sub_series, '') || '-' || regexp_replace(coalesce(serial, ''), '^.*-', '') ELSE tail END AS shown FROM t""",
     "contract_year_rollup": f"WITH {ACTIVITY_SQL} SELECT operator, {CY.format(d='date')} AS cy, count(*) AS flights, count(DISTINCT reg) AS tails FROM activity GROUP BY ALL",
     "authoritative_snapshot": f"WITH {AUTH_SQL} SELECT id, reg, period, operator, status FROM owned",
     "latest_revision": f"WITH {SNAPSHOTS_SQL} SELECT operator, plan_type, max(revision_id) AS revision_id, max(period) AS period FROM snapshots GROUP BY ALL",
     "snapshot_delta": f"""WITH {SNAPSHOTS_SQL}, c AS (SELECT *, row_number() OVER w AS k, first_value(status) OVER w AS s0, first_value(operator) OVER w AS o0, first_value(lease) OVER w AS l0 FROM snapshots WINDOW w AS (PARTITION BY reg, serial ORDER BY revision_id DESC, id DESC))
 SELECT id, reg, serial, status, operator, k = 1 AS is_latest FROM c WHERE k = 1 OR status IS DISTINCT FROM s0 OR operator IS DISTINCT FROM o0 OR lease IS DISTINCT FROM l0""",
     "collapse_revisions": f"WITH {SNAPSHOTS_SQL} SELECT id, reg, period, operator FROM (SELECT *, row_number() OVER (PARTITION BY plan_type, period, reg, serial ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1 OR period >= DATE '2001-06-01'",
-    "roster_sync": f"""WITH {SNAPSHOTS_SQL}, a AS (SELECT reg FROM (SELECT reg, status, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1 AND status IN {LIVE_SQL}), n AS (SELECT s_suppkey AS reg FROM supplier WHERE s_suppkey % 2 = 0)
+    "roster_sync": f"""WITH {SNAPSHOTS_SQL}, a AS (SELECT reg FROM (SELECT reg, status, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots WHERE reg IS NOT NULL) WHERE k = 1 AND status IN {LIVE_SQL}), n AS (SELECT s_suppkey AS reg FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT reg, 'add' AS change FROM a WHERE reg NOT IN (SELECT reg FROM n) UNION ALL SELECT reg, 'drop' FROM n WHERE reg NOT IN (SELECT reg FROM a)""",
     "geo_pick": _PICKED,
+    "distance_quantiles": f"""WITH {ACTIVITY_SQL} SELECT operator, round(quantile_cont(km, 0.1), 4) AS low, round(quantile_cont(km, 0.5), 4) AS half,
+  round(quantile_cont(km, 0.975), 4) AS high FROM activity GROUP BY operator""",
     "great_circle_routes": f"WITH {ACTIVITY_SQL} SELECT origin, dest, round(max(km), 4) AS km, count(*) AS flights FROM activity GROUP BY ALL",
     "assemble_actuals": f"WITH {ACTUALS_SQL} SELECT flight_id, reg, date, operator, cy, round(km, 4) AS km, round(hours, 4) AS hours, round(CAST(pax AS DOUBLE), 4) AS pax, round(value, 4) AS value FROM actuals",
     "route_impute": f"""WITH {ACTUALS_SQL}, m AS (SELECT operator, origin, dest, avg(hours) AS mean FROM actuals WHERE km > 0 AND NOT {BAD.format(h="hours", k="km")} GROUP BY ALL),
@@ -246,22 +258,27 @@ months AS (SELECT *, CAST(unnest(generate_series(date_trunc('month', life_start)
 cells AS (SELECT DISTINCT reg, operator, delivery_date, life_start, mon, {CY.format(d="d")} AS cy FROM (SELECT *, mon AS d FROM months UNION ALL SELECT *, last_day(mon) AS d FROM months)),
 dated AS (SELECT *, make_date(year(mon), month(mon), least(CASE WHEN month(mon) = 6 AND CAST(right(cy, 4) AS INT) = year(mon) - 1 THEN 15 ELSE 16 END, day(last_day(mon)))) AS cell FROM cells)
 SELECT reg, mon, cy, operator, delivery_date FROM dated c WHERE cell >= life_start AND cell <= {AS_OF_SQL} AND NOT EXISTS (SELECT 1 FROM actuals a WHERE a.reg = c.reg AND date_trunc('month', a.date) = c.mon AND a.cy = c.cy)""",
-    "value_fill": f"""WITH {ACTUALS_SQL}, cells AS (SELECT DISTINCT reg, year(date) * 12 + month(date) AS ord FROM activity)
-SELECT reg, ord, round(coalesce((SELECT max_by(av, v.ord) FROM vals v WHERE v.reg = c.reg AND v.ord <= c.ord), (SELECT min_by(av, v.ord) FROM vals v WHERE v.reg = c.reg)), 6) AS filled FROM cells c""",
-    "value_slope": f"WITH {ACTUALS_SQL} SELECT reg, round(last_av, 6) AS last_av, last_ord, round(slope, 6) + 0.0 AS slope FROM stats",
+    "value_fill": f"""WITH {ACTUALS_SQL}, cells AS (SELECT DISTINCT o.operator, a.reg, year(a.date) * 12 + month(a.date) AS ord FROM activity a JOIN (SELECT DISTINCT operator, reg FROM actuals) o ON o.reg = a.reg)
+SELECT operator, reg, ord, round(coalesce((SELECT max_by(av, v.ord) FROM vals v WHERE v.operator = c.operator AND v.reg = c.reg AND v.ord <= c.ord),
+  (SELECT min_by(av, v.ord) FROM vals v WHERE v.operator = c.operator AND v.reg = c.reg)), 6) AS filled FROM cells c""",
+    "value_slope": f"WITH {ACTUALS_SQL} SELECT operator, reg, round(last_av, 6) AS last_av, last_ord, round(slope, 6) + 0.0 AS slope FROM stats",
     "type_benchmark": f"WITH {ACTUALS_SQL} SELECT sub_series, round(benchmark, 6) AS benchmark FROM bench",
-    "merge_panel": f"""WITH {ACTUALS_SQL}, both_ AS (SELECT *, 'Actual' AS data_type FROM actuals UNION ALL SELECT * REPLACE (CAST(date + INTERVAL 24 MONTH AS DATE) AS date), 'Forecast' FROM actuals),
+    "merge_panel": f"""WITH {ACTUALS_SQL}, both_ AS (SELECT *, 'Actuals' AS data_type FROM actuals UNION ALL SELECT * REPLACE (CAST(date + INTERVAL 24 MONTH AS DATE) AS date), 'Forecast' FROM actuals),
 o AS (SELECT *, year(date) * 12 + month(date) AS ord FROM both_),
-f AS (SELECT DISTINCT reg, ord, data_type FROM o), g AS (SELECT f.*, CASE WHEN data_type = 'Actual' THEN coalesce((SELECT max_by(av, v.ord) FROM vals v WHERE v.reg = f.reg AND v.ord <= f.ord), (SELECT min_by(av, v.ord) FROM vals v WHERE v.reg = f.reg))
-  ELSE (SELECT CASE WHEN last_av + slope * (f.ord - last_ord) < 0 THEN 0.0 ELSE last_av + slope * (f.ord - last_ord) END FROM stats s WHERE s.reg = f.reg) END AS filled FROM f)
-SELECT flight_id, o.data_type, o.reg, o.date, round(CASE WHEN lease = 'Wet' THEN 0.0 ELSE coalesce(filled, CASE WHEN value > 0 THEN value END, benchmark) END, 4) + 0.0 AS agreed_value,
+f AS (SELECT DISTINCT operator, reg, ord, data_type FROM o),
+g AS (SELECT f.*, CASE WHEN data_type = 'Actuals' THEN coalesce((SELECT max_by(av, v.ord) FROM vals v WHERE v.operator = f.operator AND v.reg = f.reg AND v.ord <= f.ord),
+    (SELECT min_by(av, v.ord) FROM vals v WHERE v.operator = f.operator AND v.reg = f.reg))
+  ELSE (SELECT CASE WHEN last_av + slope * (f.ord - last_ord) < 0 THEN 0.0 ELSE last_av + slope * (f.ord - last_ord) END FROM stats s WHERE s.operator = f.operator AND s.reg = f.reg) END AS filled FROM f)
+SELECT flight_id, o.data_type, o.reg, o.date, round(CASE WHEN lease = 'Wet' THEN 0.0 ELSE coalesce(filled, value, benchmark) END, 4) + 0.0 AS agreed_value,
        round(round(greatest(date_diff('day', delivery_date, o.date), 0) / 365.25, 2), 4) AS age
-FROM o LEFT JOIN g ON o.reg = g.reg AND o.ord = g.ord AND o.data_type = g.data_type LEFT JOIN bench USING (sub_series)""",
+FROM o LEFT JOIN g ON o.operator = g.operator AND o.reg = g.reg AND o.ord = g.ord AND o.data_type = g.data_type LEFT JOIN bench b ON b.sub_series = coalesce(nullif(o.sub_series, ''), 'NA')""",
     "grouped_panel": f"WITH {ACTUALS_SQL} SELECT reg, CAST(date_trunc('month', date) AS DATE) AS mon, origin, dest, count(date) AS flights, round(sum(km), 3) AS km, round(sum(hours), 3) AS hours, round(CAST(sum(pax) AS DOUBLE), 3) AS pax FROM actuals GROUP BY ALL",
-    "cy_weighted_value": f"""WITH {ACTUALS_SQL}, m AS (SELECT reg, cy, date_trunc('month', date) AS mon, max(value) AS v, count(date) AS n FROM actuals WHERE lease <> 'Wet' AND value > 0 GROUP BY ALL)
+    "cy_weighted_value": f"""WITH {ACTUALS_SQL}, m AS (SELECT reg, cy, date_trunc('month', date) AS mon, max(value) AS v, count(date) AS n FROM actuals WHERE lease IS DISTINCT FROM 'Wet' AND value > 0 GROUP BY ALL)
 SELECT reg, cy, round(min_by(v, mon), 6) AS inception, round(max_by(v, mon), 6) AS "end", round(sum(v * n) / sum(n), 6) AS weighted, round((min_by(v, mon) + max_by(v, mon)) / 2, 6) AS average FROM m GROUP BY reg, cy""",
     "usage_infer": f"WITH {SNAPSHOTS_SQL} SELECT reg, usage, seats, payload, coalesce(nullif(usage, ''), {_RULE}) AS effective FROM {_USAGE}",
-    "usage_validate": f"""WITH {SNAPSHOTS_SQL}, u AS (SELECT nullif(usage, '') AS label, {_RULE} AS rule FROM {_USAGE})
-SELECT count(*) AS tails, count(label) AS labelled, count(*) FILTER (WHERE label = rule) AS correct, count(*) FILTER (WHERE label = 'Freight / Cargo') AS freighters, count(*) FILTER (WHERE label = 'Freight / Cargo' AND rule = label) AS freighters_found,
-       count(*) FILTER (WHERE label IS NULL AND rule = 'Passenger') AS null_passenger, count(*) FILTER (WHERE label IS NULL AND rule <> 'Passenger') AS null_freight FROM u""",
+    "usage_validate": f"""WITH {ACTUALS_SQL}, u AS (SELECT nullif(usage, '') AS usage, {_RULE} AS rule FROM {_USAGE} x WHERE x.reg IN (SELECT reg FROM actuals)),
+l AS (SELECT *, CASE WHEN usage = 'Passenger' THEN usage WHEN usage LIKE '%Cargo%' OR usage LIKE '%Freight%' THEN 'Freight / Cargo' WHEN usage IS NOT NULL THEN 'Other' END AS label FROM u)
+SELECT count(*) AS tails, count(usage) AS labelled, count(*) FILTER (label <> 'Other') AS checked, count(*) FILTER (label = rule) AS correct, count(*) FILTER (label = 'Freight / Cargo') AS freighters,
+       count(*) FILTER (label = 'Freight / Cargo' AND rule = label) AS freighters_found, count(*) FILTER (label IS NULL AND rule = 'Passenger') AS null_passenger,
+       count(*) FILTER (label IS NULL AND rule <> 'Passenger') AS null_freight FROM l""",
 }

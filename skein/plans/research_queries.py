@@ -133,7 +133,11 @@ def metric_conversion(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.convert_metrics(_panel(spark, d), CUT), 3)
 
 
-QUERIES = {f.__name__: f for f in (anchor_panel, plateau, forward_deliveries, candidate_carriers, subfleet_fit, backtest, backtest_metrics, growth_read, loco_prior, loco, loco_reliability, archetype_features, archetype_bucket, exog_forecast, exog_evaluate, metric_conversion, forward_forecast, forward_damped, loco_carriers, ondemand_reliability, monthly_series, exog_settings, exog_summary)}
+def conversion_errors(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.conversion_errors(R.convert_metrics(_panel(spark, d), CUT)), 5)
+
+
+QUERIES = {f.__name__: f for f in (anchor_panel, plateau, forward_deliveries, candidate_carriers, subfleet_fit, backtest, backtest_metrics, growth_read, loco_prior, loco, loco_reliability, archetype_features, archetype_bucket, exog_forecast, exog_evaluate, metric_conversion, forward_forecast, forward_damped, loco_carriers, ondemand_reliability, monthly_series, exog_settings, exog_summary, conversion_errors)}
 
 
 def seasonal_sql(name: str, source: str, keys: str, value: str) -> str:
@@ -184,7 +188,8 @@ stats AS (SELECT carrier, avg(ln(actual / hat)) AS mu, greatest(stddev_pop(ln(ac
 lc AS (SELECT carrier, mon, actual, hat, (hat - actual) / actual * 100 AS err, abs(ln(actual / hat) - mu) / (sigma * sqrt({HORIZON})) AS z FROM gate JOIN hats USING (carrier, mon) JOIN stats USING (carrier) WHERE valid)"""
 FEATURES = """routes AS (SELECT operator, origin, dest, count(*) AS f FROM activity GROUP BY ALL),
 top AS (SELECT operator, count(*) AS pairs, sum(f) FILTER (WHERE k <= 10) AS top10 FROM (SELECT *, row_number() OVER (PARTITION BY operator ORDER BY f DESC, origin, dest) AS k FROM routes) GROUP BY operator),
-features AS (SELECT operator AS carrier, tails, flights / pairs AS per_pair, top10 / flights AS top10_share, flights / tail_months AS per_tail_month FROM (SELECT operator, count(*) AS flights, count(DISTINCT mon) AS months, count(DISTINCT (reg, mon)) AS tail_months, count(DISTINCT reg) AS tails FROM activity GROUP BY operator) JOIN top USING (operator) WHERE flights >= 100 AND months >= 12)"""
+features AS (SELECT operator AS carrier, tails, flights / pairs AS per_pair, top10 / flights AS top10_share, flights / (tails * months) AS per_tail_month
+  FROM (SELECT operator, count(*) AS flights, count(DISTINCT mon) AS months, count(DISTINCT reg) AS tails FROM activity GROUP BY operator) JOIN top USING (operator) WHERE flights >= 100 AND months >= 12)"""
 RECENT = f"""series AS (SELECT carrier, mon, CAST(sum(cycles) AS BIGINT) AS flights FROM panel WHERE mon <= DATE '2000-06-01' GROUP BY ALL), {seasonal_sql("e", "series", "carrier", "flights")},
 er AS (SELECT s.carrier, flights, flights / seas AS des, year(mon) * 12 + month(mon) AS i, ln(greatest(flights / seas, 0.5)) AS l, row_number() OVER (PARTITION BY s.carrier ORDER BY mon DESC) AS k FROM series s JOIN e_seas e ON e.carrier = s.carrier AND e.cal = month(mon)),
 en AS (SELECT *, (24006 - i <= 6 AND k <= 3) OR (k = 1 AND NOT bool_or(24006 - i <= 6 AND k <= 3) OVER (PARTITION BY carrier)) AS near, abs(l - median(l) OVER (PARTITION BY carrier)) AS d FROM er),
@@ -192,7 +197,8 @@ recent AS (SELECT carrier, CAST(median(flights) FILTER (WHERE near) AS DOUBLE) A
 BUCKETS = f"""{FEATURES}, scored AS (SELECT carrier, tails, (ln(per_pair) - avg(ln(per_pair)) OVER ()) / stddev_pop(ln(per_pair)) OVER () + (top10_share - avg(top10_share) OVER ()) / stddev_pop(top10_share) OVER () + (ln(per_tail_month) - avg(ln(per_tail_month)) OVER ()) / stddev_pop(ln(per_tail_month)) OVER () AS score FROM features),
 steps AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, lead(score) OVER (ORDER BY score) AS nxt, count(*) OVER () AS n FROM scored),
 cutoff AS (SELECT (score + nxt) / 2 AS threshold FROM steps WHERE i >= greatest(1, floor(n * 0.15)) AND i < least(n - 1, floor(n * 0.7)) AND nxt IS NOT NULL ORDER BY nxt - score DESC, i LIMIT 1),
-buckets AS (SELECT carrier, tails, score, CASE WHEN score < threshold THEN 'ondemand' ELSE 'schedule' END AS bucket, CASE WHEN tails < 40 THEN 'small' ELSE 'large' END AS size FROM scored, cutoff)"""
+limit_ AS (SELECT coalesce((SELECT threshold FROM cutoff), 0.0) AS threshold),
+buckets AS (SELECT carrier, tails, score, CASE WHEN score < threshold THEN 'ondemand' ELSE 'schedule' END AS bucket, CASE WHEN tails < 40 THEN 'small' ELSE 'large' END AS size FROM scored, limit_)"""
 #: The panel of the carriers that fly on demand alone, with all that follows from it.
 ONDEMAND_SQL = LOCO_SQL.replace("panel AS (SELECT operator", "all_panel AS (SELECT operator", 1).replace("\ndeliveries AS", f"\n{BUCKETS},\npanel AS (SELECT * FROM all_panel WHERE carrier IN (SELECT carrier FROM buckets WHERE bucket = 'ondemand')),\ndeliveries AS", 1)
 SETTINGS_SQL = f"""{BACKTEST_SQL}, {BUCKETS}, {RECENT}, v AS (SELECT carrier, mon, actual, hat, row_number() OVER w AS h, first_value(hat) OVER w AS anchor FROM bt WHERE valid WINDOW w AS (PARTITION BY carrier ORDER BY mon)),
@@ -231,7 +237,11 @@ f AS (SELECT operator AS carrier, mon, count(*) AS flights FROM activity WHERE m
     "subfleet_fit": f"WITH {PANEL_SQL}, {fit_sql('f', 'train', 'carrier, sf')} SELECT carrier, sf, months, as_of, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("level", "slope", "km_per_flight", "seats", "base_fleet")) + " FROM f_level",
     "backtest": f"WITH {BACKTEST_SQL} SELECT carrier, mon, actual, flown, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("hat", "err", "lo", "hi")) + ", actual BETWEEN lo AND hi AS inside, valid FROM bt",
     "backtest_metrics": f"WITH {BACKTEST_SQL} SELECT carrier, n_holdout, n_excluded, validatable, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("mape", "bias", "coverage", "n_growth")) + " FROM metrics",
-    "growth_read": f"WITH {BACKTEST_SQL} SELECT CASE WHEN count(*) >= 3 AND stddev_pop(n_growth) * stddev_pop(bias) > 0 THEN round(corr(n_growth, bias), 5) + 0.0 END AS r, round(avg(bias) FILTER (WHERE n_growth > 1.1), 5) + 0.0 AS grew, round(avg(bias) FILTER (WHERE n_growth BETWEEN 0.9 AND 1.1), 5) + 0.0 AS stable, round(avg(bias) FILTER (WHERE n_growth < 0.9), 5) + 0.0 AS shrank FROM metrics WHERE n_growth IS NOT NULL AND bias IS NOT NULL",
+    "growth_read": f"""WITH {BACKTEST_SQL}, v AS (SELECT *, CASE WHEN n_growth > 1.05 THEN 'grew' WHEN n_growth >= 0.95 THEN 'stable' ELSE 'shrank' END AS g FROM metrics WHERE validatable AND n_growth IS NOT NULL)
+SELECT count(*) AS carriers, CASE WHEN count(*) >= 3 AND stddev_pop(n_growth) * stddev_pop(bias) > 0 THEN round(corr(n_growth, bias), 5) + 0.0 END AS r,
+       """
+    + ",\n       ".join(f"count(*) FILTER (g = '{g}') AS {g}, " + ", ".join(f"round(avg({m}) FILTER (g = '{g}'), 5) + 0.0 AS {g}_{m}" for m in ("bias", "mape", "coverage")) for g in ("grew", "stable", "shrank"))
+    + " FROM v",
     "loco_prior": f"WITH {PANEL_SQL}, {fit_sql('f', 'train', 'carrier, sf')}, {PRIOR} SELECT carrier, sf, cal, round(prior, 6) AS prior FROM prior",
     "loco": f"WITH {LOCO_SQL} SELECT carrier, mon, actual, round(hat, 5) AS hat, round(err, 5) + 0.0 AS err, z <= 0.6745 AS in50, z <= 1.2816 AS in80, z <= 1.6449 AS in90 FROM lc",
     "loco_reliability": f"WITH {LOCO_SQL} SELECT n AS nominal, round(avg(CAST(z <= q AS INT)), 6) AS empirical, count(*) AS months FROM lc, (VALUES (50, 0.6745), (80, 1.2816), (90, 1.6449)) v(n, q) GROUP BY n",
@@ -249,3 +259,10 @@ t AS (SELECT carrier, mon, sum(f) AS flights_hat, sum(f * km) AS km_hat, sum(f *
 SELECT g.carrier, g.mon, round(flights_hat, 3) AS flights_hat, round(km_hat, 3) AS km_hat, round(km_hat_flat, 3) AS km_hat_flat, round(hours_hat, 3) AS hours_hat, round(pax_hat, 3) AS pax_hat, actual AS flights_actual, round(k.km, 3) AS km_actual
 FROM gate g JOIN t USING (carrier, mon) JOIN (SELECT carrier, mon, sum(sum_km) AS km FROM panel GROUP BY ALL) k USING (carrier, mon) WHERE valid""",
 }
+SQL["conversion_errors"] = (
+    SQL["metric_conversion"].split("\nSELECT g.carrier")[0]
+    + """
+SELECT g.carrier, count(*) AS months, round(avg(abs(flights_hat - actual) / actual * 100), 5) AS flights_mape, round(avg(CASE WHEN k.km <> 0 THEN abs(km_hat - k.km) / k.km * 100 END), 5) AS km_mape,
+  round(avg(CASE WHEN k.km <> 0 THEN abs(km_hat_flat - k.km) / k.km * 100 END), 5) AS km_mape_flat
+FROM gate g JOIN t USING (carrier, mon) JOIN (SELECT carrier, mon, sum(sum_km) AS km FROM panel GROUP BY ALL) k USING (carrier, mon) WHERE valid GROUP BY g.carrier"""
+)

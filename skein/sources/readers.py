@@ -66,20 +66,59 @@ def dedup_schedules(df: DataFrame, target: DataFrame) -> DataFrame:
 TYPE_RANK = ["large_airport", "medium_airport", "small_airport", "seaplane_base", "heliport", "balloonport", "closed"]
 
 
+#: Continents by their codes.
+CONTINENTS = {"AF": "Africa", "AN": "Antarctica", "AS": "Asia", "EU": "Europe", "NA": "North America", "OC": "Oceania", "SA": "South America"}
+
+
+def _keyword(length: int) -> Column:
+    """The first keyword of so many upper-case letters."""
+    tokens = F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), lambda k: F.trim(k))
+    return F.get(F.filter(tokens, lambda k: k.rlike(f"^[A-Z]{{{length}}}$")), 0)
+
+
+def _best_by_iata(rows: DataFrame) -> DataFrame:
+    """rows with iata and from_keyword. One row per IATA code: its own code before one from the keywords, open before
+    closed, larger types, scheduled service, then the smaller id. Rows without a code stay."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TYPE_RANK)), F.col("type")), F.lit(0)), F.lit(len(TYPE_RANK) + 1))
+    w = Window.partitionBy("iata").orderBy("from_keyword", F.col("type").eqNullSafe("closed"), rank, ~F.col("scheduled_service").eqNullSafe("yes"), "id")
+    return rows.where("iata IS NOT NULL").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").unionByName(rows.where("iata IS NULL"))
+
+
 def build_airports(airports: DataFrame, countries: DataFrame, runways: DataFrame) -> DataFrame:
-    """One row per IATA code, the best candidate: code of its own before one from the keywords, open before closed, larger
-    types, scheduled service, then the smaller id. Airports without a code stay. Open runways are an array."""
+    """One row per IATA code, the best candidate (see _best_by_iata). Open runways are an array."""
     strips = runways.where(F.coalesce(F.col("closed"), F.lit("0")) != "1").groupBy("airport_ident").agg(F.array_sort(F.collect_list(F.struct("le_ident", "he_ident", "length_ft", "width_ft", "surface"))).alias("runways"))
-    mined = F.get(F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), lambda k: F.trim(k)), lambda k: k.rlike("^[A-Z]{3}$")), 0)
-    own = empty_as_null(F.col("iata_code"))
-    rows = airports.withColumn("iata", F.coalesce(own, mined)).withColumn("from_keyword", own.isNull() & mined.isNotNull())
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TYPE_RANK)), F.col("type")), F.lit(0)), F.lit(len(TYPE_RANK) + 1))
-    w = Window.partitionBy("iata").orderBy("from_keyword", F.col("type") == "closed", rank, F.col("scheduled_service") != "yes", "id")
-    best = rows.where("iata IS NOT NULL").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").unionByName(rows.where("iata IS NULL"))
+    mined, own = _keyword(3), empty_as_null(F.trim("iata_code"))
+    best = _best_by_iata(airports.withColumn("iata", F.coalesce(own, mined)).withColumn("from_keyword", own.isNull() & mined.isNotNull()))
     names = countries.select(F.col("code").alias("iso_country"), F.col("name").alias("country"))
     return best.join(names, "iso_country", "left").join(strips, best["ident"] == strips["airport_ident"], "left").drop("airport_ident")
 
 
+def airport_reference(airports: DataFrame, countries: DataFrame, runways: DataFrame) -> DataFrame:
+    """The airport table from the three source files, whose columns are text: codes, names, places, types and open runways.
+
+    An ICAO code is the airport's own, else its ident if that is four upper-case letters, else such a keyword; an IATA code
+    its own, else a keyword. Numbers that can't be read and empty texts are null. One row per IATA code, see _best_by_iata.
+    """
+    text = lambda c: empty_as_null(F.col(c))
+    number = lambda c, t: F.expr(f"try_cast({c} AS {t})")
+    strip = F.struct(
+        text("le_ident").alias("le_ident"), text("he_ident").alias("he_ident"), number("length_ft", "int").alias("length_ft"), number("width_ft", "int").alias("width_ft"),
+        text("surface").alias("surface"), number("le_heading_degT", "double").alias("le_heading"), number("he_heading_degT", "double").alias("he_heading"),
+    )
+    strips = runways.where(F.coalesce(F.col("closed"), F.lit("0")) != "1").groupBy(F.col("airport_ident").alias("ident")).agg(F.array_sort(F.collect_list(strip)).alias("runways"))
+    own, icao = empty_as_null(F.trim("iata_code")), empty_as_null(F.trim("icao_code"))
+    by_ident = F.when(F.trim("ident").rlike("^[A-Z]{4}$"), F.trim("ident"))
+    rows = airports.withColumns({"iata": F.coalesce(own, _keyword(3)), "icao": F.coalesce(icao, by_ident, _keyword(4)), "from_keyword": own.isNull() & _keyword(3).isNotNull(), "id": number("id", "int")})
+    continent = F.create_map(*[F.lit(x) for pair in CONTINENTS.items() for x in pair])
+    names = countries.select(F.col("code").alias("iso_country"), F.col("name").alias("country"))
+    best = _best_by_iata(rows).join(names, "iso_country", "left").join(strips, "ident", "left")
+    return best.select(
+        "id", "iata", text("ident").alias("ident"), "icao", text("name").alias("name"), text("municipality").alias("city"), "country", text("iso_country").alias("iso_country"), number("longitude_deg", "double").alias("lon"),
+        number("latitude_deg", "double").alias("lat"), text("type").alias("type"), number("elevation_ft", "int").alias("elevation_ft"), text("iso_region").alias("iso_region"),
+        F.try_element_at(continent, F.coalesce("continent", F.lit(""))).alias("continent"), text("continent").alias("continent_code"), "from_keyword", "runways", text("keywords").alias("keywords"),
+    )
+
+
 def apply_overrides(airports: DataFrame, overrides: DataFrame) -> DataFrame:
     """overrides: (iata, city, country). Curated names replace the others."""
     o = overrides.select("iata", F.col("city").alias("_city"), F.col("country").alias("_country"))

@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from skein.plans import coverage_queries, forecast_queries, panel_queries, research_queries, stream_queries
+from skein.plans import coverage_queries, forecast_queries, job_queries, panel_queries, research_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-PARTS = (panel_queries, forecast_queries, research_queries, coverage_queries, stream_queries)
+PARTS = (panel_queries, forecast_queries, job_queries, research_queries, coverage_queries, stream_queries)
 CASES = [(p, n) for p in PARTS for n in p.QUERIES]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
