@@ -176,7 +176,7 @@ c AS (SELECT *, coalesce(own, kw) AS iata, own IS NULL AND kw IS NOT NULL AS fro
     coalesce(CASE WHEN k % 4 = 0 THEN 'K' || chr(CAST(65 + k % 11 AS INT)) || chr(CAST(65 + k % 12 AS INT)) || chr(CAST(65 + k % 13 AS INT)) END, CASE WHEN k % 3 = 0 THEN ident END, kw || chr(CAST(65 + k % 6 AS INT))) AS icao FROM b),
 d AS (SELECT * FROM c QUALIFY iata IS NULL OR row_number() OVER (PARTITION BY iata ORDER BY from_keyword, type = 'closed', CASE type WHEN 'large_airport' THEN 1 WHEN 'small_airport' THEN 3 WHEN 'closed' THEN 7 ELSE 8 END, k % 2 = 1, k) = 1),
 r AS (SELECT 'i-' || (s_suppkey % 60) AS ident, count(*) AS n, sum(CAST(s_suppkey % 360 AS DOUBLE)) AS headings, max(CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey * 10 END) AS longest FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY ALL)
-SELECT CAST(k AS INTEGER) AS id, iata, d.ident, icao, CASE WHEN k % 6 <> 0 THEN s_name END AS name, 'city ' || k AS city, n_name AS country, CAST(s_nationkey AS VARCHAR) AS iso_country, round(k / -20, 6) AS lon,
+SELECT CAST(k AS INTEGER) AS id, iata, d.ident, icao, CASE WHEN k % 6 <> 0 THEN s_name END AS name, 'city ' || k AS city, n_name AS country, CAST(s_nationkey AS VARCHAR) AS iso_country, round(k / -20, 6) + 0.0 AS lon,
   CASE WHEN k % 5 <> 0 THEN round(k / 10, 6) END AS lat, type, CASE WHEN k % 7 <> 0 THEN CAST(k * 3 AS INTEGER) END AS elevation_ft, CAST(NULL AS VARCHAR) AS iso_region,
   ['Africa', 'North America', NULL, NULL][k % 4 + 1] AS continent, ['AF', 'NA', 'XX', NULL][k % 4 + 1] AS continent_code, from_keyword,
   CASE WHEN k % 8 = 1 THEN 'old name, abc , ' || kw || ',' || kw || chr(CAST(65 + k % 6 AS INT)) END AS keywords, headings, CAST(longest AS INTEGER) AS longest_ft, CAST(n AS INTEGER) AS open_runways
