@@ -74,6 +74,13 @@ def active_roster(snapshots: DataFrame) -> DataFrame:
     return latest_operator_status(snapshots).where(F.col("status").isin(LIVE))
 
 
+def roster_with_airlines(snapshots: DataFrame, airlines: DataFrame) -> DataFrame:
+    """The active roster with the airline of each operator; airlines: (id, name), of one name the smallest id. An operator
+    that is no airline has none, and its aircraft stay."""
+    known = airlines.where("name IS NOT NULL").groupBy(F.col("name").alias("operator")).agg(F.min("id").alias("airline_id"))
+    return active_roster(snapshots).join(known, "operator", "left").select(F.col("reg").cast("string").alias("reg"), "operator", F.col("airline_id").cast("long").alias("airline_id"))
+
+
 def roster_changes(known: DataFrame, snapshots: DataFrame) -> DataFrame:
     """known: (reg). What to add and what to drop so that it equals the active roster."""
     active = active_roster(snapshots).select("reg")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from ..operators import fleet as L
 from ..operators import panel as P
 from ..operators import snapshots as S
 from ..operators.numbering import quantiles_within
-from ..session import stored
+from ..session import shared_dir, stored
+from ..sources.readers import read_roster
+from ..sources.sinks import store_roster
 from .adaptors import ACTIVITY_SQL, AS_OF, SNAPSHOTS_SQL, activity, snapshots, table
 
 
@@ -48,6 +51,16 @@ def roster_sync(spark: SparkSession, d: str) -> DataFrame:
     return S.roster_changes(known, snapshots(spark, d))
 
 
+def stored_roster(spark: SparkSession, d: str) -> DataFrame:
+    """The active roster with its airlines, stored twice and read back."""
+    path = f"{shared_dir(spark)}/roster-{uuid.uuid4().hex}"
+    airlines = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    roster = S.roster_with_airlines(snapshots(spark, d), airlines.unionByName(airlines.withColumn("id", F.col("id") + 100)))
+    store_roster(roster.limit(0), path)
+    store_roster(roster, path)
+    return read_roster(spark, path)
+
+
 def _places(spark: SparkSession, d: str, prio: int, miss: int) -> DataFrame:
     """One source of geography, with fields that are empty or null for some of its codes."""
     n = table(spark, d, "nation")
@@ -206,7 +219,7 @@ ACTUALS_SQL = (
 BAD = "({h} IS NULL OR {h} < {k} / 1100.0 OR {h} > {k} / 550.0 + 2)"
 LIVE_SQL = "('In Service', 'Storage')"
 
-QUERIES = {f.__name__: f for f in (contract_year_rollup, authoritative_snapshot, latest_revision, snapshot_delta, collapse_revisions, roster_sync, geo_pick, great_circle_routes, assemble_actuals, route_impute, future_aircraft, fleet_presence, value_fill, value_slope, type_benchmark, merge_panel, grouped_panel, cy_weighted_value, usage_infer, usage_validate, geo_attach, airport_lookups, grouped_registration, aircraft_information, report_dates, restamp, scope_registrations, scope_filter, fetch_starts, snapshot_views, shown_registrations, distance_quantiles)}
+QUERIES = {f.__name__: f for f in (contract_year_rollup, authoritative_snapshot, latest_revision, snapshot_delta, collapse_revisions, roster_sync, stored_roster, geo_pick, great_circle_routes, assemble_actuals, route_impute, future_aircraft, fleet_presence, value_fill, value_slope, type_benchmark, merge_panel, grouped_panel, cy_weighted_value, usage_infer, usage_validate, geo_attach, airport_lookups, grouped_registration, aircraft_information, report_dates, restamp, scope_registrations, scope_filter, fetch_starts, snapshot_views, shown_registrations, distance_quantiles)}
 
 _GEO = "SELECT n_nationkey AS code, {p} AS prio, CASE WHEN n_nationkey % {m} <> 0 THEN n_name || ' {p}' END AS city, CASE WHEN n_nationkey % ({m} + 1) <> 0 THEN 'R' || n_regionkey || ' {p}' END AS country, 'A{p} ' || n_name AS airport_name, CASE WHEN n_nationkey % {m} <> 0 THEN n_nationkey * 1.5 END AS lat, CASE WHEN n_nationkey % ({m} + 2) <> 0 THEN n_nationkey * 2.5 END AS lon FROM nation"
 _USAGE = "(SELECT reg, usage, CAST(CASE WHEN reg % 5 = 0 THEN reg % 30 ELSE seats END AS BIGINT) AS seats, payload FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1)"
@@ -241,6 +254,8 @@ SELECT id, reg, serial, status, operator, k = 1 AS is_latest FROM c WHERE k = 1
     "collapse_revisions": f"WITH {SNAPSHOTS_SQL} SELECT id, reg, period, operator FROM (SELECT *, row_number() OVER (PARTITION BY plan_type, period, reg, serial ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1 OR period >= DATE '2001-06-01'",
     "roster_sync": f"""WITH {SNAPSHOTS_SQL}, a AS (SELECT reg FROM (SELECT reg, status, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots WHERE reg IS NOT NULL) WHERE k = 1 AND status IN {LIVE_SQL}), n AS (SELECT s_suppkey AS reg FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT reg, 'add' AS change FROM a WHERE reg NOT IN (SELECT reg FROM n) UNION ALL SELECT reg, 'drop' FROM n WHERE reg NOT IN (SELECT reg FROM a)""",
+    "stored_roster": f"""WITH {SNAPSHOTS_SQL} SELECT CAST(reg AS VARCHAR) AS reg, operator, CAST(r_regionkey AS BIGINT) AS airline_id
+FROM (SELECT * FROM snapshots WHERE reg IS NOT NULL QUALIFY row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) = 1) s LEFT JOIN region ON r_name = operator WHERE status IN {LIVE_SQL}""",
     "geo_pick": _PICKED,
     "distance_quantiles": f"""WITH {ACTIVITY_SQL} SELECT operator, round(quantile_cont(km, 0.1), 4) AS low, round(quantile_cont(km, 0.5), 4) AS half,
   round(quantile_cont(km, 0.975), 4) AS high FROM activity GROUP BY operator""",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import empty_as_null
+from .sinks import exists
 
 FLIGHT_SCHEMA = (
     "fr24_id string, flight string, callsign string, operating_as string, painted_as string, type string, reg string, category string, hex string, "
@@ -135,3 +138,30 @@ def explode_runways(airports: DataFrame) -> DataFrame:
 def new_airports(airports: DataFrame, known: DataFrame) -> DataFrame:
     """Airports that known has neither by ICAO nor by IATA."""
     return airports.join(known.where("icao IS NOT NULL").select("icao").distinct(), "icao", "left_anti").join(known.where("iata IS NOT NULL").select("iata").distinct(), "iata", "left_anti")
+
+
+def read_ranges(spark: SparkSession, url: str, table: str, column: str, parts: int = 32, **options: str) -> DataFrame:
+    """A database's table in parts by ranges of a number or date column, each read by a task of its own over a connection of
+    its own. The bounds are asked for first; rows without the column are read with the first range, none is left out."""
+    name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    bounds = spark.read.format("jdbc").options(url=url, query=f"SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}", **options).load().first()
+    low, high = bounds[0], bounds[1]
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if low is None or low == high or parts == 1:
+        return reader.load()
+    return reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts)).load()
+
+
+def read_months(spark: SparkSession, path: str, schema: str, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+    """A fact table that is partitioned by mon, from the month of since to that of until: other months' files aren't listed
+    as input. schema: with mon, so that no file is opened to find it."""
+    rows = spark.read.schema(schema).parquet(path)
+    for day, keep in ((since, F.col("mon").__ge__), (until, F.col("mon").__le__)):
+        rows = rows.where(keep(F.lit(day.replace(day=1)))) if day else rows
+    return rows
+
+
+def read_roster(spark: SparkSession, path: str) -> DataFrame:
+    """(reg, operator, airline_id) as sinks.store_roster left it; empty before the first time."""
+    schema = "reg string, operator string, airline_id long"
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

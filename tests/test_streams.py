@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from skein.operators.positions import running_distance
 from skein.operators.snapshots import latest_by
-from skein.sources import sinks
+from skein.sources import readers, sinks
 from skein.streaming import live
 from skein.streaming.state import BucketState
 
+D = dt.date
 SAMPLE = "fr24_id long, reg long, timestamp timestamp, lat double, lon double, alt double, gspeed double, origin long"
 
 
@@ -119,3 +120,40 @@ def test_a_late_sample_changes_the_totals_after_it(spark, tmp_path):
     assert got == {(1, at(1, 23)): 0.0, (1, at(2, 1)): 2.0, (1, at(2, 1, 30)): 9.0, (1, at(2, 2)): 15.0, (2, at(1)): 0.0, (2, at(1, 1)): 5.0}
     live.recompute_tail(stored(), places, totals, dt.date(2025, 1, 1))  # nothing there
     assert spark.read.parquet(totals).count() == 6
+
+
+def test_a_database_is_read_by_ranges(spark, tmp_path):
+    """Spark's own embedded database."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(k, D(2024, 1 + k % 12, 1), f"v{k}") for k in range(200)] + [(None, None, "none")], "id int, day date, v string")
+    rows.write.format("jdbc").options(url=url, dbtable="facts").save()
+    for column in ("id", "day"):
+        got = readers.read_ranges(spark, url, "facts", column, 5)
+        assert got.rdd.getNumPartitions() == 5 and sorted(r.V for r in got.select(F.col("v").alias("V")).collect()) == sorted(r.v for r in rows.collect())
+    assert readers.read_ranges(spark, url, "facts", "id", 1).count() == 201
+
+
+def test_months_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    spark.createDataFrame([(k, D(2024, 1 + k % 12, 1)) for k in range(48)], "v int, mon date").write.partitionBy("mon").parquet(path)
+    rows = readers.read_months(spark, path, "v int, mon date", D(2024, 3, 17), D(2024, 5, 2))
+    assert sorted({r.mon.month for r in rows.collect()}) == [3, 4, 5] and readers.read_months(spark, path, "v int, mon date").count() == 48
+    assert "PartitionFilters: [isnotnull(mon" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flights_into_table_and_export(spark, tmp_path):
+    rows = spark.createDataFrame([("1", None, "R", "c", at(5)), ("1", None, "R", "c", at(5))], "fr24_id string, flight string, reg string, callsign string, first_seen timestamp")
+    table, csv = str(tmp_path / "t"), str(tmp_path / "c")
+    for mode in ("db", "csv", "both"):
+        sinks.store_flights(rows, mode, table, csv)
+    assert spark.read.parquet(table).count() == 1 and spark.read.option("header", True).csv(csv).count() == 4
+    with pytest.raises(ValueError):
+        sinks.store_flights(rows, "none")
+
+
+def test_the_roster_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "roster")
+    assert readers.read_roster(spark, path).count() == 0
+    for rows in ([("R1", "A", 1), ("R2", "B", None)], [("R2", "B", 2)]):
+        sinks.store_roster(spark.createDataFrame(rows, "reg string, operator string, airline_id long"), path)
+    assert [tuple(r) for r in readers.read_roster(spark, path).collect()] == [("R2", "B", 2)]
