@@ -56,7 +56,7 @@ NUMBER = re.compile(
     r"|(?P<CARD>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]))"
     r"|(?P<PHONE>(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w.-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\d))"
 )
-LOCAL, DOMAIN = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*$"), re.compile(r"[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+LOCAL, DOMAIN = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*"), re.compile(r"[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 ASSIGNED = re.compile(r"(?:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\"']?(?P<SECRET>[A-Za-z0-9_/+\-]{12,})", re.IGNORECASE)
 PREFIXED = re.compile(r"\b(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,})\b")
@@ -92,12 +92,14 @@ def replaceable(kind: str, mention: str) -> bool:
 
 def _mentions(text: str) -> Iterator[tuple[int, int, str]]:
     """All that look like an entity. Each pattern is tried only where what it cannot do without is found."""
-    at = text.find("@")
+    before, at = 0, text.find("@")
     while at >= 0:
-        local, domain = LOCAL.search(text[max(0, at - 64) : at]), DOMAIN.match(text, at + 1)
-        if local and domain:
+        domain = DOMAIN.match(text, at + 1)
+        # Read backwards from the @: the pattern is the same both ways, and no part of a text is read twice.
+        local = domain and LOCAL.match(text[before:at][::-1])
+        if local:
             yield at - len(local.group()), domain.end(), "EMAIL"
-        at = text.find("@", at + 1)
+        before, at = at + 1, text.find("@", at + 1)
     low = text.lower()
     if any(k in low for k in KEYWORDS):
         for m in ASSIGNED.finditer(text):

@@ -159,9 +159,14 @@ def records_in(path: str) -> Iterator[tuple[int, int]]:
         for m in members.values():
             if m.name.startswith("indexes/"):
                 at = data_start(file, m)
-                for line in file.read_at(m.size, at).decode().splitlines():
+                held = file.read_at(m.size, at)
+                for line in (gzip.decompress(held) if m.name.endswith(".gz") else held).decode().splitlines():
+                    if "{" not in line:  # a header, or an index of another form: its archives are read through
+                        continue
                     entry = json.loads(line[line.index("{") :])
-                    archive = members[f"archive/{entry['filename']}"]
+                    archive = members.get(f"archive/{entry.get('filename')}")
+                    if archive is None or "offset" not in entry or "length" not in entry:
+                        continue
                     if archive.name not in begins:
                         begins[archive.name] = data_start(file, archive)
                     yield begins[archive.name] + int(entry["offset"]), int(entry["length"])
@@ -206,7 +211,9 @@ READ_DDL = "record_id string, page_id long, payload_bytes long, payload_digest s
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """packages: (path, bytes). One row per record; of a revisit, size and digest of the payload are null.
+    """packages: (path, bytes). One row per record of any type, by its own name for it; of a revisit, size and digest of the
+    payload are null, of what is no response (warcinfo, request, metadata and others) they are those of the whole block.
+    Digests that a record doesn't state are null.
 
     The rows that say where records are weigh next to nothing, so the number of tasks goes by the bytes to be read.
     """
@@ -230,11 +237,13 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 record = parse_record(gzip.decompress(file.read_at(length, offset)))
                 head = record.headers
                 page = int(head["x-page-id"]) if "x-page-id" in head else None
-                stated = head["warc-payload-digest"].removeprefix("sha1:")
-                if head["warc-type"] == "response":
-                    out.append((head["warc-record-id"], page, len(record.payload), digest32(record.payload), stated, "response", None))
+                kind, name, stated = head.get("warc-type"), head.get("warc-record-id"), head.get("warc-payload-digest")
+                stated = stated and stated.removeprefix("sha1:")
+                if kind == "revisit":
+                    out.append((name, page, None, None, stated, kind, head.get("warc-refers-to")))
                 else:
-                    out.append((head["warc-record-id"], page, None, None, stated, "revisit", head.get("warc-refers-to")))
+                    payload = record.payload if kind == "response" else record.block
+                    out.append((name, page, len(payload), digest32(payload), stated, kind, None))
             columns = zip(*out, strict=True) if out else [[] for _ in READ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, READ, strict=True)], schema=READ)
 

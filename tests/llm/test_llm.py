@@ -514,3 +514,31 @@ def test_workers_drop_what_another_operator_left(spark):
     common.release()
     assert len(tokens._POWERS[0]) == 1 and tokens.encoder.cache_info().currsize == 0
     assert (tokens._powers(3)[0] * tokens._powers(3)[1] == 1).all()
+
+
+def test_warc_records_of_other_types(spark, tmp_path):
+    """A package as others write it: an info record, requests without a digest, a gzipped index that doesn't know all."""
+    block = b"software: x\r\n"
+    plain = lambda kind, body: f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    records = [plain("warcinfo", block), plain("request", b"GET / HTTP/1.1\r\n\r\n"), warc_zip.warc_record(5, 0, "u", b"body", None), plain("metadata", b"")]
+    packed = [gzip.compress(r) for r in records]
+    lines, at = [" CDX header"], 0
+    for r in packed:
+        lines.append('x 2024 {"filename": "data.warc.gz", "offset": "%d", "length": "%d"}' % (at, len(r)))
+        at += len(r)
+    lines.append('x 2024 {"filename": "elsewhere.warc.gz", "offset": "0", "length": "1"}')
+    for name, index in (("a.zip", True), ("b.zip", False)):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("archive/data.warc.gz", b"".join(packed))
+            if index:
+                z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()))
+    packages = spark.createDataFrame([((tmp_path / n).as_uri(), 1000) for n in ("a.zip", "b.zip")], "path string, bytes long")
+    got = Counter((r.record_type, r.page_id, r.payload_bytes, r.stated_digest is None) for r in warc_zip.read_packages(packages).collect())
+    assert got == Counter({("warcinfo", None, len(block), True): 2, ("request", None, 18, True): 2, ("response", 5, 4, False): 2, ("metadata", None, 0, True): 2})
+
+
+def test_long_addresses_leave_nothing_behind():
+    long = "a" * 80 + "." + "b" * 70
+    text = f"x {long}@mail.example.org, @ y@z .q@w.org ..r.s@t.example @@u@v.com"
+    found = [text[a:b] for a, b, kind in surrogates._mentions(text) if kind == "EMAIL"]
+    assert found == [f"{long}@mail.example.org", "q@w.org", "r.s@t.example", "u@v.com"]
