@@ -22,7 +22,7 @@ def fold(ledger: DataFrame, days: DataFrame, cut: Column, gap: int = 7) -> DataF
 
 
 def complement(covered: DataFrame, windows: DataFrame) -> DataFrame:
-    """windows: (reg, start, stop). The parts of each window that covered leaves open."""
+    """windows: (reg, start, stop), one an aircraft. The parts of each window that covered leaves open."""
     inside = windows.join(covered, "reg").where((F.col("to_date") >= F.col("start")) & (F.col("from_date") <= F.col("stop")))
     merged = coalesce_intervals(inside.select("reg", F.greatest("from_date", "start").alias("from_date"), F.least("to_date", "stop").alias("to_date")), 1)
     marks = merged.select("reg", "from_date", "to_date").unionByName(windows.select("reg", F.date_add("stop", 1).alias("from_date"), F.lit(None).cast("date").alias("to_date")))

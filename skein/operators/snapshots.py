@@ -82,7 +82,10 @@ def roster_with_airlines(snapshots: DataFrame, airlines: DataFrame) -> DataFrame
 
 
 def roster_changes(known: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """known: (reg). What to add and what to drop so that it equals the active roster."""
+    """known: (reg). What to add and what to drop so that it equals the active roster. An empty roster changes nothing: it
+    tells of a source that failed, not of a world without aircraft."""
     active = active_roster(snapshots).select("reg")
+    there = active.agg(F.count("*").alias("_n")).where("_n > 0").select(F.lit(True).alias("_some"))  # one row, or none
+    known = known.crossJoin(F.broadcast(there)).drop("_some")
     added = active.join(known, "reg", "left_anti").withColumn("change", F.lit("add"))
     return added.unionByName(known.join(active, "reg", "left_anti").withColumn("change", F.lit("drop")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coverage as V
@@ -54,6 +54,11 @@ def coverage_plan(spark: SparkSession, d: str) -> DataFrame:
     return V.plan_requests(V.segment_groups(_gaps(spark, d)))
 
 
+def coverage_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The requests themselves: at most five days for at most four aircraft."""
+    return V.chunk_ranges(V.segment_groups(_gaps(spark, d)), 5, 4).select("from_date", "to_date", F.array_join("regs", ",").alias("regs"))
+
+
 def coverage_advance(spark: SparkSession, d: str) -> DataFrame:
     return V.advance_ledger(_ledger(spark, d), _gaps(spark, d), _days(spark, d), _cut())
 
@@ -81,12 +86,25 @@ def aircraft_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schedule_flatten(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    stop = lambda code, delay: F.struct(code.alias("iataCode"), F.lit("T1").alias("terminal"), delay.cast("int").alias("delay"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("scheduledTime"))
-    shared = F.when(F.col("o_orderkey") % 4 == 0, F.struct(F.struct(F.col("o_orderpriority").alias("name")).alias("airline")))
-    arrival = F.when(F.col("o_orderkey") % 6 != 0, stop(F.concat(F.lit("B"), F.col("o_custkey") % 50), F.col("o_custkey") % 90))
-    doc = F.to_json(F.struct(F.lit("departure").alias("type"), F.col("o_orderstatus").alias("status"), stop(F.concat(F.lit("A"), F.col("o_custkey") % 40), F.col("o_orderkey") % 60).alias("departure"), arrival.alias("arrival"), F.struct(F.col("o_orderkey").cast("string").alias("number")).alias("flight"), shared.alias("codeshared")))
-    return S.flatten_schedules(o.select(doc.alias("json"))).select("type", "status", "dep_iata", "dep_delay", "dep_scheduled", "arr_iata", "arr_delay", "arr_scheduled", "flight_number", "codeshared_airline_name")
+    """All columns of schedules whose objects and fields are there or not, as orders have it."""
+    o, key, who = table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    at = lambda k: F.date_format(F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + k % 24 * 3600), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    text = lambda letter, k: F.concat(F.lit(letter), k)
+
+    def stop(letter: str, k: Column) -> Column:
+        return F.struct(
+            text(letter, k % 40).alias("iataCode"), F.when(k % 3 != 0, text(f"K{letter}", k % 40)).alias("icaoCode"), text("T", k % 4).alias("terminal"), F.when(k % 5 != 0, text("G", k % 9)).alias("gate"),
+            text("belt ", k % 5).alias("baggage"), (k % 90).cast("int").alias("delay"), at(F.lit(0)).alias("scheduledTime"), at(k).alias("estimatedTime"), F.when(k % 2 == 0, at(k + 1)).alias("actualTime"),
+            F.when(k % 7 == 0, at(k + 2)).alias("estimatedRunway"), at(k + 3).alias("actualRunway"),
+        )
+
+    def carrier(letter: str, k: Column) -> tuple[Column, Column]:
+        airline = F.struct(text(f"{letter} line ", k % 11).alias("name"), text(letter, k % 7).alias("iataCode"), F.when(k % 4 != 0, text(f"{letter}C", k % 7)).alias("icaoCode"))
+        return airline.alias("airline"), F.struct(k.cast("string").alias("number"), text(letter, k).alias("iataNumber"), F.when(k % 4 != 0, text(f"{letter}C", k)).alias("icaoNumber")).alias("flight")
+
+    arrival, shared = F.when(key % 6 != 0, stop("B", who)).alias("arrival"), F.when(key % 4 == 0, F.struct(*carrier("Q", who))).alias("codeshared")
+    doc = F.to_json(F.struct(F.lit("departure").alias("type"), F.col("o_orderstatus").alias("status"), stop("A", key).alias("departure"), arrival, *carrier("L", key), shared))
+    return S.flatten_schedules(o.select(doc.alias("json")))
 
 
 def airport_best(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +140,13 @@ def airport_reference(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.withColumns({"headings": F.aggregate(heading, F.lit(0.0), lambda a, x: a + x), "longest_ft": longest, "open_runways": F.size("runways")}).withColumn("open_runways", F.when(F.col("runways").isNotNull(), F.col("open_runways"))).drop("runways"))
 
 
-QUERIES = {f.__name__: f for f in (coverage_coalesce, coverage_complement, coverage_segments, coverage_plan, coverage_advance, positions_distance, current_positions, current_flow, aircraft_state, schedule_flatten, airport_best, airport_reference)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        coverage_coalesce, coverage_complement, coverage_segments, coverage_plan, coverage_chunks, coverage_advance, positions_distance, current_positions,
+        current_flow, aircraft_state, schedule_flatten, airport_best, airport_reference,
+    )
+}
 
 
 def islands(name: str, source: str, gap: int) -> str:
@@ -150,11 +174,38 @@ _TOTAL = """, s AS (SELECT p.*, lag(p.lat) OVER w AS plat, lag(p.lon) OVER w AS
 h AS (SELECT *, pow(sin(radians(lat - coalesce(plat, olat)) / 2), 2) + cos(radians(coalesce(plat, olat))) * cos(radians(lat)) * pow(sin(radians(lon - coalesce(plon, olon)) / 2), 2) AS a, lat IS NOT NULL AND plat IS NULL AS seeds FROM s),
 k AS (SELECT *, CASE WHEN lat IS NULL THEN 0.0 WHEN a IS NOT NULL THEN 2 * 6371.0 * atan2(sqrt(a), sqrt(greatest(0.0, 1 - a))) WHEN gspeed >= 120 THEN gspeed * 1.825 / 5 ELSE 0.0 END AS hop, sum(CAST(seeds AS INT)) OVER (PARTITION BY fr24_id ORDER BY timestamp, lat NULLS FIRST, lon NULLS FIRST, gspeed, origin ROWS UNBOUNDED PRECEDING) AS part FROM h)"""
 _GROUNDED = "(alt < 500 AND gspeed < 50) OR epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(timestamp)) > 7200 OR (epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(timestamp)) > 1800 AND alt < 10000 AND vspeed < -256)"
+
+
+def _stop_sql(end: str, letter: str, k: str, there: str) -> str:
+    """The columns of a schedule's departure or arrival, null where it isn't there."""
+    at = "o_orderdate + to_hours(CAST(({k}) % 24 AS INT))".replace("{k}", "{0}")
+    fields = {
+        "iata": f"'{letter}' || ({k} % 40)", "icao": f"CASE WHEN {k} % 3 <> 0 THEN 'K{letter}' || ({k} % 40) END", "terminal": f"'T' || ({k} % 4)", "gate": f"CASE WHEN {k} % 5 <> 0 THEN 'G' || ({k} % 9) END",
+        "delay": f"CAST({k} % 90 AS INTEGER)", "scheduled": "o_orderdate", "estimated": at.format(k), "actual": f"CASE WHEN {k} % 2 = 0 THEN {at.format(k + ' + 1')} END",
+        "estimated_runway": f"CASE WHEN {k} % 7 = 0 THEN {at.format(k + ' + 2')} END", "actual_runway": at.format(k + " + 3"),
+    }
+    fields |= {"baggage": f"'belt ' || ({k} % 5)"} if end == "arr" else {}
+    return ", ".join(f"CASE WHEN {there} THEN {v} END AS {end}_{c}" for c, v in fields.items())
+
+
+def _carrier_sql(prefix: str, letter: str, k: str, there: str) -> str:
+    """The columns of an airline and its flight number, null where they aren't there."""
+    fields = {
+        "airline_name": f"'{letter} line ' || ({k} % 11)", "airline_iata": f"'{letter}' || ({k} % 7)", "airline_icao": f"CASE WHEN {k} % 4 <> 0 THEN '{letter}C' || ({k} % 7) END",
+        "flight_number": f"CAST({k} AS VARCHAR)", "flight_iata": f"'{letter}' || {k}", "flight_icao": f"CASE WHEN {k} % 4 <> 0 THEN '{letter}C' || {k} END",
+    }
+    return ", ".join(f"CASE WHEN {there} THEN {v} END AS {prefix}{c}" for c, v in fields.items())
+
+
 SQL = {
     "coverage_coalesce": f"WITH {COVER} SELECT reg, f AS from_date, t AS to_date FROM covered",
     "coverage_complement": f"WITH {COVER} SELECT reg, f AS from_date, t AS to_date FROM gaps",
     "coverage_segments": f"WITH {COVER} SELECT from_date, to_date, regs FROM segments",
     "coverage_plan": f"WITH {COVER} SELECT from_date, to_date, n AS aircraft, CAST(greatest(1, ceil((to_date - from_date + 1) / 14)) * ceil(n / 15) AS BIGINT) AS requests FROM segments",
+    "coverage_chunks": f"""WITH {COVER}, l AS (SELECT *, string_split(regs, ',') AS r FROM segments),
+d AS (SELECT *, CAST(unnest(generate_series(from_date::TIMESTAMP, to_date::TIMESTAMP, INTERVAL 5 DAY)) AS DATE) AS a FROM l),
+k AS (SELECT *, unnest(range(0, len(r), 4)) AS k FROM d)
+SELECT a AS from_date, least(CAST(a + 4 AS DATE), to_date) AS to_date, array_to_string(r[k + 1:k + 4], ',') AS regs FROM k""",
     "coverage_advance": f"""WITH {COVER}, u AS (SELECT g.reg, g.f, least(greatest((SELECT max(date) FROM days d WHERE d.reg = g.reg AND d.date BETWEEN g.f AND g.t), least(g.t, DATE '2024-01-27')), g.t) AS t FROM gaps g),
 {islands("final", "SELECT * FROM ledger UNION ALL SELECT * FROM u WHERE t >= f", 1)} SELECT reg, f AS from_date, t AS to_date FROM final""",
     "positions_distance": f"WITH {POSITIONS_SQL}{_TOTAL} SELECT fr24_id, timestamp, round(sum(hop) OVER (PARTITION BY fr24_id, part ORDER BY timestamp, lat NULLS FIRST, lon NULLS FIRST, gspeed, origin ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS distance, round(greatest(0.0, coalesce((epoch_us(timestamp) - epoch_us(pts)) / 1e6, 0.0)), 6) AS time_delta FROM k",
@@ -167,7 +218,9 @@ roster AS (SELECT reg FROM r WHERE last_update >= TIMESTAMP '2024-01-27' AND ope
 missing AS (SELECT reg FROM roster WHERE reg NOT IN (SELECT reg FROM batch))
 SELECT reg, operator, CASE WHEN m.reg IS NOT NULL THEN 'landed' ELSE 'en-route' END AS status, CASE WHEN m.reg IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE last_update END AS last_update
 FROM state FULL JOIN missing m USING (reg)""",
-    "schedule_flatten": "SELECT 'departure' AS type, o_orderstatus AS status, 'A' || (o_custkey % 40) AS dep_iata, CAST(o_orderkey % 60 AS INTEGER) AS dep_delay, o_orderdate AS dep_scheduled, CASE WHEN o_orderkey % 6 <> 0 THEN 'B' || (o_custkey % 50) END AS arr_iata, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_custkey % 90 AS INTEGER) END AS arr_delay, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate END AS arr_scheduled, CAST(o_orderkey AS VARCHAR) AS flight_number, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS codeshared_airline_name FROM orders",
+    "schedule_flatten": "SELECT 'departure' AS type, o_orderstatus AS status, "
+    + ", ".join([_stop_sql("dep", "A", "o_orderkey", "TRUE"), _stop_sql("arr", "B", "o_custkey", "o_orderkey % 6 <> 0"), _carrier_sql("", "L", "o_orderkey", "TRUE"), _carrier_sql("codeshared_", "Q", "o_custkey", "o_orderkey % 4 = 0")])
+    + " FROM orders",
     "airport_reference": """WITH a AS (SELECT s_suppkey AS k, s_name, s_nationkey FROM supplier),
 b AS (SELECT *, CASE WHEN k % 3 = 0 THEN chr(CAST(65 + k % 26 AS INT)) || chr(CAST(65 + k % 25 AS INT)) || chr(CAST(65 + k % 24 AS INT)) || chr(CAST(65 + k % 23 AS INT)) ELSE 'i-' || k END AS ident,
     ['closed', 'small_airport', 'large_airport', 'odd'][k % 4 + 1] AS type, CASE WHEN k % 8 = 1 THEN chr(CAST(65 + k % 9 AS INT)) || chr(CAST(65 + k % 8 AS INT)) || chr(CAST(65 + k % 7 AS INT)) END AS kw,

@@ -219,7 +219,15 @@ ACTUALS_SQL = (
 BAD = "({h} IS NULL OR {h} < {k} / 1100.0 OR {h} > {k} / 550.0 + 2)"
 LIVE_SQL = "('In Service', 'Storage')"
 
-QUERIES = {f.__name__: f for f in (contract_year_rollup, authoritative_snapshot, latest_revision, snapshot_delta, collapse_revisions, roster_sync, stored_roster, geo_pick, great_circle_routes, assemble_actuals, route_impute, future_aircraft, fleet_presence, value_fill, value_slope, type_benchmark, merge_panel, grouped_panel, cy_weighted_value, usage_infer, usage_validate, geo_attach, airport_lookups, grouped_registration, aircraft_information, report_dates, restamp, scope_registrations, scope_filter, fetch_starts, snapshot_views, shown_registrations, distance_quantiles)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        contract_year_rollup, authoritative_snapshot, latest_revision, snapshot_delta, collapse_revisions, roster_sync, stored_roster, geo_pick,
+        great_circle_routes, assemble_actuals, route_impute, future_aircraft, fleet_presence, value_fill, value_slope, type_benchmark, merge_panel,
+        grouped_panel, cy_weighted_value, usage_infer, usage_validate, geo_attach, airport_lookups, grouped_registration, aircraft_information, report_dates,
+        restamp, scope_registrations, scope_filter, fetch_starts, snapshot_views, shown_registrations, distance_quantiles,
+    )
+}
 
 _GEO = "SELECT n_nationkey AS code, {p} AS prio, CASE WHEN n_nationkey % {m} <> 0 THEN n_name || ' {p}' END AS city, CASE WHEN n_nationkey % ({m} + 1) <> 0 THEN 'R' || n_regionkey || ' {p}' END AS country, 'A{p} ' || n_name AS airport_name, CASE WHEN n_nationkey % {m} <> 0 THEN n_nationkey * 1.5 END AS lat, CASE WHEN n_nationkey % ({m} + 2) <> 0 THEN n_nationkey * 2.5 END AS lon FROM nation"
 _USAGE = "(SELECT reg, usage, CAST(CASE WHEN reg % 5 = 0 THEN reg % 30 ELSE seats END AS BIGINT) AS seats, payload FROM (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY revision_id DESC, id DESC) AS k FROM snapshots) WHERE k = 1)"

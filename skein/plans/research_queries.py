@@ -137,7 +137,14 @@ def conversion_errors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.conversion_errors(R.convert_metrics(_panel(spark, d), CUT)), 5)
 
 
-QUERIES = {f.__name__: f for f in (anchor_panel, plateau, forward_deliveries, candidate_carriers, subfleet_fit, backtest, backtest_metrics, growth_read, loco_prior, loco, loco_reliability, archetype_features, archetype_bucket, exog_forecast, exog_evaluate, metric_conversion, forward_forecast, forward_damped, loco_carriers, ondemand_reliability, monthly_series, exog_settings, exog_summary, conversion_errors)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        anchor_panel, plateau, forward_deliveries, candidate_carriers, subfleet_fit, backtest, backtest_metrics, growth_read, loco_prior, loco,
+        loco_reliability, archetype_features, archetype_bucket, exog_forecast, exog_evaluate, metric_conversion, forward_forecast, forward_damped,
+        loco_carriers, ondemand_reliability, monthly_series, exog_settings, exog_summary, conversion_errors,
+    )
+}
 
 
 def seasonal_sql(name: str, source: str, keys: str, value: str) -> str:

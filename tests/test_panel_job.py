@@ -224,3 +224,11 @@ def test_one_month_is_rebuilt(spark, tmp_path):
     assert sinks.refresh_months(spark, facts.where("operator = 'A'"), make, path, changed) == 2
     assert sorted((r.operator, r.mon.month, r.v) for r in spark.read.parquet(path).collect()) == [("A", 1, 9), ("A", 2, 2)]
     assert snapshots.ORDER[2] == "LOI to Order"
+
+
+def test_an_empty_roster_changes_nothing(spark):
+    known = spark.createDataFrame([("R1",), ("R2",)], "reg string")
+    retired = snapshot(spark, (1, "R1", "S1", "Retired", "A", "S", "M", 1.0, None, None))
+    assert snapshots.roster_changes(known, retired).count() == 0
+    one = snapshot(spark, (1, "R1", "S1", "Storage", "A", "S", "M", 1.0, None, None), (2, "R3", "S3", "In Service", "A", "S", "M", 1.0, None, None))
+    assert sorted(map(tuple, snapshots.roster_changes(known, one).collect())) == [("R2", "drop"), ("R3", "add")]
