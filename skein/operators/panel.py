@@ -164,7 +164,7 @@ def _with_route_mean(rows: DataFrame, value: Column, name: str) -> DataFrame:
 
 def route_impute(actuals: DataFrame) -> DataFrame:
     """Missing distances and implausible times take the route's mean (of its operator); what is still implausible for
-    the distance becomes km / 800 + 0.5."""
+    the distance becomes km / 800 + 0.5. actuals are read three times: they should be a stored table."""
     known = F.col("origin").isNotNull() & F.col("dest").isNotNull() & (F.col("origin") != F.col("dest"))
     rows = _with_route_mean(actuals, F.when(F.col("km") > 0, F.col("km")), "_km")
     rows = rows.withColumn("km", F.when(F.coalesce(F.col("km"), F.lit(0.0)) == 0, F.coalesce("_km", "km")).otherwise(F.col("km"))).drop("_km")

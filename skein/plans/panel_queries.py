@@ -96,7 +96,7 @@ def assemble_actuals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_impute(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.route_impute(_actuals(spark, d)).select("flight_id", "km", "hours"), 4)
+    return rounded(P.route_impute(stored(_actuals(spark, d))).select("flight_id", "km", "hours"), 4)
 
 
 def future_aircraft(spark: SparkSession, d: str) -> DataFrame:
