@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each over all that the one before kept, with Parquet in between."""
+"""The corpus pipeline: five stages, each over all that the one before kept, with Parquet in between.
+
+A stage's result reads tables that its operator stored. They are needed until the result is written, and go when the
+next stage begins, whose documents are that written result (tables that its documents still read are kept).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import shared_dir, table
+from skein.llm.common import delete, discard, folders, making, shared_dir, table
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.language_id import known_language
 from skein.llm.mixing import mixed_documents
@@ -14,29 +18,48 @@ from skein.llm.ngram_join import near_dedup
 from skein.llm.packing import pack
 
 
+#: Tables that the operators of earlier stages stored, by application.
+LEFT: dict[str, set[str]] = {}
+
+
+def clear(spark: SparkSession, docs: DataFrame) -> set[str]:
+    """Deletes what earlier stages left, but for what docs reads; the set in which the next one's tables are to be noted."""
+    left = LEFT.setdefault(spark.sparkContext.applicationId, set())
+    read = {f.rpartition("/")[2] for f in folders(docs)}
+    gone = {path for path in left if path.rpartition("/")[2] not in read}
+    delete(spark, gone)
+    left -= gone
+    return left
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go; a missing label is filled in."""
-    return known_language(docs)
+    with making(clear(spark, docs)):
+        return known_language(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return exact_dedup(docs)
+    with making(clear(spark, docs)):
+        return exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays, the one with the smallest id."""
-    return near_dedup(docs)
+    with making(clear(spark, docs)):
+        return near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that the sources come near their target weights."""
-    return mixed_documents(docs)
+    with making(clear(spark, docs)):
+        return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences; ``row`` tells the repeats of a document apart."""
-    return pack(docs)
+    with making(clear(spark, docs)):
+        return pack(docs)
 
 
 STAGES = [
@@ -56,5 +79,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        if k:
+            discard(before)
+    clear(spark, docs)
     return docs

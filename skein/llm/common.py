@@ -6,7 +6,8 @@ import ctypes
 import math
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for made in _MAKING:
+        made.add(path)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,12 +66,42 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
+def folders(df: DataFrame) -> set[str]:
+    """The folders whose files df reads."""
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by stored(), once all that was read from it is cut or written."""
-    context = df.sparkSession.sparkContext
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    delete(df.sparkSession, folders(df))
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    context = spark.sparkContext
+    for folder in paths:
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    reclaim(spark)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Frees the shuffle files of plans that nobody holds any longer. Executors keep them until the driver's collector
+    finds those plans, which it does late, as the driver itself needs little memory."""
+    spark.sparkContext._jvm.System.gc()
+
+
+#: The sets in which stored() notes its paths at present.
+_MAKING: list[set[str]] = []
+
+
+@contextmanager
+def making(paths: set[str]) -> Iterator[None]:
+    """Notes in paths the tables that stored() makes meanwhile."""
+    _MAKING.append(paths)
+    try:
+        yield
+    finally:
+        _MAKING.remove(paths)
 
 
 OFTEN_KEYS = 10_000

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, many_to_one, often, release, ship, stored, table, tidy
+from .common import cut, discard, many_to_one, often, reclaim, release, ship, stored, table, tidy
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -460,6 +460,7 @@ def jaccard_links(sets: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = L
     hot_slots = max(LEAST_SLOTS, math.ceil(float(hot_keys[1].sum()) / slot_keys))
     rows = signed(sets, slots, hot_keys[0], hot_slots)
     found = stored(rows.groupBy("slot").applyInArrow(lambda rows: (_matches(rows, long_run, hot_keys), release())[0], FOUND_DDL), "found")
+    reclaim(sets.sparkSession)  # the signatures
     hot = found.where(F.col("kind") == HOT)
     # How many of a document's segments in a band are frequent ones; without them, has it enough?
     burden = hot.groupBy("a", "band").agg(F.count("*").alias("frequent"), F.first("segments").alias("segments"), F.first("need").alias("need"))
@@ -469,6 +470,7 @@ def jaccard_links(sets: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = L
     tiny = F.col("band").isin([int(b) for b in np.flatnonzero(layouts()[1] == 0)])
     enough = F.col("votes") + F.coalesce("frequent", F.lit(0)) >= F.col("segments") - F.floor((F.col("na") + F.col("nb")) / 7)
     links = cut(verified(sets, cut(pairs.where(tiny | enough).select("a", "b").distinct())))
+    reclaim(sets.sparkSession)
     lacking = cut(found.where(F.col("kind") == UNLUCKY).select("a", F.col("na").alias("n")).distinct())
     if not lacking.isEmpty():  # next to never: each is held against the documents of its two bands
         other = sets.where("n > 0").select(F.col("id").alias("b"), F.col("n").alias("nb"), _band(F.col("n")).alias("band"))
@@ -510,6 +512,7 @@ def _frequent_links(sets: DataFrame, hot: DataFrame, burden: DataFrame, links: D
         tried = many_to_one(open_, centres.select("run", "c"), ["run"]).select("a", F.explode("c").alias("b")).where("a <> b")
         verdicts = verified(sets, cut(tried.distinct()))
         links = cut(links.unionByName(verdicts))
+        reclaim(sets.sparkSession)  # the sets of the pairs
         open_ = _rooted(members, links)
         size = open_.select("a").distinct().count()
         if not size:

@@ -4,7 +4,7 @@ Texts are tokenised once; from then on only thin rows (id, piece, length, checks
 sequences by themselves. The others are dealt to partitions, packed there by best-fit decreasing, and each partition's
 number of sequences is held against lower bounds from dual-feasible functions. A partition that meets its bound is
 certified and done; from the others, the documents of sequences that are not full go to a pool, are dealt anew in fewer
-partitions, mixed with those of other partitions, and packed again, until an exchange saves (next to) nothing.
+partitions, mixed with those of other partitions, and packed again, until an exchange saves nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from .common import cut, ship, stored, table, tidy
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
-LEAST_GAIN = 0.001  # of the pool's sequences that an exchange has to save for another one to follow
 END_ID = 0
 
 
@@ -158,7 +157,7 @@ def pack(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY, path
             break
         fixed, pool = done.where("NOT open"), done.where("open")
         placed = fixed if placed is None else placed.unionByName(fixed)
-        if groups == 1 or (before is not None and before - took < LEAST_GAIN * before):
+        if groups == 1:
             placed = placed.unionByName(pool)
             break
         left, before = pool, pool.select("sequence").distinct().count()
