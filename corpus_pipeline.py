@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each over all that the one before kept, with Parquet in between.
 
 A stage's result reads tables that its operator stored. They are needed until the result is written, and go when the
-next stage begins, whose documents are that written result (tables that its documents still read are kept).
+next stage is called, whose documents are that written result (tables that its documents still read are kept).
 """
 
 from __future__ import annotations
@@ -18,47 +18,48 @@ from skein.llm.ngram_join import near_dedup
 from skein.llm.packing import pack
 
 
-#: Tables that the operators of earlier stages stored, by application.
-LEFT: dict[str, set[str]] = {}
+#: The latest call of a stage: its application, its place, and the tables that its operator stored.
+LATEST: list[tuple[str, int, set[str]]] = []
 
 
-def clear(spark: SparkSession, docs: DataFrame) -> set[str]:
-    """Deletes what earlier stages left, but for what docs reads; the set in which the next one's tables are to be noted."""
-    left = LEFT.setdefault(spark.sparkContext.applicationId, set())
-    read = {f.rpartition("/")[2] for f in folders(docs)}
-    gone = {path for path in left if path.rpartition("/")[2] not in read}
-    delete(spark, gone)
-    left -= gone
-    return left
+def tables_of(spark: SparkSession, docs: DataFrame, place: int) -> set[str]:
+    """The set in which a stage's tables are to be noted. Where the call before this one was of the stage before it, what
+    that one left is deleted, but for what docs still reads."""
+    application = spark.sparkContext.applicationId
+    if LATEST and LATEST[0][:2] == (application, place - 1):
+        read = {f.rpartition("/")[2] for f in folders(docs)}
+        delete(spark, [path for path in LATEST[0][2] if path.rpartition("/")[2] not in read])
+    LATEST[:] = [(application, place, set())]
+    return LATEST[0][2]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go; a missing label is filled in."""
-    with making(clear(spark, docs)):
+    with making(tables_of(spark, docs, 0)):
         return known_language(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    with making(clear(spark, docs)):
+    with making(tables_of(spark, docs, 1)):
         return exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays, the one with the smallest id."""
-    with making(clear(spark, docs)):
+    with making(tables_of(spark, docs, 2)):
         return near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that the sources come near their target weights."""
-    with making(clear(spark, docs)):
+    with making(tables_of(spark, docs, 3)):
         return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences; ``row`` tells the repeats of a document apart."""
-    with making(clear(spark, docs)):
+    with making(tables_of(spark, docs, 4)):
         return pack(docs)
 
 
@@ -82,5 +83,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, docs = docs, spark.read.parquet(path)
         if k:
             discard(before)
-    clear(spark, docs)
+    tables_of(spark, docs, len(STAGES))
     return docs
