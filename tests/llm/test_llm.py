@@ -505,6 +505,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert max(per.values()) <= 2048
 
 
+def test_tables_of_a_stage_go_when_the_next_begins(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = spark.range(5)
+    with common.making(corpus_pipeline.tables_of(spark, rows, 1)):
+        first = common.stored(rows, "first")
+    with common.making(corpus_pipeline.tables_of(spark, first, 2)):  # the next stage's documents still read it
+        second = common.stored(first, "second")
+    assert first.count() == 5
+    corpus_pipeline.tables_of(spark, rows, 1)  # another pipeline begins: what isn't its own stays
+    assert second.count() == 5
+    with common.making(corpus_pipeline.tables_of(spark, rows, 2)):
+        third = common.stored(rows, "third")
+    path = spark._jvm.org.apache.hadoop.fs.Path(common.folders(third).pop())
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(path) and second.count() == 5
+    corpus_pipeline.tables_of(spark, rows, 3)
+    assert not files.exists(path) and second.count() == 5 and common._MAKING == []
+
+
 def test_workers_drop_what_another_operator_left(spark):
     common.ship(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= common.BATCH_ROWS
