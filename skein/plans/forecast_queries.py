@@ -48,7 +48,7 @@ def last_facts(a: DataFrame) -> DataFrame:
 
 
 def _fleet(spark: SparkSession, d: str, a: DataFrame) -> DataFrame:
-    return L.build_fleet(stored(snapshots(spark, d)), a)
+    return L.build_fleet(snapshots(spark, d), a)
 
 
 def _plan(types: DataFrame, a: DataFrame) -> DataFrame:
