@@ -4,6 +4,10 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from skein.operators import fleet as L
+from skein.operators.numbering import numbered_within
 from skein.plans import adaptors as A
 from skein.plans import panel_queries as P
 
@@ -33,3 +37,17 @@ def test_lines_are_dealt_only_by_order(spark):
     rows = A.activity(spark, SF)
     shuffles = [x for x in rows._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortMergeJoin" in x or "ShuffledHashJoin" in x]
     assert all("l_orderkey" in x for x in shuffles), shuffles
+
+
+def test_numbering_deals_stored_rows_no_more(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("v"))
+    out = numbered_within(rows, ["g"], [F.col("v")], "n")
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.g, r.v): r.n for r in out.collect()}
+    for g in range(3):
+        assert [got[g, v] for v in sorted(v for h, v in got if h == g)] == list(range(1, sum(h == g for h, _ in got) + 1))
+
+
+def test_fleet_keeps_flights_where_they_are(spark):
+    flights = A.activity(spark, SF).withColumns({"value": F.lit(1.0), "usage": F.lit("Passenger"), "lease": F.lit("Dry"), "delivery_date": F.col("date")})
+    assert not any("SortMergeJoin" in x and "operator" in x and "mon" in x for x in L.build_fleet(A.snapshots(spark, SF), flights)._jdf.queryExecution().sparkPlan().toString().splitlines())
