@@ -24,11 +24,17 @@ SETTINGS = [("pure", 1.0, 0.0), ("gated", 0.8, 0.6)]
 
 
 def anchor_panel(actuals: DataFrame) -> DataFrame:
-    """Per carrier, sub-fleet and month: aircraft, active aircraft-days, flights, hours, km, medians and three ratios."""
-    rows = actuals.groupBy(F.col("operator").alias("carrier"), F.coalesce(F.nullif("master_series", F.lit("")), F.lit("NA")).alias("sf"), "mon").agg(
-        F.count_distinct("reg").alias("flown"), F.count_distinct(F.struct("reg", "date")).alias("tail_days"), F.count("*").alias("cycles"), F.sum("hours").alias("block_hours"),
-        F.sum("km").alias("sum_km"), F.median("km").alias("med_haul"), F.median("seats").alias("seats_med"),
-    )
+    """Per carrier, sub-fleet and month: aircraft, active aircraft-days, flights, hours, km, medians and three ratios.
+
+    Aircraft and their days are counted over one row an aircraft and month, and sums and medians by themselves: distinct
+    counts beside medians would repeat every flight for each of them. actuals are read twice: they should be stored."""
+    keys = ["carrier", "sf", "mon"]
+    flights = actuals.select(F.col("operator").alias("carrier"), F.coalesce(F.nullif("master_series", F.lit("")), F.lit("NA")).alias("sf"), "mon", "reg", "date", "hours", "km", "seats")
+    days = F.count_distinct("date") + F.max(F.col("date").isNull().cast("int"))  # an unknown day is one
+    tails = flights.groupBy(*keys, "reg").agg(days.alias("days")).groupBy(*keys).agg(F.count("reg").alias("flown"), F.sum("days").alias("tail_days"))
+    sums = flights.groupBy(*keys).agg(F.count("*").alias("cycles"), F.sum("hours").alias("block_hours"), F.sum("km").alias("sum_km"), F.median("km").alias("med_haul"), F.median("seats").alias("seats_med"))
+    both = tails.unionByName(sums, allowMissingColumns=True)  # two rows a key, as a join would lose null keys
+    rows = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("flown", "tail_days", "cycles", "block_hours", "sum_km", "med_haul", "seats_med")])
     return rows.withColumn("days_per_tail", F.try_divide("tail_days", "flown")).withColumn("cycles_per_day", F.try_divide("cycles", "tail_days")).withColumn("hours_per_day", F.try_divide("block_hours", "tail_days"))
 
 

@@ -15,25 +15,38 @@ from .panel_queries import rounded
 CUT, SINCE = dt.date(2000, 6, 1), dt.date(1997, 1, 1)
 
 
-def _panel(spark: SparkSession, d: str) -> DataFrame:
-    return stored(R.anchor_panel(activity(spark, d)))
+FLOWN, ROUTE, PRICE = ("operator", "master_series", "reg", "date", "mon", "seats", "hours", "km"), ("origin", "dest"), ("price",)
 
 
-def _deliveries(spark: SparkSession, d: str) -> DataFrame:
-    rows = activity(spark, d).select(F.col("operator").alias("carrier"), F.col("master_series").alias("sf"), "reg", F.date_add(F.lit("2000-01-01").cast("date"), ((F.col("reg") * 37) % 700).cast("int")).alias("delivery_date"))
+def _flights(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The activity's columns FLOWN and more, stored: its lines meet their orders once a query, however often that reads
+    them."""
+    return stored(activity(spark, d).select(*FLOWN, *more))
+
+
+def _panel(flights: DataFrame) -> DataFrame:
+    return stored(R.anchor_panel(flights))
+
+
+def _deliveries(flights: DataFrame) -> DataFrame:
+    rows = flights.select(F.col("operator").alias("carrier"), F.col("master_series").alias("sf"), "reg", F.date_add(F.lit("2000-01-01").cast("date"), ((F.col("reg") * 37) % 700).cast("int")).alias("delivery_date"))
     return R.forward_deliveries(rows, CUT)
 
 
+def _backtest(flights: DataFrame, panel: DataFrame) -> DataFrame:
+    return R.backtest(panel, CUT, stored(_deliveries(flights)))
+
+
 def anchor_panel(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_panel(spark, d), 4)
+    return rounded(_panel(_flights(spark, d)), 4)
 
 
 def plateau(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.plateau(_panel(spark, d)))
+    return rounded(R.plateau(_panel(_flights(spark, d))))
 
 
 def forward_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    return _deliveries(spark, d)
+    return _deliveries(activity(spark, d))
 
 
 def candidate_carriers(spark: SparkSession, d: str) -> DataFrame:
@@ -41,84 +54,90 @@ def candidate_carriers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subfleet_fit(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.subfleet_fit(_panel(spark, d).where(F.col("mon") <= F.lit(CUT)), ["carrier", "sf"])[1])
+    return rounded(R.subfleet_fit(_panel(_flights(spark, d)).where(F.col("mon") <= F.lit(CUT)), ["carrier", "sf"])[1])
 
 
 def backtest(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.backtest(_panel(spark, d), CUT, _deliveries(spark, d)), 5)
+    flights = _flights(spark, d)
+    return rounded(_backtest(flights, _panel(flights)), 5)
 
 
 def backtest_metrics(spark: SparkSession, d: str) -> DataFrame:
-    p = _panel(spark, d)
-    return rounded(R.backtest_metrics(R.backtest(p, CUT, _deliveries(spark, d)), p, CUT), 5)
+    flights = _flights(spark, d)
+    p = _panel(flights)
+    return rounded(R.backtest_metrics(_backtest(flights, p), p, CUT), 5)
 
 
 def forward_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.forward(_panel(spark, d), CUT, AS_OF), 4)
+    return rounded(R.forward(_panel(_flights(spark, d)), CUT, AS_OF), 4)
 
 
 def forward_damped(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.forward(_panel(spark, d), CUT, AS_OF, phi=0.9), 4)
+    return rounded(R.forward(_panel(_flights(spark, d)), CUT, AS_OF, phi=0.9), 4)
 
 
 def growth_read(spark: SparkSession, d: str) -> DataFrame:
-    p = _panel(spark, d)
-    return rounded(R.growth_read(R.backtest_metrics(R.backtest(p, CUT, _deliveries(spark, d)), p, CUT)), 5)
+    flights = _flights(spark, d)
+    p = _panel(flights)
+    return rounded(R.growth_read(R.backtest_metrics(_backtest(flights, p), p, CUT)), 5)
 
 
 def loco_prior(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.seasonal_prior(*R.subfleet_fit(_panel(spark, d).where(F.col("mon") <= F.lit(CUT)), ["carrier", "sf"])))
+    return rounded(R.seasonal_prior(*R.subfleet_fit(_panel(_flights(spark, d)).where(F.col("mon") <= F.lit(CUT)), ["carrier", "sf"])))
 
 
 def loco(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.loco(_panel(spark, d), CUT), 5)
+    return rounded(R.loco(_panel(_flights(spark, d)), CUT), 5)
 
 
 def loco_reliability(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.reliability(R.loco(_panel(spark, d), CUT)))
+    return rounded(R.reliability(R.loco(_panel(_flights(spark, d)), CUT)))
 
 
 def loco_carriers(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.carrier_reliability(R.loco(_panel(spark, d), CUT)), 5)
+    return rounded(R.carrier_reliability(R.loco(_panel(_flights(spark, d)), CUT)), 5)
 
 
-def _buckets(spark: SparkSession, d: str) -> DataFrame:
-    return R.archetype(R.archetype_features(activity(spark, d), 100, 12))
+def _buckets(flights: DataFrame) -> DataFrame:
+    return R.archetype(stored(R.archetype_features(flights, 100, 12)))
 
 
 def ondemand_reliability(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.ondemand_reliability(_panel(spark, d), stored(_buckets(spark, d)), CUT), 5)
+    flights = _flights(spark, d, *ROUTE)
+    return rounded(R.ondemand_reliability(_panel(flights), stored(_buckets(flights)), CUT), 5)
 
 
 def archetype_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.archetype_features(activity(spark, d), 100, 12))
+    return rounded(R.archetype_features(_flights(spark, d, *ROUTE), 100, 12))
 
 
 def archetype_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_buckets(spark, d))
+    return rounded(_buckets(_flights(spark, d, *ROUTE)))
 
 
-def _series(spark: SparkSession, d: str) -> DataFrame:
-    return R.monthly_series(snapshots(spark, d), activity(spark, d), dt.date(1990, 1, 1))
+def _series(spark: SparkSession, d: str, flights: DataFrame) -> DataFrame:
+    return stored(R.monthly_series(snapshots(spark, d, flights), flights, dt.date(1990, 1, 1)))
 
 
 def monthly_series(spark: SparkSession, d: str) -> DataFrame:
-    return R.monthly_series(snapshots(spark, d), activity(spark, d), SINCE)
+    flights = _flights(spark, d, *PRICE)
+    return R.monthly_series(snapshots(spark, d, flights), flights, SINCE)
 
 
 def exog_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.recent_level(_series(spark, d), CUT))
+    return rounded(R.recent_level(_series(spark, d, _flights(spark, d, *PRICE)), CUT))
 
 
 def exog_evaluate(spark: SparkSession, d: str) -> DataFrame:
-    p = _panel(spark, d)
-    return rounded(R.evaluate_recent(_series(spark, d), R.backtest(p, CUT, _deliveries(spark, d)), CUT, 0.8, 0.6), 5)
+    flights = _flights(spark, d, *PRICE)
+    return rounded(R.evaluate_recent(_series(spark, d, flights), _backtest(flights, _panel(flights)), CUT, 0.8, 0.6), 5)
 
 
 def _settings(spark: SparkSession, d: str) -> DataFrame:
-    p = _panel(spark, d)
-    detail = stored(R.backtest(p, CUT, _deliveries(spark, d)))
-    return R.evaluate_settings(stored(_series(spark, d)), detail, R.backtest_metrics(detail, p, CUT), _buckets(spark, d), CUT)
+    flights = _flights(spark, d, *ROUTE, *PRICE)
+    p = _panel(flights)
+    detail = stored(_backtest(flights, p))
+    return R.evaluate_settings(_series(spark, d, flights), detail, R.backtest_metrics(detail, p, CUT), stored(_buckets(flights)), CUT)
 
 
 def exog_settings(spark: SparkSession, d: str) -> DataFrame:
@@ -130,11 +149,11 @@ def exog_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metric_conversion(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.convert_metrics(_panel(spark, d), CUT), 3)
+    return rounded(R.convert_metrics(_panel(_flights(spark, d)), CUT), 3)
 
 
 def conversion_errors(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.conversion_errors(R.convert_metrics(_panel(spark, d), CUT)), 5)
+    return rounded(R.conversion_errors(R.convert_metrics(_panel(_flights(spark, d)), CUT)), 5)
 
 
 QUERIES = {

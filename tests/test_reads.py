@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import fleet as L
+from skein.operators import research as E
 from skein.operators.numbering import numbered_within
 from skein.plans import adaptors as A
 from skein.plans import panel_queries as P
+from skein.plans import research_queries as Q
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -33,6 +35,21 @@ def test_nothing_after_the_stored_tables_reads_the_lines(spark, name):
     assert reads(P.QUERIES[name](spark, SF)) == 0
 
 
+@pytest.mark.parametrize("name", ["exog_evaluate", "exog_settings", "exog_summary"])
+def test_research_stores_the_flights(spark, name):
+    assert reads(Q.QUERIES[name](spark, SF)) == 0
+
+
+def test_anchor_panel_counts_aircraft_and_days_without_repeating_flights(spark):
+    rows = [("A", "M", "2000-01-01", r, d, 1.0, float(k), 10 * k) for k, (r, d) in enumerate([(1, "2000-01-02"), (1, "2000-01-02"), (1, None), (2, "2000-01-03"), (None, "2000-01-03")])]
+    rows += [(None, "", None, 3, None, 2.0, None, None)]
+    flights = spark.createDataFrame(rows, "operator string, master_series string, mon string, reg int, date string, hours double, km double, seats int").withColumns({c: F.to_date(c) for c in ("mon", "date")})
+    out = E.anchor_panel(flights)
+    assert "Expand" not in plan(out)
+    got = {r.sf: (r.carrier, r.flown, r.tail_days, r.cycles, r.block_hours, r.sum_km, r.med_haul, r.seats_med) for r in out.collect()}
+    assert got == {"M": ("A", 2, 4, 5, 5.0, 10.0, 2.0, 20.0), "NA": (None, 1, 1, 1, 2.0, None, None, None)}
+
+
 def test_lines_are_dealt_only_by_order(spark):
     rows = A.activity(spark, SF)
     shuffles = [x for x in rows._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortMergeJoin" in x or "ShuffledHashJoin" in x]
