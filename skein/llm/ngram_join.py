@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, many_to_one, often, reclaim, release, ship, stored, table, tidy
+from .common import cut, discard, many_to_one, often, release, ship, stored, table, tidy
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -429,11 +429,17 @@ def _of_ids(sets: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFram
     return sets.join(F.broadcast(ids) if few else ids, "id", how)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids in pairs (a, b), each once."""
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least 3/4. sets: (id, tokens); pairs are cut, and many
     may have one b."""
-    few = _of_ids(sets.select("id", "tokens"), cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    first = pairs.join(few.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
+    few = _of_ids(sets.select("id", "tokens"), _ends(pairs))
+    sent = F.broadcast(pairs) if pairs.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2 else pairs  # two ids each
+    first = few.select(F.col("id").alias("a"), F.col("tokens").alias("ta")).join(sent, "a")
     second = few.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     hot = often(pairs, ["b"])
     both = (first.join(second, "b") if hot is None else many_to_one(first, second, ["b"], hot=hot)).select("a", "b", "ta", "tb")
@@ -451,16 +457,18 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(tidy(alike), "a long, b long")
 
 
-def jaccard_links(sets: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = LONG_RUN, hot_keys: tuple[np.ndarray, np.ndarray] = NONE_HOT) -> DataFrame:
+def jaccard_links(sets: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = LONG_RUN, hot_keys: tuple[np.ndarray, np.ndarray] = NONE_HOT, spent: DataFrame | None = None) -> DataFrame:
     """sets: (id, n, tokens), all ids and all sets different. Returns links (a, b), verified, that join all ids that
-    similarity joins; pairs inside a component may be left out."""
+    similarity joins; pairs inside a component may be left out.
+
+    Only sets that may have a link are held against each other; they are stored anew, and spent (the stored table that sets
+    are read from, if nobody needs it any longer) is deleted before."""
     slots = slot_plan(sets, slot_keys)
     if not slots:
         return cut(sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     hot_slots = max(LEAST_SLOTS, math.ceil(float(hot_keys[1].sum()) / slot_keys))
     rows = signed(sets, slots, hot_keys[0], hot_slots)
     found = stored(rows.groupBy("slot").applyInArrow(lambda rows: (_matches(rows, long_run, hot_keys), release())[0], FOUND_DDL), "found")
-    reclaim(sets.sparkSession)  # the signatures
     hot = found.where(F.col("kind") == HOT)
     # How many of a document's segments in a band are frequent ones; without them, has it enough?
     burden = hot.groupBy("a", "band").agg(F.count("*").alias("frequent"), F.first("segments").alias("segments"), F.first("need").alias("need"))
@@ -469,17 +477,22 @@ def jaccard_links(sets: DataFrame, slot_keys: int = SLOT_KEYS, long_run: int = L
     pairs = pairs.join(burden.select("a", "band", "frequent"), ["a", "band"], "left")
     tiny = F.col("band").isin([int(b) for b in np.flatnonzero(layouts()[1] == 0)])
     enough = F.col("votes") + F.coalesce("frequent", F.lit(0)) >= F.col("segments") - F.floor((F.col("na") + F.col("nb")) / 7)
-    links = cut(verified(sets, cut(pairs.where(tiny | enough).select("a", "b").distinct())))
-    reclaim(sets.sparkSession)
+    tries = cut(pairs.where(tiny | enough).select("a", "b").distinct())
     lacking = cut(found.where(F.col("kind") == UNLUCKY).select("a", F.col("na").alias("n")).distinct())
     if not lacking.isEmpty():  # next to never: each is held against the documents of its two bands
         other = sets.where("n > 0").select(F.col("id").alias("b"), F.col("n").alias("nb"), _band(F.col("n")).alias("band"))
         query = lacking.select("a", "n", F.explode(F.sequence(_band(F.col("n")) - 1, _band(F.col("n")) + 1)).alias("band"))
         small, large = F.least("n", "nb"), F.greatest("n", "nb")
         near = query.join(other, "band").where((4 * small >= 3 * large) & (F.col("a") != F.col("b")))
-        links = cut(links.unionByName(verified(sets, cut(near.select("a", "b")))))
-    links = _frequent_links(sets, hot, burden, links)
+        tries = cut(tries.unionByName(near.select("a", "b")))
+    needy = cut(burden.where((F.col("missing") > 0) & (F.col("rare") < F.col("need"))).select("a", "band", "missing", "rare"))
+    wanted = cut(_ends(tries).unionByName(needy.select(F.col("a").alias("id"))).distinct())
+    sets = stored(_of_ids(sets.select("id", "tokens"), wanted), "near-sets")
+    if spent is not None:
+        discard(spent)
+    links = _frequent_links(sets, hot, needy, cut(verified(sets, tries)))
     discard(found)
+    discard(sets)
     return links
 
 
@@ -491,13 +504,13 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut(known.join(open_runs, "run", "left_semi"))
 
 
-def _frequent_links(sets: DataFrame, hot: DataFrame, burden: DataFrame, links: DataFrame) -> DataFrame:
-    """links, and those among documents of frequent runs that join further documents.
+def _frequent_links(sets: DataFrame, hot: DataFrame, needy: DataFrame, links: DataFrame) -> DataFrame:
+    """links, and those among documents of frequent runs that join further documents. needy: (a, band, missing, rare), the
+    documents that have too few rare segments.
 
     A document is a member of its cheapest frequent runs, as many as its rare segments are short of H + 1; those with
     enough rare segments are members of none. Two documents that share no rare segment differ in all of those.
     """
-    needy = burden.where((F.col("missing") > 0) & (F.col("rare") < F.col("need"))).select("a", "band", "missing", "rare")
     if needy.isEmpty():
         return links
     cheap = Window.partitionBy("a", "band").orderBy("length", "run")
@@ -512,7 +525,6 @@ def _frequent_links(sets: DataFrame, hot: DataFrame, burden: DataFrame, links: D
         tried = many_to_one(open_, centres.select("run", "c"), ["run"]).select("a", F.explode("c").alias("b")).where("a <> b")
         verdicts = verified(sets, cut(tried.distinct()))
         links = cut(links.unionByName(verdicts))
-        reclaim(sets.sparkSession)  # the sets of the pairs
         open_ = _rooted(members, links)
         size = open_.select("a").distinct().count()
         if not size:
@@ -601,7 +613,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", slot_keys: int = SLO
     same = cut(many_to_one(known, cut(classes), ["digest"]).select("row", "doc_id", F.col("first.doc_id").alias("first"), F.col("first.row").alias("first_row")))
     gone = same.where("row <> first_row").select(F.col("row").alias("id"))
     sets = all_sets.where("n > 0 AND doc_id IS NOT NULL").select(F.col("row").alias("id"), "n", "tokens")
-    links = jaccard_links(_of_ids(sets, cut(gone), "left_anti"), slot_keys, long_run, hot_keys)
+    links = jaccard_links(_of_ids(sets, cut(gone), "left_anti"), slot_keys, long_run, hot_keys, all_sets)
     of = known.select("row", "doc_id")
     named = many_to_one(links, of.select(F.col("row").alias("a"), F.col("doc_id").alias("da")), ["a"])
     named = many_to_one(cut(named.select("b", "da")), of.select(F.col("row").alias("b"), F.col("doc_id").alias("db")), ["b"])
