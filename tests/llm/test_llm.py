@@ -561,3 +561,14 @@ def test_long_addresses_leave_nothing_behind():
     text = f"x {long}@mail.example.org, @ y@z .q@w.org ..r.s@t.example @@u@v.com"
     found = [text[a:b] for a, b, kind in surrogates._mentions(text) if kind == "EMAIL"]
     assert found == [f"{long}@mail.example.org", "q@w.org", "r.s@t.example", "u@v.com"]
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    from skein.llm import common
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with common.freeing(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
+    assert common.stored(spark.range(100).groupBy("id").count(), "cut").count() == 100
