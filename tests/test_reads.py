@@ -1,6 +1,7 @@
 """How often a query's plan reads the lines, by far the largest table: what it reads twice it also shuffles twice."""
 
 import os
+import re
 
 import pytest
 
@@ -10,8 +11,11 @@ from skein.operators import fleet as L
 from skein.operators import research as E
 from skein.operators.numbering import numbered_within
 from skein.plans import adaptors as A
+from skein.plans import job_queries as J
 from skein.plans import panel_queries as P
 from skein.plans import research_queries as Q
+from skein.session import stored
+from skein.sources.sinks import write_in_order
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -40,6 +44,44 @@ def test_research_stores_the_flights(spark, name):
     assert reads(Q.QUERIES[name](spark, SF)) == 0
 
 
+@pytest.fixture
+def kept(monkeypatch):
+    """The plans that a query of the job stores, in order."""
+    made = []
+    for part in (A, J):
+        monkeypatch.setattr(part, "stored", lambda df: made.append(df) or stored(df))
+    return made
+
+
+def test_reported_flights_meet_their_orders_and_are_hashed_once(spark, kept):
+    J.reported_actuals(spark, SF)
+    assert sum(reads(df) for df in kept) == 1
+    assert sum(plan(df).count("md5(") for df in kept) == 1
+
+
+def test_code_of_reported_flights_is_small_enough_to_be_compiled(spark, kept):
+    """The JVM interprets methods of more than 8000 bytes. Joins are as in a large table's plan: only airports are broadcast."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12000")
+        J.reported_actuals(spark, SF)
+        explain = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+        sizes = [int(n) for df in kept for n in re.findall(r"maxMethodCodeSize:(\d+)", explain(df._jdf.queryExecution(), "codegen"))]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sizes and max(sizes) <= 8000, sizes
+
+
+def test_what_follows_a_table_is_done_when_it_is_written(spark, tmp_path):
+    source, there = stored(spark.range(3)), []
+    folder = source.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    tables = {"a": lambda t: source, "b": lambda t: there.append(os.path.isdir(folder)) or t["a"].selectExpr("id + 1 AS id")}
+    out = write_in_order(spark, tables, str(tmp_path), then={"a": lambda: J.discard(source)})
+    assert there == [False] and sorted(r.id for r in out["b"].collect()) == [1, 2, 3]
+
+
 def test_anchor_panel_counts_aircraft_and_days_without_repeating_flights(spark):
     rows = [("A", "M", "2000-01-01", r, d, 1.0, float(k), 10 * k) for k, (r, d) in enumerate([(1, "2000-01-02"), (1, "2000-01-02"), (1, None), (2, "2000-01-03"), (None, "2000-01-03")])]
     rows += [(None, "", None, 3, None, 2.0, None, None)]
