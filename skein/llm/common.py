@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
-from ..session import shared_dir  # noqa: F401
+from ..session import freeing, shared_dir  # noqa: F401
 
 #: White space of the word contracts: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
@@ -62,19 +62,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def freeing(spark: SparkSession) -> Iterator[None]:
-    """Has Spark delete the shuffle files of what is run meanwhile as soon as it has ended, not when the driver's collector
-    finds its plan: a table that is written has no more need of them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with its rows numbered in a column ``name``: stored, so that all who read it see the same numbers."""
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")

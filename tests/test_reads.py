@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 
 import pytest
 
@@ -110,3 +111,29 @@ def test_numbering_deals_stored_rows_no_more(spark):
 def test_fleet_keeps_flights_where_they_are(spark):
     flights = A.activity(spark, SF).withColumns({"value": F.lit(1.0), "usage": F.lit("Passenger"), "lease": F.lit("Dry"), "delivery_date": F.col("date")})
     assert not any("SortMergeJoin" in x and "operator" in x and "mon" in x for x in L.build_fleet(A.snapshots(spark, SF), flights)._jdf.queryExecution().sparkPlan().toString().splitlines())
+
+
+def test_the_panels_rows_are_dealt_once_to_get_their_values(spark):
+    """With tables too large to be broadcast, but for the types' benchmarks: those are known when the rows are planned."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")
+        joins = [x for x in P.merge_panel(spark, SF)._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sum("SortMergeJoin" in x for x in joins) == 1 and sum("BroadcastHashJoin" in x for x in joins) == 1, joins
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles() -> set[str]:
+        files = manager.getAllFiles()
+        return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+
+    before = shuffles()
+    table = stored(spark.range(1000).repartition(3))
+    ends = time.time() + 20
+    while shuffles() - before and time.time() < ends:
+        time.sleep(0.5)
+    assert not shuffles() - before and table.count() == 1000
