@@ -16,6 +16,7 @@ from skein.plans import job_queries as J
 from skein.plans import panel_queries as P
 from skein.plans import research_queries as Q
 from skein.session import stored
+from skein.sources import sinks
 from skein.sources.sinks import write_in_order
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +138,25 @@ def test_shuffle_files_go_when_a_table_is_stored(spark):
     while shuffles() - before and time.time() < ends:
         time.sleep(0.5)
     assert not shuffles() - before and table.count() == 1000
+
+
+def test_a_table_that_is_made_in_turns_is_whole(spark, tmp_path, monkeypatch):
+    """Months, one of them unknown, in turns of few bytes: each row is there once, and few files hold a month."""
+    source = stored(spark.range(5000).select("id", F.when(F.col("id") % 13 > 0, F.add_months(F.lit("2000-01-01").cast("date"), (F.col("id") % 13).cast("int"))).alias("mon")))
+    monkeypatch.setattr(sinks, "TURN_BYTES", sinks.input_bytes(source) // 4)
+    tables = {"a": lambda t: source.withColumn("twice", F.col("id") * 2), "b": lambda t: t["a"].groupBy("mon").agg(F.sum("twice").alias("s"))}
+    writes = []
+    freed = sinks.freeing
+    monkeypatch.setattr(sinks, "freeing", lambda spark: writes.append(1) or freed(spark))
+    out = write_in_order(spark, tables, str(tmp_path), {"a": ["mon"], "b": ["mon"]}, turns={"a": "year(mon) * 12 + month(mon)", "b": "year(mon) * 12 + month(mon)"})
+    assert len(writes) > 4  # several turns for either table
+    assert sorted((r.id, r.mon, r.twice) for r in out["a"].collect()) == sorted((r.id, r.mon, 2 * r.id) for r in source.collect())
+    assert out["b"].count() == 13 and out["b"].agg(F.sum("s")).first()[0] == 4999 * 5000
+    assert all(len([f for f in os.listdir(tmp_path / "a" / m) if f.endswith(".parquet")]) <= sinks.FILES_PER_PARTITION for m in os.listdir(tmp_path / "a") if "=" in m)
+
+
+def test_the_panels_query_leaves_the_rollup_alone(spark):
+    """Of the job's large tables; each goes when no other reads it."""
+    folder = J.forecast_panel(spark, SF).inputFiles()[0].removeprefix("file:").split("/grouped/")[0]
+    large = {"assembled", "actuals", "stubs", "pool", "pools", "forecast", "panel", "grouped"}
+    assert large & set(os.listdir(folder)) == {"grouped"}
